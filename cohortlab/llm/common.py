@@ -14,7 +14,7 @@ SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
 #: Entries a worker-side memo may hold before it is emptied.
-MEMO_LIMIT = 1_500_000
+MEMO_LIMIT = 1_000_000
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
