@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import batches_of, fold
+from cohortlab.llm.common import MEMO_LIMIT, batches_of, fold
 
 MARKS = ".,;:!?\"'()[]{}*$%&#|<>-"
 
@@ -40,14 +40,26 @@ class Toxicity:
     min_count: int = 5
     min_documents: int = 3
     min_z: float = 3.0
-    prior: float = 200.0
-    prefixes: tuple[int, ...] = (5, 7)
-    drift: float = 0.08
+    prior: float = 0.02  # of the tokens of both
+    prefixes: tuple[int, ...] = (3, 4, 5, 6, 7)
+    drift: float = 0.05
     max_expected: float = 1.0
     threshold: float = 0.3
     held_out_fold: int = 2
 
 
+class Memo(dict):
+    """Scores of the tokens seen so far."""
+
+    model: Model
+
+    def __missing__(self, token: str) -> float:
+        score = self.model.token(token)
+        if len(token) <= 64:
+            self[token] = score
+        return score
+
+
 @dataclass
 class Model:
     weights: dict[str, float] = field(default_factory=dict)
@@ -57,6 +69,10 @@ class Model:
     log_k: float = 0.0
     curve: tuple[float, ...] = (-40.0, 0.0, 0.0)
     max_expected: float = 1.0
+    memo: Memo = field(default_factory=lambda: Memo())
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"memo": Memo()}
 
     def token(self, word: str) -> float:
         word = word.strip(MARKS)
@@ -69,8 +85,10 @@ class Model:
         return found
 
     def scores(self, tokens: list[str]) -> np.ndarray:
-        memo = {t: self.token(t) for t in set(tokens)}
-        return np.array([memo[t] for t in tokens], dtype=np.float64) - self.drift
+        if len(self.memo) > MEMO_LIMIT:
+            self.memo.clear()
+        self.memo.model = self
+        return np.fromiter(map(self.memo.__getitem__, tokens), np.float64, len(tokens)) - self.drift
 
     def segments(self, scores: np.ndarray) -> list[tuple[int, int, float]]:
         """(start, end, score) of every significant maximal segment."""
@@ -177,8 +195,9 @@ def learn(docs: DataFrame, labels: DataFrame, options: Toxicity = Toxicity()) ->
             share = sample.agg(F.avg("toxic")).first()[0] or 0.0
             odds = 40.0 if share >= 1 else -40.0 if share <= 0 else math.log(share / (1 - share))
             return Model(drift=options.drift, curve=(odds, 0.0, 0.0))
-        prior = options.prior * (F.col("n0") + F.col("n1")) / (all0 + all1)
-        odds = lambda n, total: F.log((n + prior) / (total + options.prior - n - prior))
+        prior = options.prior * (F.col("n0") + F.col("n1"))
+        mass = options.prior * (all0 + all1)
+        odds = lambda n, total: F.log((n + prior) / (total + mass - n - prior))
         weight = odds(F.col("n1"), all1) - odds(F.col("n0"), all0)
         spread = F.sqrt(1 / (F.col("n1") + prior) + 1 / (F.col("n0") + prior))
         kept = (
