@@ -6,8 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import language_id, packing, piece_encoding, quality_rules, token_counts, toxicity
-from cohortlab.llm.common import table, tokenizer_path
+from cohortlab.llm import language_id, media_columns, packing, piece_encoding, quality_rules, token_counts, toxicity, url_filter
+from cohortlab.llm.common import Scratch, table, tokenizer_path
 
 
 def op1_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -27,6 +27,14 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+#: The rules of the query.
+URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
+
+
+def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"), URL_RULES)
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"), tokenizer_path("word_bpe_49k.json"))
 
@@ -36,8 +44,13 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return media_columns.document_media(table(spark, sf_dir, "documents"), Scratch(spark, "media"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality_rules, op2_language_id, op3_piece_encoding, op4_token_counts, op7_packing, op8_toxicity]
+    named = [op1_quality_rules, op2_language_id, op3_piece_encoding, op4_token_counts, op6_url_filter, op7_packing, op8_toxicity]
+    named += [op10_media_columns]
     return {f.__name__: f for f in named}
 
 
