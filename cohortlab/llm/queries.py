@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import language_id, media_columns, packing, piece_encoding, quality_rules, token_counts, toxicity, url_filter
+from cohortlab.llm import jaccard_join, language_id, media_columns, packing, piece_encoding, quality_rules, token_counts, toxicity, url_filter
 from cohortlab.llm.common import Scratch, table, tokenizer_path
 
 
@@ -27,6 +27,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), tokenizer_path("piece_bpe_32k.model"))
 
 
+def op5_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return jaccard_join.link(table(spark, sf_dir, "documents"), jaccard_join.JaccardJoin(width=3, percent=90))
+
+
 #: The rules of the query.
 URL_RULES = {"com/en/": "block", "example.com/en/7": "allow", "net/de/": "allow", "example.net/de/8": "block", "org/es/": "block"}
 
@@ -49,7 +53,7 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    named = [op1_quality_rules, op2_language_id, op3_piece_encoding, op4_token_counts, op6_url_filter, op7_packing, op8_toxicity]
+    named = [op1_quality_rules, op2_language_id, op3_piece_encoding, op4_token_counts, op5_jaccard_join, op6_url_filter, op7_packing, op8_toxicity]
     named += [op10_media_columns]
     return {f.__name__: f for f in named}
 
