@@ -255,3 +255,19 @@ def link(docs: DataFrame, options: JaccardJoin = JaccardJoin()) -> DataFrame:
     named = named.select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "component")
     out = rows.join(named, (rows["f1"] == named["_f1"]) & (rows["f2"] == named["_f2"]) & (rows["n_shingles"] > 0), "left")
     return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def one_of_each(docs: DataFrame, options: JaccardJoin = JaccardJoin()) -> DataFrame:
+    """The rows, all columns, of one document of each component, the one with the smallest id. Rows that repeat a
+    doc_id count as one document and one of them stays; rows without a doc_id stay."""
+    scratch = Scratch(docs.sparkSession, "jaccard-kept")
+    links = scratch.cut(link(docs, options), "links")
+    gone = links.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    if gone.count() <= options.broadcast_ids:
+        gone = F.broadcast(gone)
+    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
+    again = links.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    if again.isEmpty():
+        return kept
+    once = kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
+    return once.unionByName(kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))

@@ -146,3 +146,15 @@ def identify(docs: DataFrame, profiles: dict[str, list[int]], options: LanguageI
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, "text").mapInArrow(
         predict, "doc_id long, held_out boolean, lang_pred string, score double"
     )
+
+
+def in_known_language(docs: DataFrame, profiles: dict[str, list[int]], least_score: float, options: LanguageId = LanguageId()) -> DataFrame:
+    """The rows, all columns, whose text has a language with at least this score."""
+
+    def run(batches):
+        model = Classifier(profiles, options.size)
+        for batch in batches:
+            found = [model.classify(t) for t in batch.column("text").to_pylist()]
+            yield batch.filter(pa.array([lang != "und" and score >= least_score for lang, score in found], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)

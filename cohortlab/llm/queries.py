@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import jaccard_join, language_id, media_columns, packing, piece_encoding, quality_rules, token_counts, toxicity, url_filter
+from cohortlab.llm import jaccard_join, language_id, media_columns, packing, piece_encoding, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
 from cohortlab.llm.common import Scratch, table, tokenizer_path
 
 
@@ -48,13 +48,17 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.digests(table(spark, sf_dir, "documents"))
+
+
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns.document_media(table(spark, sf_dir, "documents"), Scratch(spark, "media"))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     named = [op1_quality_rules, op2_language_id, op3_piece_encoding, op4_token_counts, op5_jaccard_join, op6_url_filter, op7_packing, op8_toxicity]
-    named += [op10_media_columns]
+    named += [op9_suffix_dedup, op10_media_columns]
     return {f.__name__: f for f in named}
 
 

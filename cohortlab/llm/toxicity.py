@@ -308,3 +308,15 @@ def score(docs: DataFrame, model: Model, options: Toxicity = Toxicity(), with_se
     schema = "doc_id long, held_out boolean, score double, predicted int, n_segments long"
     schema += ", segments array<struct<start:long,end:long,score:double>>" if with_segments else ""
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out, "text").mapInArrow(run, schema)
+
+
+def without_toxic(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
+    """The rows, all columns, whose text scores below the threshold."""
+
+    def run(batches):
+        for batch in batches:
+            texts = batch.column("text").to_pylist()
+            below = [model.probability(*model.evidence(model.scores(tokens_of(t)))) < threshold for t in texts]
+            yield batch.filter(pa.array(below, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
