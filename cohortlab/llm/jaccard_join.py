@@ -16,9 +16,16 @@ B classes, and only pairs of one class are indexed; with k = B + 1 shared tokens
 class has two of them. B grows with the set size, in bands of powers of two, so an index never has more than about as
 many entries as the document has shingles; a document near the edge of a band is indexed in both.
 
-Verification never pairs up a whole group. In each round every key names a leader, its other documents are compared
-with it alone, and verified links are contracted; keys whose documents are all connected are done. After the rounds
-the documents of unfinished keys are compared across components, so that no link that matters is lost.
+Entries are also dealt by size, so that only documents of similar size share a group; one near the edge of a size class is
+in two. Verification never pairs up a whole group:
+
+* Each group names its most central document the leader, and every other is compared with it alone. The comparison gives
+  the tokens by which they differ. Links are contracted.
+* What is left to find are links of documents x that are not linked with their leader c. If x and y are linked and
+  D(x), D(y) are their differences from c, then |D(x) ^ D(y)| = |x ^ y| <= k (|x| + |y|) with k = (100 - percent) / (100 +
+  percent), and since |D(x)| > k (|x| + |c|) and |y| <= |c| + |D(y)|, D(x) and D(y) share more than (1 - k) |D(y)| / 2 tokens.
+  So a third prefix filter, over differences, with the tokens that c lacks first, finds every such pair, and the
+  differences alone decide it. Tokens that a whole group shares play no part.
 
 Contract: 100 |x & y| >= percent |x | y|. Defined results: a null, empty or wordless text has an empty set, its own
 component, and no links; a text of fewer than ``width`` words has its whole sequence as the only shingle; a null
@@ -44,7 +51,7 @@ class JaccardJoin:
     width: int = 5
     percent: int = 80
     rare: int = 24
-    rounds: int = 2
+    size_ratio: float = 1.3  # of size classes; above 100 / percent
     broadcast_ids: int = 1_000_000  # a list of ids is broadcast up to this size, and joined by a shuffle beyond it
 
     def least_shared(self, n):
@@ -161,29 +168,35 @@ def index_keys(n: int, listed: int, matched: list[tuple[int, int]], options: Jac
 
 
 def _entries(reps: DataFrame, options: JaccardJoin) -> DataFrame:
-    """key, rep, n for every index entry."""
+    """grp, rep, n, place for every index entry; the least place in a group is its most central document's: few tokens of
+    its own, and the others' tokens in common."""
     rows = reps.select("rep", "n", F.size("list").alias("listed"), F.explode("list").alias("token"))
     often = rows.groupBy("token").agg(F.count("*").alias("lists")).where("lists > 1")
     found = rows.join(often, "token").groupBy("rep", "n", "listed").agg(F.collect_list(F.struct("lists", "token")).alias("matched"))
 
     def run(batches):
         for rows in batches_of(batches, ["rep", "n", "listed", "matched"]):
-            reps, sizes, keys = [], [], []
+            reps, sizes, places, keys = [], [], [], []
             for rep, n, listed, matched in rows:
                 own = index_keys(n, listed, [(m["lists"], m["token"]) for m in matched], options)
+                # Sizes of a linked pair differ by less than a class, so one class up and its own hold both.
+                size = int(np.log(n) / np.log(options.size_ratio))
+                own = np.concatenate([mixed(own + np.uint64((size + i) * int(MULTIPLIERS[3]) % (1 << 64))) for i in (0, 1)])
                 keys.append(own.view(np.int64))
                 reps.append(np.full(len(own), rep))
                 sizes.append(np.full(len(own), n))
+                places.append(np.full(len(own), (listed - len(matched)) * (1 << 40) - sum(min(m["lists"], 1 << 20) for m in matched) // max(1, len(matched))))
             join = lambda parts: pa.array(np.concatenate(parts), pa.int64())
-            yield pa.RecordBatch.from_arrays([join(keys), join(reps), join(sizes)], names=["key", "rep", "n"])
+            yield pa.RecordBatch.from_arrays([join(keys), join(reps), join(sizes), join(places)], names=["grp", "rep", "n", "place"])
 
-    return found.mapInArrow(run, "key long, rep long, n long")
+    return found.mapInArrow(run, "grp long, rep long, n long, place long")
 
 
-def _open(entries: DataFrame) -> DataFrame:
-    """Entries of the keys that still have documents of more than one component."""
-    spans = entries.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high")).where("low <> high")
-    return entries.join(spans.select("key"), "key", "left_semi")
+def _led(entries: DataFrame) -> DataFrame:
+    """Distinct (lead, rep): every document with the leaders of its groups."""
+    leaders = entries.groupBy("grp").agg(F.min(F.struct("place", "rep")).alias("l"), F.count("*").alias("k")).where("k > 1")
+    met = entries.select("grp", "rep").join(leaders.select("grp", F.col("l.rep").alias("lead")), "grp")
+    return met.where("rep <> lead").select("lead", "rep").distinct()
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, options: JaccardJoin) -> DataFrame:
@@ -202,14 +215,42 @@ def _sets(docs: DataFrame, wanted: DataFrame, options: JaccardJoin) -> DataFrame
     return rows.mapInArrow(run, "rep long, items array<long>").dropDuplicates(["rep"])
 
 
-def _verified(pairs: DataFrame, sets: DataFrame, options: JaccardJoin) -> DataFrame:
-    """Those of the pairs (a, b) that the contract links. The set of b travels, that of a stays where it is."""
-    right = sets.select(F.col("rep").alias("b"), F.col("items").alias("of_b"))
-    left = sets.select(F.col("rep").alias("a"), F.col("items").alias("of_a"))
-    both = pairs.join(right, "b").join(left, "a")
-    shared = F.size(F.array_intersect("of_a", "of_b")).alias("shared")
-    sized = both.select("a", "b", shared, (F.size("of_a") + F.size("of_b")).alias("total"))
-    return sized.where((100 + options.percent) * F.col("shared") >= options.percent * F.col("total")).select("a", "b")
+def _compared(pairs: DataFrame, sets: DataFrame, options: JaccardJoin) -> DataFrame:
+    """lead, rep, n, more and less (what rep has that lead lacks, and the other way round), linked. The set of rep travels,
+    that of lead, which has many partners, stays where it is."""
+    right = sets.select("rep", F.col("items").alias("own"))
+    left = sets.select(F.col("rep").alias("lead"), F.col("items").alias("of_lead"))
+    both = pairs.join(right, "rep").join(left, "lead")
+    out = both.select("lead", "rep", F.size("own").alias("n"), F.size("of_lead").alias("m"), F.array_except("own", "of_lead").alias("more"), F.array_except("of_lead", "own").alias("less"))
+    differ = F.size("more") + F.size("less")
+    return out.withColumn("linked", (100 + options.percent) * differ <= (100 - options.percent) * (F.col("n") + F.col("m"))).drop("m")
+
+
+def _difference_prefix(rows: DataFrame, options: JaccardJoin) -> DataFrame:
+    """lead, token, rep, linked, label: the index of the third filter."""
+    low, high = 100 - options.percent, 100 + options.percent
+    d = F.size("more") + F.size("less")
+    # From half of a difference on is shared with any partner that the leader is not linked with.
+    half = F.floor(d * (high - low) / (2 * high)).cast("int") + 1
+    most = F.floor(F.col("n") * (100 + options.percent) / options.percent * low / high).cast("int")
+    # A document that is not linked itself may also have partners that are.
+    length = F.when(F.col("linked"), d - half + 1).otherwise(F.greatest(d - half + 1, F.least(d, most + 1)))
+    ordered = F.concat(F.sort_array("more"), F.sort_array("less"))
+    return rows.where(d > 0).select("lead", "rep", "linked", "label", F.explode(F.slice(ordered, 1, length)).alias("token"))
+
+
+def _second_links(rows: DataFrame, options: JaccardJoin) -> DataFrame:
+    """Links (a, b) of documents whose leader they are not linked with, decided by the differences."""
+    index = _difference_prefix(rows, options)
+    x = index.where("not linked").select("lead", "token", F.col("rep").alias("a"), F.col("label").alias("la"))
+    y = index.select("lead", "token", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("linked").alias("kb"))
+    pairs = x.join(y, ["lead", "token"]).where("la <> lb and (kb or a < b)").select("lead", "a", "b").distinct()
+    own = rows.select("lead", "rep", "n", F.concat("more", "less").alias("d"))
+    one = own.select("lead", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"))
+    two = own.select("lead", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"))
+    both = pairs.join(one, ["lead", "a"]).join(two, ["lead", "b"])
+    differ = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
+    return both.where((100 + options.percent) * differ <= (100 - options.percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
 
 
 def link(docs: DataFrame, options: JaccardJoin = JaccardJoin()) -> DataFrame:
@@ -225,32 +266,23 @@ def link(docs: DataFrame, options: JaccardJoin = JaccardJoin()) -> DataFrame:
         .agg(F.min_by(F.struct("doc_id", "n_shingles", "list"), "doc_id").alias("r"))
         .select(F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), "r.list")
     )
-    entries = _entries(reps, options).withColumn("label", F.col("rep"))
-    entries = scratch.cut(_open(scratch.cut(entries, "entries")), "open")
+    pairs = scratch.cut(_led(scratch.cut(_entries(reps, options), "entries")), "pairs")
     scratch.drop("entries")
     found = Components(scratch)
-    if not entries.isEmpty():
-        sets = scratch.cut(_sets(docs, entries, options), "sets")
-        fits = f"n * 100 >= m * {options.percent} and m * 100 >= n * {options.percent}"
-        for turn in range(options.rounds + 1):
-            if turn < options.rounds:
-                # First the same leader wherever possible, so that few pairs arise; then another for each key.
-                order = F.col("rep") if turn == 0 else F.xxhash64("rep", "key", F.lit(turn))
-                leaders = entries.groupBy("key").agg(F.min(F.struct(order.alias("o"), "rep", "n", "label")).alias("l"))
-                leaders = leaders.select("key", F.col("l.rep").alias("lead"), F.col("l.n").alias("m"), F.col("l.label").alias("other"))
-                met = entries.join(leaders, "key").where("label <> other")
-                pairs = met.where(fits).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
-            else:
-                other = entries.select("key", F.col("rep").alias("lead"), F.col("n").alias("m"), F.col("label").alias("other"))
-                met = entries.join(other, "key").where("label < other")
-                pairs = met.where(fits).select(F.least("rep", "lead").alias("a"), F.greatest("rep", "lead").alias("b"))
-            links = scratch.cut(_verified(pairs.distinct(), sets, options), f"verified{turn}")
+    if not pairs.isEmpty():
+        wanted = pairs.select("rep").union(pairs.select("lead"))
+        sets = scratch.cut(_sets(docs, wanted, options), "sets")
+        compared = scratch.cut(_compared(pairs, sets, options), "compared")
+        scratch.drop("sets", "pairs")
+        found.add(compared.where("linked").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
+        # Leaders with a document that is not linked, and more than one component among all of theirs.
+        open_ = found.of(compared, "rep", "label")
+        spans = open_.groupBy("lead").agg(F.count("*").alias("k"), F.count(F.when(~F.col("linked"), 1)).alias("loose"), F.min("label").alias("low"), F.max("label").alias("high"))
+        open_ = open_.join(spans.where("loose > 0 and k > 1 and low <> high").select("lead"), "lead", "left_semi")
+        links = scratch.cut(_second_links(open_, options), "second")
+        if not links.isEmpty():
             found.add(links)
-            if turn < options.rounds:
-                entries = scratch.cut(_open(found.of(entries.drop("label"), "rep", "label")), f"open{turn}")
-                if entries.isEmpty():
-                    break
-        scratch.drop("sets")
+        scratch.drop("compared", "second")
     named = found.of(classes, "rep", "component")
     named = named.select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "component")
     out = rows.join(named, (rows["f1"] == named["_f1"]) & (rows["f2"] == named["_f2"]) & (rows["n_shingles"] > 0), "left")
