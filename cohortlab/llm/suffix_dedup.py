@@ -1,10 +1,13 @@
 """Removing passages that a document with a smaller id has too: exact, byte by byte, by run-length suffix indexes.
 
-A byte goes if a ``length``-byte string that covers it also starts in a document with a smaller doc_id. Three steps:
+A byte goes if a ``length``-byte string that covers it also starts in a document with a smaller doc_id. First, exact
+copies are set aside by a 128-bit fingerprint: all but the one with the smallest id go as a whole. Three steps follow:
 
 1. Anchors. Of the k-byte strings in a window of ``length`` bytes the one with the least hash (leftmost of equals) is
    its anchor, so equal windows have equal anchors wherever they are. Neighbouring windows mostly share theirs: about
-   one anchor for every 16 bytes. Anchor hashes are exchanged by hash, packed; those in one document only are dropped.
+   one anchor for every 16 bytes. A window reaches beyond its anchor by half of the rest at least, to the left or to the
+   right; so anchors are exchanged with the hashes of both such extensions, packed, and one that shares neither
+   with another document is dropped.
 2. Contexts. Around each remaining anchor the text that its windows cover (at most 2 length - k bytes) is taken out;
    equal contexts are one, with the smallest doc_id that has it. Contexts with one anchor hash meet in one task.
 3. Index. A task builds the Burrows-Wheeler transform of its contexts in bounded chunks, run-compressed, with the
@@ -45,21 +48,29 @@ class SuffixDedup:
     broadcast_ids: int = 1_000_000  # a list of ids is broadcast up to this size, and joined by a shuffle beyond it
 
 
-def gram_hashes(data: np.ndarray, size: int) -> np.ndarray:
-    """Hash of every ``size``-byte string, from those of half the size."""
-    one = mixed(data.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))
-    known, length = {1: one}, 1
-    while 2 * length <= size:
-        half = known[length]
-        known[2 * length] = half[:-length] * np.uint64(pow(PRIME, length, 1 << 64)) + half[length:] if len(half) > length else half[:0]
-        length *= 2
-    out, have = known[length], length
-    for part in sorted(known, reverse=True):
-        if have + part <= size:
-            tail = known[part][have:]
-            out = out[: len(tail)] * np.uint64(pow(PRIME, part, 1 << 64)) + tail
-            have += part
-    return mixed(out)
+class Grams:
+    """Hashes of all strings of a given size, from those of powers of two."""
+
+    def __init__(self, data: np.ndarray):
+        self.known = {1: mixed(data.astype(np.uint64) + np.uint64(0x9E3779B97F4A7C15))}
+
+    def of(self, size: int) -> np.ndarray:
+        length = 1
+        while 2 * length <= size:
+            half = self.known[length]
+            if 2 * length not in self.known:
+                self.known[2 * length] = self._joined(half, length, half, length)
+            length *= 2
+        out, have = self.known[length], length
+        for part in sorted(self.known, reverse=True):
+            if have + part <= size:
+                out, have = self._joined(out, have, self.known[part], part), have + part
+        return mixed(out)
+
+    @staticmethod
+    def _joined(left: np.ndarray, size: int, right: np.ndarray, more: int) -> np.ndarray:
+        tail = right[size:]
+        return left[: len(tail)] * np.uint64(pow(PRIME, more, 1 << 64)) + tail
 
 
 def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
@@ -74,8 +85,9 @@ def sliding_least(values: np.ndarray, width: int) -> np.ndarray:
 
 @dataclass
 class Runs:
-    """Runs of windows with one anchor: document, first and last window start, anchor hash. Positions count from the
-    document's first byte; ``base`` is where that lies in ``data``."""
+    """Runs of windows with one anchor: document, first and last window start, anchor hash, and the hashes (0 where the
+    document ends before) of the anchor with what is to its left and right. Positions count from the document's first
+    byte; ``base`` is where that lies in ``data``."""
 
     data: bytes
     doc: np.ndarray
@@ -83,98 +95,118 @@ class Runs:
     first: np.ndarray
     last: np.ndarray
     hash: np.ndarray
+    left: np.ndarray
+    right: np.ndarray
 
 
 def window_runs(texts: list[bytes], options: SuffixDedup) -> Runs:
     data = b"".join(texts)
     sizes = np.array([len(t) for t in texts], np.int64)
     begins = np.cumsum(sizes) - sizes
-    empty = np.empty(0, np.int64)
+    none = np.empty(0, np.int64)
+    nothing = Runs(data, none, none, none, none, *[none.astype(np.uint32)] * 3)
     if len(data) < options.length:
-        return Runs(data, empty, empty, empty, empty, empty.astype(np.uint64))
-    grams = gram_hashes(np.frombuffer(data, np.uint8), options.anchor)
+        return nothing
+    make = Grams(np.frombuffer(data, np.uint8))
+    grams = make.of(options.anchor)
     keys = (grams & np.uint64(0xFFFFFFFF00000000)) | np.arange(len(grams), dtype=np.uint64)
-    least = sliding_least(keys, options.length - options.anchor + 1)
-    at = (least & np.uint64(0xFFFFFFFF)).astype(np.int64)
+    at = (sliding_least(keys, options.length - options.anchor + 1) & np.uint64(0xFFFFFFFF)).astype(np.int64)
     owner = np.repeat(np.arange(len(texts)), sizes)
     starts = np.flatnonzero(owner[: len(at)] == owner[options.length - 1 :])  # windows inside one document
     if not len(starts):
-        return Runs(data, empty, empty, empty, empty, empty.astype(np.uint64))
+        return nothing
     anchors = at[starts]
     change = np.flatnonzero(anchors[1:] != anchors[:-1]) + 1
     head, tail = np.r_[0, change], np.r_[change, len(anchors)] - 1
-    doc = owner[starts[head]]
-    return Runs(data, doc, begins[doc], starts[head] - begins[doc], starts[tail] - begins[doc], grams[anchors[head]])
+    doc, anchors = owner[starts[head]], anchors[head]
+    beyond = (options.length - options.anchor) // 2
+    wide = make.of(options.anchor + beyond)
+
+    def extended(first: np.ndarray) -> np.ndarray:
+        inside = (first >= begins[doc]) & (first + options.anchor + beyond <= begins[doc] + sizes[doc])
+        return np.where(inside, wide[np.clip(first, 0, len(wide) - 1)] | np.uint64(1), np.uint64(0)).astype(np.uint32)
+
+    return Runs(data, doc, begins[doc], starts[head] - begins[doc], starts[tail] - begins[doc], grams[anchors].astype(np.uint32), extended(anchors - beyond), extended(anchors))
 
 
 # Step 1 ------------------------------------------------------------------------------------------------------
 
 
-def _unpack(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """(doc, hash) of packed anchors: the number of documents, their ids, their anchors' numbers, the hashes."""
-    docs, hashes = [], []
+def _unpack(blobs: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(doc, rows of ``width`` numbers): of each blob the number of documents, their ids, their rows' numbers, the rows."""
+    docs, rows = [], []
     for blob in blobs:
         n = int.from_bytes(blob[:4], "little")
-        ids = np.frombuffer(blob, "<i8", n, 4)
-        counts = np.frombuffer(blob, "<u4", n, 4 + 8 * n)
-        docs.append(np.repeat(ids, counts))
-        hashes.append(np.frombuffer(blob, "<u8", -1, 4 + 12 * n))
-    return np.concatenate(docs), np.concatenate(hashes)
+        docs.append(np.repeat(np.frombuffer(blob, "<i8", n, 4), np.frombuffer(blob, "<u4", n, 4 + 8 * n)))
+        rows.append(np.frombuffer(blob, "<u4", -1, 4 + 12 * n).reshape(width, -1).T)
+    return np.concatenate(docs), np.concatenate(rows)
 
 
-def _pack(docs: np.ndarray, hashes: np.ndarray) -> bytes:
-    """The inverse; docs must be grouped."""
+def _pack(docs: np.ndarray, rows: np.ndarray) -> bytes:
+    """The inverse; docs must be grouped. Rows are written column by column."""
     cuts = np.r_[0, np.flatnonzero(docs[1:] != docs[:-1]) + 1, len(docs)]
     counts = np.diff(cuts).astype("<u4")
-    return len(counts).to_bytes(4, "little") + docs[cuts[:-1]].astype("<i8").tobytes() + counts.tobytes() + hashes.astype("<u8").tobytes()
+    return len(counts).to_bytes(4, "little") + docs[cuts[:-1]].astype("<i8").tobytes() + counts.tobytes() + rows.T.astype("<u4").tobytes()
 
 
-def _by_bucket(bucket: np.ndarray, docs: np.ndarray, hashes: np.ndarray) -> pa.RecordBatch:
+def _by_bucket(bucket: np.ndarray, docs: np.ndarray, rows: np.ndarray) -> pa.RecordBatch:
     order = np.lexsort((docs, bucket))
-    bucket, docs, hashes = bucket[order], docs[order], hashes[order]
+    bucket, docs, rows = bucket[order], docs[order], rows[order]
     cuts = np.r_[0, np.flatnonzero(bucket[1:] != bucket[:-1]) + 1, len(bucket)]
-    blobs = [_pack(docs[a:b], hashes[a:b]) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
+    blobs = [_pack(docs[a:b], rows[a:b]) for a, b in zip(cuts[:-1], cuts[1:]) if b > a]
     return pa.RecordBatch.from_arrays(
         [pa.array(bucket[cuts[:-1]] if len(bucket) else [], pa.int32()), pa.array(blobs, pa.binary())], names=["bucket", "anchors"]
     )
 
 
+def _several(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
+    """Whether a row's key is in more than one document."""
+    order = np.lexsort((docs, keys))
+    sorted_keys, sorted_docs = keys[order], docs[order]
+    cuts = np.flatnonzero(np.r_[True, sorted_keys[1:] != sorted_keys[:-1]])
+    many = sorted_docs[cuts] != sorted_docs[np.r_[cuts[1:], len(keys)] - 1]
+    out = np.empty(len(keys), bool)
+    out[order] = np.repeat(many, np.diff(np.r_[cuts, len(keys)]))
+    return out
+
+
 def shared_anchors(docs: DataFrame, options: SuffixDedup) -> DataFrame:
-    """doc_id, anchors: the hashes of a document's anchors that other documents have too, packed."""
+    """doc, anchors: the hashes of a document's anchors that, with an extension, other documents have too, packed."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 16 * parts
+    buckets = 8 * parts
+
+    def spread(values: np.ndarray) -> np.ndarray:
+        return (mixed(values.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
 
     def give(batches):
         for rows in batches_of(batches, ["doc_id", "text"], options.batch_bytes):
-            runs = window_runs([(r[1] or "").encode() for r in rows], options)
+            runs = window_runs([r[1].encode() for r in rows], options)
             ids = np.array([r[0] for r in rows], np.int64)[runs.doc]
-            order = np.lexsort((runs.hash, ids))
-            ids, hashes = ids[order], runs.hash[order]
-            new = np.r_[True, (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])][: len(ids)]
-            ids, hashes = ids[new], hashes[new]
-            yield _by_bucket((mixed(hashes) % np.uint64(buckets)).astype(np.int32), ids, hashes)
+            yield _by_bucket(spread(runs.hash), ids, np.stack([runs.hash, runs.left, runs.right], axis=1))
 
     def meet(batches):
         blobs = [b for batch in batches for b in batch.column("anchors").to_pylist()]
         if not blobs:
             return
-        ids, hashes = _unpack(blobs)
-        order = np.lexsort((ids, hashes))
+        ids, rows = _unpack(blobs, 3)
+        high = rows[:, 0].astype(np.uint64) << np.uint64(32)
+        keep = np.zeros(len(ids), bool)
+        for side in (1, 2):
+            some = np.flatnonzero(rows[:, side])
+            keep[some] |= _several(high[some] | rows[some, side], ids[some])
+        ids, hashes = ids[keep], rows[keep, 0]
+        order = np.lexsort((hashes, ids))
         ids, hashes = ids[order], hashes[order]
-        cuts = np.flatnonzero(np.r_[True, hashes[1:] != hashes[:-1]])
-        several = ids[cuts] != ids[np.r_[cuts[1:], len(ids)] - 1]
-        keep = np.repeat(several, np.diff(np.r_[cuts, len(ids)]))
-        ids, hashes = ids[keep], hashes[keep]
-        spread = mixed(ids.view(np.uint64)) % np.uint64(buckets)
-        yield _by_bucket(spread.astype(np.int32), ids, hashes)
+        new = np.r_[True, (ids[1:] != ids[:-1]) | (hashes[1:] != hashes[:-1])][: len(ids)]
+        yield _by_bucket(spread(ids[new]), ids[new], hashes[new][:, None])
 
     def gather(batches):
         blobs = [b for batch in batches for b in batch.column("anchors").to_pylist()]
         if not blobs:
             return
-        ids, hashes = _unpack(blobs)
+        ids, hashes = _unpack(blobs, 1)
         order = np.argsort(ids, kind="stable")
-        ids, hashes = ids[order], hashes[order]
+        ids, hashes = ids[order], np.ascontiguousarray(hashes[order, 0])
         cuts = np.flatnonzero(np.r_[True, ids[1:] != ids[:-1]])
         for at in range(0, len(cuts), 4096):
             some = cuts[at : at + 4096]
@@ -185,11 +217,17 @@ def shared_anchors(docs: DataFrame, options: SuffixDedup) -> DataFrame:
             )
 
     packed = "bucket int, anchors binary"
-    rows = docs.where("doc_id is not null and octet_length(text) >= %d" % options.length).select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    met = rows.mapInArrow(give, packed).repartition(parts, "bucket").mapInArrow(meet, packed)
+    met = docs.mapInArrow(give, packed).repartition(parts, "bucket").mapInArrow(meet, packed)
     return met.repartition(parts, "bucket").mapInArrow(gather, "doc long, anchors binary")
 
 
+def copies(docs: DataFrame) -> DataFrame:
+    """doc, size: documents whose text a document with a smaller id has as a whole."""
+    rows = docs.select(F.col("doc_id").alias("doc"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("f1"), F.xxhash64(F.lit(1), "text").alias("f2"))
+    first = rows.groupBy("f1", "f2", "size").agg(F.min("doc").alias("first"), F.count("*").alias("k")).where("k > 1")
+    return rows.join(first.select("f1", "f2", "size", "first"), ["f1", "f2", "size"]).where("doc > first").select("doc", "size").distinct()
+
+
 # Step 2 ------------------------------------------------------------------------------------------------------
 
 
@@ -203,14 +241,14 @@ def contexts(docs: DataFrame, shared: DataFrame, options: SuffixDedup) -> DataFr
             cuts = np.searchsorted(runs.doc, np.arange(len(rows) + 1))
             for i, row in enumerate(rows):
                 a, b = cuts[i], cuts[i + 1]
-                keep[a:b] = np.isin(runs.hash[a:b], np.frombuffer(row[2], "<u8"))
+                keep[a:b] = np.isin(runs.hash[a:b], np.frombuffer(row[2], "<u4"))
             at = np.flatnonzero(keep)
             begin = runs.base[at] + runs.first[at]
             end = runs.base[at] + runs.last[at] + options.length
             ids = np.array([r[0] for r in rows], np.int64)[runs.doc[at]]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([runs.data[a:b] for a, b in zip(begin.tolist(), end.tolist())], pa.binary()),
-                 pa.array(runs.hash[at].view(np.int64)), pa.array(ids), pa.array(runs.first[at].astype(np.int32))],
+                 pa.array(runs.hash[at].astype(np.int64)), pa.array(ids), pa.array(runs.first[at].astype(np.int32))],
                 names=["context", "hash", "doc", "first"],
             )
 
@@ -238,14 +276,14 @@ class RunLengthIndex:
         key = np.zeros(n, np.uint64)
         for i in range(8):
             key = (key << np.uint64(8)) | padded[i : i + n]
-        order = np.argsort(key, kind="stable")
+        order = np.argsort(key)
         rank = self._ranks(key[order], order)
         span, prefix = 8, {8: rank}
         while rank.max(initial=0) + 1 < n or span < length:
             far = np.full(n, 0, np.int64)
             far[: max(0, n - span)] = rank[span:] + 1
             key = (rank.astype(np.uint64) << np.uint64(32)) | far.astype(np.uint64)
-            order = np.argsort(key, kind="stable")
+            order = np.argsort(key)
             rank = self._ranks(key[order], order)
             span *= 2
             if span <= length:
@@ -353,6 +391,11 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, options: SuffixDedup = Suf
     """doc, spans: packed 32-bit begin and end of each maximal removed run, for documents that lose anything."""
     spark = docs.sparkSession
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    docs = docs.where(f"doc_id is not null and octet_length(text) >= {options.length}").select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    twins = scratch.cut(copies(docs), "copies")
+    # Leaving copies out saves work and changes nothing else, so it is done where their list is small enough to send.
+    if twins.count() <= options.broadcast_ids:
+        docs = docs.join(F.broadcast(twins.select("doc")), F.col("doc_id") == F.col("doc"), "left_anti")
     shared = scratch.cut(shared_anchors(docs, options), "shared")
     found = scratch.cut(contexts(docs, shared, options), "contexts")
     scratch.drop("shared")
@@ -372,7 +415,14 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, options: SuffixDedup = Suf
             yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(spans, pa.binary())], names=["doc", "span"])
 
     pieces = hits.select("doc", "first", "owners").mapInArrow(run, "doc long, span binary")
-    out = scratch.cut(pieces.groupBy("doc").agg(F.collect_list("span").alias("spans")), "spans")
+
+    def whole(batches):
+        for batch in batches:
+            spans = [[np.array([0, n], "<i4").tobytes()] for n in batch.column("size").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc"), pa.array(spans, pa.list_(pa.binary()))], names=["doc", "spans"])
+
+    cut = pieces.groupBy("doc").agg(F.collect_list("span").alias("spans")).join(twins.select("doc"), "doc", "left_anti")
+    out = scratch.cut(cut.unionByName(twins.mapInArrow(whole, "doc long, spans array<binary>")), "spans")
     scratch.drop("contexts", "owners")
     return out
 
