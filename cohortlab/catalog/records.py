@@ -50,12 +50,12 @@ def scalar_numbers_and_texts(spark, sf_dir):
   with d as (select o_orderkey, o_orderdate :: date as a, date '2000-02-29' as b, o_orderdate :: date + 3 - ((dayofweek(o_orderdate)) :: int) as mid from orders)
   select o_orderkey, year(a) :: int as year, month(a) :: int as month, day(a) :: int as day, datediff('day', a, b) as days,
     (case when a <= b then datesub('month', a, b) when day(b) > day(a) then (year(b) - year(a)) * 12 + month(b) - month(a) + 1 else (year(b) - year(a)) * 12 + month(b) - month(a) end) :: int as months,
-    ((dayofyear(mid) - 1) // 7 + 1) :: int as epiweek, make_date(year(a), month(a), 1) as first, datediff('day', a, b) * 1440.0 :: double as minutes from d""".replace("datesub('month', a, b)", "((year(b) - year(a)) * 12 + month(b) - month(a) - case when day(b) < day(a) and (year(b) - year(a)) * 12 + month(b) - month(a) > 0 then 1 else 0 end)"))
+    ((dayofyear(mid) - 1) // 7 + 1) :: int as epiweek, make_date(year(a), month(a), 1) :: varchar as first, datediff('day', a, b) * 1440.0 :: double as minutes from d""".replace("datesub('month', a, b)", "((year(b) - year(a)) * 12 + month(b) - month(a) - case when day(b) < day(a) and (year(b) - year(a)) * 12 + month(b) - month(a) > 0 then 1 else 0 end)"))
 def scalar_dates(spark, sf_dir):
     rows = table(spark, sf_dir, "orders").select("o_orderkey", F.to_date("o_orderdate").alias("a"), F.lit("2000-02-29").cast("date").alias("b"))
     a, b = F.col("a"), F.col("b")
     return rows.select("o_orderkey", F.year(a).alias("year"), F.month(a).alias("month"), F.dayofmonth(a).alias("day"), f.days(a, b).alias("days"), f.months(a, b).cast("int").alias("months"),
-                       f.epi_week(a).alias("epiweek"), f.make_date(F.year(a), F.month(a), F.lit(1)).alias("first"), f.minutes(a, b).alias("minutes"))
+                       f.epi_week(a).alias("epiweek"), f.make_date(F.year(a), F.month(a), F.lit(1)).cast("string").alias("first"), f.minutes(a, b).alias("minutes"))
 
 
 @query(QUERIES, "select c_custkey, count(*) over () as records, count(*) over (partition by c_nationkey, c_mktsegment) = 1 as unique_pair from customer")

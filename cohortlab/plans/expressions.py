@@ -132,7 +132,8 @@ NONE = F.lit(None)
 
 
 def _number(x: Column) -> Value:
-    return Value(x, x.cast("string"), x != 0, x.isNull(), "number")
+    whole = (x == F.floor(x)) & (F.abs(x) < 1e15)
+    return Value(x, F.when(whole, F.format_string("%d", x.cast("long"))).otherwise(x.cast("string")), x != 0, x.isNull(), "number")
 
 
 def _truth(x: Column) -> Value:
