@@ -273,9 +273,9 @@ class RunLengthIndex:
         n = len(data)
         # Order of all suffixes: by 8 bytes, then by twice as many, until all differ.
         padded = np.frombuffer(joined + b"\0" * 8, np.uint8).astype(np.uint64)
-        key = np.zeros(n, np.uint64)
-        for i in range(8):
-            key = (key << np.uint64(8)) | padded[i : i + n]
+        pairs = (padded[:-1] << np.uint64(8)) | padded[1:]
+        fours = (pairs[:-2] << np.uint64(16)) | pairs[2:]
+        key = (fours[:n] << np.uint64(32)) | fours[4 : n + 4]
         order = np.argsort(key)
         rank = self._ranks(key[order], order)
         span, prefix = 8, {8: rank}
@@ -355,27 +355,34 @@ def smallest_owners(found: DataFrame, options: SuffixDedup, partitions: int) ->
         cuts = np.flatnonzero(np.r_[True, hashes[order][1:] != hashes[order][:-1]]).tolist() + [len(order)]
         at = 0
         while at < len(cuts) - 1:  # a chunk holds whole groups of one anchor
-            size, until = 0, at
-            while until < len(cuts) - 1 and size < options.chunk_bytes:
-                size += sum(len(texts[i]) for i in order[cuts[until] : cuts[until + 1]])
-                until += 1
-            chosen = order[cuts[at] : cuts[until]]
-            at = until
-            # Byte 0 closes texts inside the index, so the one text byte it could be mistaken for moves up by one; so
-            # do all others, and 255 and 254, which UTF-8 never uses, leave the room.
-            moved = [texts[i].translate(UP) for i in chosen]
-            index = RunLengthIndex(moved, options.length)
-            text, position, least = index.stream(lows[chosen])
-            order2 = np.lexsort((position, text))
-            text, least = text[order2], least[order2]
-            ends = np.flatnonzero(np.r_[text[1:] != text[:-1], True]) + 1
-            begins = np.r_[0, ends[:-1]]
-            takes = np.minimum.reduceat(least, begins) < highs[chosen][text[begins]]
-            rows = [(texts[chosen[t]], least[a:b]) for t, a, b, k in zip(text[begins], begins, ends, takes) if k]
+            size, chosen, alone = 0, [], []
+            while at < len(cuts) - 1 and size < options.chunk_bytes:
+                own = order[cuts[at] : cuts[at + 1]]
+                at += 1
+                if len(own) > 1:
+                    chosen.append(own)
+                    size += sum(len(texts[i]) for i in own)
+                elif lows[own[0]] < highs[own[0]]:
+                    alone.append(own[0])  # an index of one text: its windows have its own smallest doc_id
+            found = [(texts[i], np.full(len(texts[i]) - options.length + 1, lows[i])) for i in alone]
+            if chosen:
+                found += indexed(np.concatenate(chosen), texts, lows, highs)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.list_(pa.int64()))], names=["context", "owners"]
+                [pa.array([r[0] for r in found], pa.binary()), pa.array([r[1] for r in found], pa.list_(pa.int64()))], names=["context", "owners"]
             )
 
+    def indexed(chosen, texts, lows, highs):
+        # Byte 0 closes texts inside the index, so the one text byte it could be mistaken for moves up by one; so do all
+        # others, and 255 and 254, which UTF-8 never uses, leave the room.
+        index = RunLengthIndex([texts[i].translate(UP) for i in chosen], options.length)
+        text, position, least = index.stream(lows[chosen])
+        by_text = np.lexsort((position, text))
+        text, least = text[by_text], least[by_text]
+        ends = np.flatnonzero(np.r_[text[1:] != text[:-1], True]) + 1
+        begins = np.r_[0, ends[:-1]]
+        takes = np.minimum.reduceat(least, begins) < highs[chosen][text[begins]]
+        return [(texts[chosen[t]], least[a:b]) for t, a, b, k in zip(text[begins], begins, ends, takes) if k]
+
     out = rows.repartition(partitions, "hash").mapInArrow(run, "context binary, owners array<long>")
     return out.select(*_keys(), "owners")
 
