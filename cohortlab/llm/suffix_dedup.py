@@ -173,7 +173,7 @@ def _several(keys: np.ndarray, docs: np.ndarray) -> np.ndarray:
 def shared_anchors(docs: DataFrame, options: SuffixDedup) -> DataFrame:
     """doc, anchors: the hashes of a document's anchors that, with an extension, other documents have too, packed."""
     parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 8 * parts
+    buckets = 4 * parts
 
     def spread(values: np.ndarray) -> np.ndarray:
         return (mixed(values.astype(np.uint64)) % np.uint64(buckets)).astype(np.int32)
@@ -412,14 +412,26 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, options: SuffixDedup = Suf
 
     def run(batches):
         for batch in batches:
-            docs_, firsts = batch.column("doc").to_pylist(), batch.column("first").to_pylist()
-            owner = batch.column("owners")
-            flat, offsets = owner.flatten().to_numpy(), (owner.offsets.to_numpy() - owner.offsets[0].as_py())
-            spans = []
-            for doc, first, a, b in zip(docs_, firsts, offsets[:-1].tolist(), offsets[1:].tolist()):
-                marked = np.flatnonzero(flat[a:b] < doc)
-                spans.append(_merge(marked + first, marked + first + options.length).tobytes())
-            yield pa.RecordBatch.from_arrays([pa.array(docs_, pa.int64()), pa.array(spans, pa.binary())], names=["doc", "span"])
+            doc, first = batch.column("doc").to_numpy(), batch.column("first").to_numpy().astype(np.int64)
+            owners = batch.column("owners")
+            edges = owners.offsets.to_numpy().astype(np.int64)
+            flat, edges = owners.flatten().to_numpy(), edges - edges[0]
+            row = np.repeat(np.arange(len(doc)), np.diff(edges))
+            marked = flat < doc[row]
+            # Runs of marked windows of one row, as spans of bytes.
+            inner = np.r_[False, (row[1:] == row[:-1]) & marked[:-1]]
+            begin = np.flatnonzero(marked & ~inner)
+            end = np.flatnonzero(marked & ~np.r_[inner[1:] & marked[1:], False])
+            at = first[row[begin]] - edges[row[begin]]
+            spans = np.stack([at + begin, at + end + options.length], axis=1).astype("<i4")
+            owner = doc[row[begin]]
+            order = np.argsort(owner, kind="stable")
+            owner, spans = owner[order], spans[order]
+            cuts = np.flatnonzero(np.r_[True, owner[1:] != owner[:-1]][: len(owner)])
+            ends = np.r_[cuts[1:], len(owner)][: len(cuts)]
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(owner[cuts], pa.int64()), pa.array([spans[x:y].tobytes() for x, y in zip(cuts.tolist(), ends.tolist())], pa.binary())], names=["doc", "span"]
+            )
 
     pieces = hits.select("doc", "first", "owners").mapInArrow(run, "doc long, span binary")
 
