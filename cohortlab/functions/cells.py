@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from cohortlab.functions import kernels
+from cohortlab.functions.shapes import DOUBLE, doubles
 
 
 def ratio(x: Column, y: Column) -> Column:
@@ -43,17 +44,17 @@ def estimates(a: Column, b: Column, c: Column, d: Column, level: float = 0.95) -
     }
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DOUBLE)
 def chi2_p(statistic: pd.Series, df: pd.Series) -> pd.Series:
     return pd.Series([kernels.chi_square_p(s, int(k)) if s == s and k == k else None for s, k in zip(statistic, df)], dtype="float64")
 
 
-@F.pandas_udf("fisher_left double, fisher_right double, fisher_one double, fisher_two double, mid_p_left double, mid_p_right double, mid_p_one double")
+@F.pandas_udf(doubles("fisher_left fisher_right fisher_one fisher_two mid_p_left mid_p_right mid_p_one"))
 def fisher(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([kernels.fisher(*map(int, t)) for t in zip(a, b, c, d)])
 
 
-@F.pandas_udf("estimate double, exact_low double, exact_high double, mid_low double, mid_high double")
+@F.pandas_udf(doubles("estimate exact_low exact_high mid_low mid_high"))
 def conditional_or(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.DataFrame:
     rows = [kernels.conditional_odds_ratio([tuple(map(int, t))]) for t in zip(a, b, c, d)]
     return pd.DataFrame(rows, columns=["estimate", "exact_low", "exact_high", "mid_low", "mid_high"]).astype("float64")

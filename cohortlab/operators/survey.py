@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from cohortlab.functions import kernels
 from cohortlab.functions.cells import ratio
 from cohortlab.functions.missing import blank, finite, trimmed
+from cohortlab.functions.shapes import DOUBLE
 
 
 def design(df: DataFrame, psu: str, stratum: str | None = None, weight: str | None = None, compat: bool = False) -> DataFrame:
@@ -43,7 +44,7 @@ def degrees(rows: DataFrame) -> DataFrame:
     return units(rows).agg((F.sum("units") - F.count("*")).alias("df"))
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DOUBLE)
 def t_critical(df: pd.Series) -> pd.Series:
     return pd.Series([kernels.student_t_quantile(float(d)) if d > 0 else None for d in df], dtype="float64")
 

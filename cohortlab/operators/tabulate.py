@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from cohortlab.functions import cells, kernels
 from cohortlab.functions.missing import blank, empty, finite, trimmed
+from cohortlab.functions.shapes import doubles
 
 #: Fixed value: the quantile that frequency limits use.
 FREQ_Z = 1.96
@@ -38,7 +39,7 @@ def category(df: DataFrame, name: str) -> Column:
     )
 
 
-@F.pandas_udf("low double, high double")
+@F.pandas_udf(doubles("low high"))
 def _exact_limits(count: pd.Series, total: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([kernels.clopper_pearson(int(x), int(n)) for x, n in zip(count, total)], columns=["low", "high"])
 

@@ -128,7 +128,8 @@ def field_named(df: DataFrame, name: str) -> str:
     return found[0]
 
 
-NONE = F.lit(None)
+def none() -> Column:
+    return F.lit(None)
 
 
 def _number(x: Column) -> Value:
@@ -137,7 +138,7 @@ def _number(x: Column) -> Value:
 
 
 def _truth(x: Column) -> Value:
-    return Value(NONE.cast("double"), F.when(x, "true").otherwise("false"), x, F.lit(False), "boolean")
+    return Value(none().cast("double"), F.when(x, "true").otherwise("false"), x, F.lit(False), "boolean")
 
 
 def _text(x: Column) -> Value:
@@ -148,13 +149,13 @@ def evaluate(node: Node, df: DataFrame, variables: dict[str, object] = {}) -> Va
     if node.kind == "literal" or node.kind == "field" and node.value.lower() in variables:
         v = node.value if node.kind == "literal" else variables[node.value.lower()]
         if v is None:
-            return Value(NONE.cast("double"), NONE.cast("string"), F.lit(False), F.lit(True), "missing")
+            return Value(none().cast("double"), none().cast("string"), F.lit(False), F.lit(True), "missing")
         return _truth(F.lit(v)) if isinstance(v, bool) else _number(F.lit(float(v))) if isinstance(v, (int, float)) else _text(F.lit(v))
     if node.kind == "field":
         name = field_named(df, node.value)
         c, kind = F.col(f"`{name}`"), df.schema[name].dataType.typeName()
         if kind == "boolean":
-            return Value(NONE.cast("double"), c.cast("string"), c, c.isNull(), "boolean")
+            return Value(none().cast("double"), c.cast("string"), c, c.isNull(), "boolean")
         if kind in ("string", "date", "timestamp", "timestamp_ntz"):
             return _text(c.cast("string"))
         return _number(finite(df, name))
@@ -170,7 +171,7 @@ def evaluate(node: Node, df: DataFrame, variables: dict[str, object] = {}) -> Va
         if node.value == "ROUND":
             return _number(scalars.round_half_away(x.number, parts[1].number if len(parts) > 1 else F.lit(0.0)))
         if node.value == "STRLEN":
-            return _number(F.when(~x.missing, F.length(x.text)).cast("double") if x.kind == "text" else NONE.cast("double"))
+            return _number(F.when(~x.missing, F.length(x.text)).cast("double") if x.kind == "text" else none().cast("double"))
         return _text(F.when(~x.missing, F.upper(x.text)))
     a, b = parts
     op = node.value

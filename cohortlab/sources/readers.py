@@ -27,8 +27,10 @@ def tidy(names: list[str]) -> list[str]:
 
 def read_csv(spark: SparkSession, path: str, sep: str = ",", encoding: str = "UTF-8", typed: bool = False) -> DataFrame:
     """Quoted fields may hold separators, quotes (doubled) and line ends; records that are empty throughout go."""
-    df = spark.read.csv(path, header=True, sep=sep, quote='"', escape='"', multiLine=True, encoding=encoding, ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
-    df = df.toDF(*tidy(df.columns))
+    how = {"sep": sep, "quote": '"', "escape": '"', "multiLine": True, "encoding": encoding, "ignoreLeadingWhiteSpace": False, "ignoreTrailingWhiteSpace": False}
+    head = spark.read.csv(path, header=False, **how).first()  # Spark itself would number repeated names its own way
+    df = spark.read.csv(path, header=True, **how)
+    df = df.toDF(*tidy([h or "" for h in head] if head else df.columns))
     some = F.lit(False)
     for c in df.columns:
         some = some | ~blank(F.col(c))
