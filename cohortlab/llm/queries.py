@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cohortlab.llm import jaccard_join, language_id, media_columns, packing, piece_encoding, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
+from cohortlab.llm import jaccard_join, language_id, media_columns, oracles, packing, piece_encoding, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
 from cohortlab.llm.common import Scratch, table, tokenizer_path
 
 
@@ -63,4 +63,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op5_jaccard_join": oracles.JACCARD}
