@@ -230,11 +230,11 @@ def _difference_prefix(rows: DataFrame, options: JaccardJoin) -> DataFrame:
     """lead, token, rep, linked, label: the index of the third filter."""
     low, high = 100 - options.percent, 100 + options.percent
     d = F.size("more") + F.size("less")
-    # From half of a difference on is shared with any partner that the leader is not linked with.
+    # A linked document's partner is one that the leader is not linked with, and holds half of its difference; the others
+    # share all but what two linked documents may differ by with any partner.
     half = F.floor(d * (high - low) / (2 * high)).cast("int") + 1
     most = F.floor(F.col("n") * (100 + options.percent) / options.percent * low / high).cast("int")
-    # A document that is not linked itself may also have partners that are.
-    length = F.when(F.col("linked"), d - half + 1).otherwise(F.greatest(d - half + 1, F.least(d, most + 1)))
+    length = F.when(F.col("linked"), d - half + 1).otherwise(F.least(d, most + 1))
     ordered = F.concat(F.sort_array("more"), F.sort_array("less"))
     return rows.where(d > 0).select("lead", "rep", "linked", "label", F.explode(F.slice(ordered, 1, length)).alias("token"))
 
