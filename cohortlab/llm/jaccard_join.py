@@ -226,8 +226,8 @@ def _compared(pairs: DataFrame, sets: DataFrame, options: JaccardJoin) -> DataFr
     return out.withColumn("linked", (100 + options.percent) * differ <= (100 - options.percent) * (F.col("n") + F.col("m"))).drop("m")
 
 
-def _difference_prefix(rows: DataFrame, options: JaccardJoin) -> DataFrame:
-    """lead, token, rep, linked, label: the index of the third filter."""
+def _difference_prefix(compared: DataFrame, options: JaccardJoin) -> DataFrame:
+    """lead, rep, linked, tokens: the index entries of the third filter, which are few even where differences are long."""
     low, high = 100 - options.percent, 100 + options.percent
     d = F.size("more") + F.size("less")
     # A linked document's partner is one that the leader is not linked with, and holds half of its difference; the others
@@ -236,18 +236,21 @@ def _difference_prefix(rows: DataFrame, options: JaccardJoin) -> DataFrame:
     most = F.floor(F.col("n") * (100 + options.percent) / options.percent * low / high).cast("int")
     length = F.when(F.col("linked"), d - half + 1).otherwise(F.least(d, most + 1))
     ordered = F.concat(F.sort_array("more"), F.sort_array("less"))
-    return rows.where(d > 0).select("lead", "rep", "linked", "label", F.explode(F.slice(ordered, 1, length)).alias("token"))
+    return compared.select("lead", "rep", "linked", F.slice(ordered, 1, length).alias("tokens"))
 
 
-def _second_links(rows: DataFrame, options: JaccardJoin) -> DataFrame:
-    """Links (a, b) of documents whose leader they are not linked with, decided by the differences."""
-    index = _difference_prefix(rows, options)
+def _candidates(prefixes: DataFrame) -> DataFrame:
+    """lead, a, b: a is not linked with the leader, and their prefixes share a token."""
+    index = prefixes.select("lead", "rep", "linked", "label", F.explode("tokens").alias("token"))
     x = index.where("not linked").select("lead", "token", F.col("rep").alias("a"), F.col("label").alias("la"))
     y = index.select("lead", "token", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("linked").alias("kb"))
-    pairs = x.join(y, ["lead", "token"]).where("la <> lb and (kb or a < b)").select("lead", "a", "b").distinct()
-    own = rows.select("lead", "rep", "n", F.concat("more", "less").alias("d"))
-    one = own.select("lead", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"))
-    two = own.select("lead", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"))
+    return x.join(y, ["lead", "token"]).where("la <> lb and (kb or a < b)").select("lead", "a", "b").distinct()
+
+
+def _second_links(pairs: DataFrame, differences: DataFrame, options: JaccardJoin) -> DataFrame:
+    """Links (a, b) among the candidates, decided by their differences from the leader."""
+    one = differences.select("lead", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"))
+    two = differences.select("lead", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"))
     both = pairs.join(one, ["lead", "a"]).join(two, ["lead", "b"])
     differ = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
     return both.where((100 + options.percent) * differ <= (100 - options.percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
@@ -272,17 +275,22 @@ def link(docs: DataFrame, options: JaccardJoin = JaccardJoin()) -> DataFrame:
     if not pairs.isEmpty():
         wanted = pairs.select("rep").union(pairs.select("lead"))
         sets = scratch.cut(_sets(docs, wanted, options), "sets")
-        compared = scratch.cut(_compared(pairs, sets, options), "compared")
-        scratch.drop("sets", "pairs")
+        compared = scratch.cut(_difference_prefix(_compared(pairs, sets, options), options), "compared")
+        scratch.drop("pairs")
         found.add(compared.where("linked").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
         # Leaders with a document that is not linked, and more than one component among all of theirs.
-        open_ = found.of(compared, "rep", "label")
+        open_ = scratch.cut(found.of(compared, "rep", "label"), "labelled")
         spans = open_.groupBy("lead").agg(F.count("*").alias("k"), F.count(F.when(~F.col("linked"), 1)).alias("loose"), F.min("label").alias("low"), F.max("label").alias("high"))
         open_ = open_.join(spans.where("loose > 0 and k > 1 and low <> high").select("lead"), "lead", "left_semi")
-        links = scratch.cut(_second_links(open_, options), "second")
-        if not links.isEmpty():
-            found.add(links)
-        scratch.drop("compared", "second")
+        again = scratch.cut(_candidates(open_), "candidates")
+        scratch.drop("compared", "labelled")
+        if not again.isEmpty():
+            ends = again.select("lead", F.col("a").alias("rep")).union(again.select("lead", F.col("b").alias("rep"))).distinct()
+            differences = _compared(ends, sets, options).select("lead", "rep", "n", F.concat("more", "less").alias("d"))
+            links = scratch.cut(_second_links(again, scratch.cut(differences, "differences"), options), "second")
+            if not links.isEmpty():
+                found.add(links)
+        scratch.drop("sets", "candidates", "differences")
     named = found.of(classes, "rep", "component")
     named = named.select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "component")
     out = rows.join(named, (rows["f1"] == named["_f1"]) & (rows["f2"] == named["_f2"]) & (rows["n_shingles"] > 0), "left")

@@ -150,13 +150,13 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 def labelled(docs: DataFrame, labels: DataFrame, options: Toxicity) -> DataFrame:
     """text and toxic of the labelled documents to learn from; a broadcast of at most max_documents ids."""
     marks = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != options.held_out_fold))
-    marks = marks.groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
+    marks = marks.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     here = docs.select("doc_id").where("doc_id is not null")
     chosen = (
         marks.join(here, "doc_id", "left_semi")
         .orderBy(F.xxhash64("doc_id"), "doc_id")
         .limit(options.max_documents)
-        .select(F.col("doc_id").alias("marked"), F.col("toxic").cast("int").alias("toxic"))
+        .select(F.col("doc_id").alias("marked"), "toxic")
     )
     return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("marked")).select("text", "toxic")
 
