@@ -300,7 +300,7 @@ def space_time_scan(cases: DataFrame, km: float, share: float, most_bins: int, r
     o, e = F.col("observed").cast("double"), F.col("inside") * F.col("m") / n
     rest = F.when(o < n, (n - o) * F.ln((n - o) / (n - e))).otherwise(0.0)
     scored = windows.withColumn("expected", e).withColumn("llr", F.when(o > e, o * F.ln(o / e) + rest).otherwise(0.0)).persist()
-    best = scored.where("rep > 0").groupBy("rep").agg(F.max("llr").alias("top"))
+    best = scored.where("rep > 0").groupBy("rep").agg(F.max("llr").alias("top")).select("top")
     found = scored.where("rep = 0 and llr > 0").orderBy(F.desc("llr"), F.desc("observed"), "first", "a", "radius").limit(top)
     out = found.join(best, F.col("top") >= F.col("llr") - 1e-9, "left").groupBy(*found.columns).agg(F.count("top").alias("above"))
     centre = places.select(F.col("place").alias("a"), "lat", "lon")
