@@ -12,14 +12,12 @@ from pyspark.sql import DataFrame, SparkSession
 from cohortlab.llm import jaccard_join, language_id, packing, suffix_dedup, toxicity
 from cohortlab.llm.common import Scratch, table, tokenizer_path
 
-#: Above the score from which op8 calls a text toxic: this filter should rather let a doubtful text pass.
-MAX_TOXICITY = 0.5
 #: Below this share of saved distance a text is in no language that was learned.
 MIN_LANGUAGE_SCORE = 0.3
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return toxicity.without_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), MAX_TOXICITY)
+    return toxicity.without_toxic(docs, toxicity.learn(docs, table(spark, sf_dir, "labels")), toxicity.Toxicity().threshold)
 
 
 def keep_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

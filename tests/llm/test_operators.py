@@ -429,3 +429,15 @@ def test_pipeline(spark):
             assert out.columns == docs.columns and 0 < out.count() <= docs.count()
         docs = out
     assert docs.count() > 0
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="no test data")
+def test_pipeline_drops_what_op8_rejects(spark):
+    import corpus_pipeline
+
+    folder = "/root/testdata/sf0.01"
+    docs, labels = spark.read.parquet(f"{folder}/documents.parquet"), spark.read.parquet(f"{folder}/labels.parquet")
+    rows = toxicity.score(docs, toxicity.learn(docs, labels)).collect()
+    assert any(0.3 <= r.score < 0.5 for r in rows)
+    kept = [r.doc_id for r in corpus_pipeline.drop_toxic(spark, docs, folder).collect()]
+    assert sorted(kept) == sorted(r.doc_id for r in rows if not r.predicted)
