@@ -280,7 +280,7 @@ def space_time_scan(cases: DataFrame, km: float, share: float, most_bins: int, r
     rows = cases.select(F.round("lat", 6).alias("lat"), F.round("lon", 6).alias("lon"), F.col("bin").cast("int").alias("bin"), F.col("id"))
     places = rows.groupBy("lat", "lon").agg(F.count("*").alias("k")).withColumn("place", F.xxhash64("lat", "lon")).persist()
     n = rows.count()
-    near = distance_join(places.withColumnRenamed("place", "id"), places.withColumnRenamed("place", "id"), km)
+    near = distance_join(places.withColumnRenamed("place", "id"), places.withColumnRenamed("place", "id"), km).withColumn("km", F.round("km", 9))
     near = near.join(places.select(F.col("place").alias("b"), "k"), "b")
     grown = Window.partitionBy("a").orderBy("km").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     circles = near.withColumn("inside", F.sum("k").over(grown)).where(F.col("inside") <= share * n)
