@@ -3,8 +3,9 @@
 ``parse`` turns HTML into an ordered list of segments: text, and references to media with the caption that belongs to
 them (the figure's caption, else the alternative text). Positions count segments from 0, so text, references and
 captions stay aligned. ``resolve`` joins the references to a store of payloads by digest; a reference whose
-digest the store lacks keeps its place with null payload columns. ``store_texts`` keeps each distinct payload once, as
-a grey picture with 8-bit samples (PNG, written here without loss), and ``read_back`` reads the samples of such a file.
+digest the store lacks keeps its place with null payload columns. ``store_texts`` makes a row for each distinct payload
+with its media file, a grey picture with 8-bit samples (PNG, written here without loss); ``read_back`` reads the samples
+of such files, and all payload columns are derived from those. ``pages_of`` makes the HTML that shows a payload.
 
 Defined results: null or empty HTML is an empty sequence; broken HTML yields what its parser reads; equal payloads
 share one row of the store; a null text is stored like the empty one.
@@ -190,34 +191,52 @@ def feature(samples: bytes, width: int, height: int) -> str:
 STORED = ["n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature"]
 
 
-def store_texts(docs: DataFrame, key: str = "doc_id", with_media: bool = True) -> DataFrame:
-    """key, digest of the payload, the HTML that shows it, the media file if asked for, and what reading the file back
-    gives."""
+def store_texts(docs: DataFrame) -> DataFrame:
+    """digest of the payload, media: a row for each distinct payload."""
+
+    def run(batches):
+        for rows in batches_of(batches, ["text"]):
+            payloads = [payload_of(text)[0] for (text,) in rows]
+            columns = [pa.array([hashlib.sha256(p).hexdigest() for p in payloads], pa.string()), pa.array([write_png(p) for p in payloads], pa.binary())]
+            yield pa.RecordBatch.from_arrays(columns, names=["digest", "media"])
+
+    return docs.select("text").mapInArrow(run, "digest string, media binary").dropDuplicates(["digest"])
+
+
+def read_back(store: DataFrame) -> DataFrame:
+    """digest, and what reading the media file gives. UTF-8 has no byte 255, so those at the end are filling."""
+
+    def run(batches):
+        for rows in batches_of(batches, ["digest", "media"]):
+            out = []
+            for digest, media in rows:
+                back, width, height = read_png(media)
+                out.append((digest, len(back.rstrip(b"\xff")), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(back, width, height)))
+            kinds = [pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=["digest", *STORED])
+
+    schema = "digest string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
+    return store.select("digest", "media").mapInArrow(run, schema)
+
+
+def pages_of(docs: DataFrame, key: str = "doc_id") -> DataFrame:
+    """key, html: the whole text, and the picture of its payload."""
 
     def run(batches):
         for rows in batches_of(batches, [key, "text"]):
             out = []
-            for k, text in rows:
+            for _, text in rows:
                 payload, n = payload_of(text)
-                media = write_png(payload)
-                back, width, height = read_png(media)
                 digest = hashlib.sha256(payload).hexdigest()
-                title = escape(" ".join((text or "")[:80].split()))
-                html = f'<article><p>{title}</p><figure><img src="media/{digest}.png" alt=""><figcaption>{n} bytes</figcaption></figure></article>'
-                read = hashlib.sha256(back).hexdigest()
-                out.append((k, digest, html, n, len(back), read, zlib.crc32(back[-32:]), len(media), hashlib.sha256(media).hexdigest(), feature(back, width, height), *([media] if with_media else [])))
-            kinds = [pa.int64(), pa.string(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary()]
-            names = [key, "digest", "html", *STORED] + ["media"] * with_media
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), kinds)], names=names)
+                out.append(f'<article><p>{escape(text or "")}</p><figure><img src="media/{digest}.png" alt=""><figcaption>{n} bytes</figcaption></figure></article>')
+            yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(out, pa.string())], names=[key, "html"])
 
-    schema = f"{key} long, digest string, html string, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return docs.select(F.col(key).cast("long").alias(key), "text").mapInArrow(run, schema + (", media binary" if with_media else ""))
+    return docs.select(F.col(key).cast("long").alias(key), "text").mapInArrow(run, f"{key} long, html string")
 
 
 def document_media(docs: DataFrame, scratch) -> DataFrame:
-    """Every document's stored form, reached as a reader would: its HTML is parsed, the reference's digest joined to the
-    store of distinct payloads. ``scratch`` takes the encoded table, which both sides read."""
-    encoded = scratch.cut(store_texts(docs, with_media=False), "encoded")
-    store = encoded.select("digest", *STORED).dropDuplicates(["digest"])
-    refs = references(parse(encoded.select("doc_id", "html"), "doc_id"), "doc_id").select("doc_id", "digest", "position", "caption")
+    """Every document's stored form, reached as a reader would: its HTML is parsed, the reference's digest joined to what
+    reading the store of distinct payloads back gives. ``scratch`` takes the store, media files included."""
+    store = read_back(scratch.cut(store_texts(docs), "store"))
+    refs = references(parse(pages_of(docs), "doc_id"), "doc_id").select("doc_id", "digest", "position", "caption")
     return resolve(refs, store).select("doc_id", *STORED, "position", "caption")

@@ -413,6 +413,19 @@ def test_sequences():
     assert media_columns.sequence(None) == [] and media_columns.sequence("") == []
 
 
+def test_media_is_stored(spark, awkward):
+    scratch = Scratch(spark, "media")
+    found = media_columns.document_media(awkward, scratch).collect()
+    store = {r.digest: bytes(r.media) for r in spark.read.parquet(f"{scratch.root}/store").collect()}
+    assert len(store) == len({r.payload_sha256 for r in found}) == spark.read.parquet(f"{scratch.root}/store").count()
+    for r in found:
+        media = store[r.payload_sha256]
+        assert hashlib.sha256(media).hexdigest() == r.media_sha256 and hashlib.sha256(media_columns.read_png(media)[0]).hexdigest() == r.payload_sha256
+    source = texts(awkward)
+    for r in media_columns.parse(media_columns.pages_of(awkward.where("doc_id is not null")), "doc_id").collect():
+        assert [s.text for s in r.segments if s.kind == "text"] == [t for t in [" ".join((source[r.doc_id] or "").split())] if t]
+
+
 # Pipeline
 
 
