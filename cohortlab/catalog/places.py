@@ -27,7 +27,14 @@ def distance_pairs(spark, sf_dir):
 
 @query(QUERIES, f"""select a, b, 1.0 / count(*) over (partition by a) as weight from (select *, row_number() over (partition by a order by round(km, 9), b) as k from {NEAR} where a <> b) where k <= 3""")
 def weights_nearest(spark, sf_dir):
-    return s.k_nearest(_points(spark, sf_dir), 3, 30)
+    """Of those within 30 km, as the SQL has it."""
+    return s.k_nearest(_points(spark, sf_dir), 3, within=30)
+
+
+@query(QUERIES, f"""select a, b, 1.0 / count(*) over (partition by a) as weight from (select a.id as a, b.id as b, row_number() over (partition by a.id order by round({KM.format(a='a', b='b')}, 9), b.id) as k from {POINTS} a, {POINTS} b where a.id <> b.id) where k <= 3""")
+def weights_nearest_all(spark, sf_dir):
+    """However far they are."""
+    return s.k_nearest(_points(spark, sf_dir), 3)
 
 
 WEIGHTS = f"(select a, b, 1.0 / count(*) over (partition by a) as w from {NEAR} where a <> b)"

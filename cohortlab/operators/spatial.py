@@ -85,11 +85,29 @@ def cell_aggregate(points: DataFrame, cell: Column, value: str | None = None) ->
     return points.withColumn("cell", cell).groupBy("cell").agg(F.count("*").alias("count"), F.sum(v).alias("sum"), F.avg(v).alias("mean")).orderBy(F.desc("count"), "cell")
 
 
-def k_nearest(points: DataFrame, k: int, km: float) -> DataFrame:
-    """a, b, weight: the k nearest within the distance, equal weights that sum to 1."""
-    pairs = distance_join(points, points, km).where("a <> b")
-    rank = F.row_number().over(Window.partitionBy("a").orderBy("km", "b"))
-    return _standardised(pairs.withColumn("_k", rank).where(F.col("_k") <= k).select("a", "b"))
+def k_nearest(points: DataFrame, k: int, km: float = 30, within: float | None = None) -> DataFrame:
+    """a, b, weight: the k nearest (of equally far ones those with the smallest ids), equal weights that sum to 1. The
+    search starts with ``km`` and grows fourfold for points that still lack k others, until it spans the earth; ``within`` leaves out
+    what is farther."""
+    most = min(within or math.inf, EARTH_KM * math.pi * 1.001)
+    rank = F.row_number().over(Window.partitionBy("a").orderBy(F.round("km", 9), "b"))
+    shared = points.sparkSession.sparkContext.getCheckpointDir() is not None
+    cut = lambda df: df.checkpoint() if shared else df.localCheckpoint()
+    left, found, reach = points, None, min(km, most)
+    while True:
+        pairs = distance_join(left, points, reach).where("a <> b")
+        near = pairs.withColumns({"_k": rank, "_n": F.count("*").over(Window.partitionBy("a"))}).where(F.col("_k") <= k)
+        now = (near if reach >= most else near.where(F.col("_n") >= k)).select("a", "b")
+        now = cut(now) if reach < most else now
+        found = now if found is None else found.unionByName(now)
+        if reach >= most:
+            break
+        left = left.join(now.select(F.col("a").alias("id")), "id", "left_anti")
+        left = cut(left)
+        if left.isEmpty():
+            break
+        reach = min(4 * reach, most)
+    return _standardised(found)
 
 
 def distance_band(points: DataFrame, km: float) -> DataFrame:

@@ -7,6 +7,7 @@ from collections import Counter
 import pytest
 
 from cohortlab import queries as engine
+from cohortlab.operators import spatial
 
 #: The smallest tables have 15 users only.
 DATA = "/root/testdata/sf0.01"
@@ -43,3 +44,14 @@ def test_space_time_all_errors(spark):
     for r in out:
         assert found[r.lat, r.lon, r.km, r.first, r.last] == pytest.approx((r.observed, r.expected, r.llr), abs=1e-5)
         assert 1 <= round(r.p * 100) <= 100 and r.p * 100 == pytest.approx(round(r.p * 100), abs=1e-3)
+
+
+def test_k_nearest_far(spark):
+    """Points that have fewer than k others within the first distance, down to one at the other side of the earth."""
+    points = [(i, 40 + i % 4 * 0.01 + i * 0.0007, 5 + i * 0.013) for i in range(12)] + [(20, 47.0, 9.0), (21, -41.0, -179.5), (22, -41.3, 179.7), (23, 88.0, 100.0)]
+    expected = set()
+    for i, *p in points:
+        expected |= {(i, j) for _, j in sorted((km(p, q), j) for j, *q in points if j != i)[:3]}
+    rows = spatial.k_nearest(spark.createDataFrame(points, "id long, lat double, lon double"), 3).collect()
+    assert {(r.a, r.b) for r in rows} == expected and len(rows) == len(expected)
+    assert all(r.weight == pytest.approx(1 / 3) for r in rows)
