@@ -6,6 +6,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -66,6 +67,32 @@ class Scratch:
         jvm.System.gc()
 
 
+def unused_name(df: DataFrame, base: str) -> str:
+    """A column name that the frame lacks, whatever the case."""
+    taken = {c.lower() for c in df.columns}
+    while base in taken:
+        base = f"_{base}"
+    return base
+
+
+def partition_names(parts: int) -> np.ndarray:
+    """For each of so many partitions an int that Spark's hash partitioning sends there, so that rows dealt by hand into
+    as many buckets fill them evenly. It is murmur3 of 32 bits, seed 42."""
+    names, at = np.full(parts, -1, np.int32), 0
+    while (names < 0).any():
+        some = np.arange(at, at + 4 * parts, dtype=np.uint32)
+        h = some * np.uint32(0xCC9E2D51)
+        h = ((h << np.uint32(15)) | (h >> np.uint32(17))) * np.uint32(0x1B873593) ^ np.uint32(42)
+        h = ((h << np.uint32(13)) | (h >> np.uint32(19))) * np.uint32(5) + np.uint32(0xE6546B64) ^ np.uint32(4)
+        for shift, factor in ((16, 0x85EBCA6B), (13, 0xC2B2AE35), (16, 1)):
+            h = (h ^ (h >> np.uint32(shift))) * np.uint32(factor)
+        place = h.view(np.int32) % np.int32(parts)
+        fresh = names[place] < 0
+        names[place[fresh]] = some[fresh].view(np.int32)
+        at += 4 * parts
+    return names
+
+
 def let(value: Column, body) -> Column:
     """``body`` applied to ``value``, which is computed once per row whatever ``body`` does with it."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

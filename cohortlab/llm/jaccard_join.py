@@ -6,7 +6,8 @@ are one class, found by a 128-bit fingerprint; the join works on one representat
 Candidates come from two prefix filters, one inside the other:
 
 1. Of a set of n, any partner shares at least a = ceil(t n). In one global order (by hash) the first n - a + j of both
-   sets share at least j tokens. Only these *lists* are counted and exchanged, never whole sets.
+   sets share at least j tokens. Only these *lists* are counted and exchanged, never whole sets: packed, a token
+   once, to the task that counts it, and back to the document only if another list holds it too.
 2. Inside the lists tokens are ordered anew, rare ones first. Lists that share j tokens share k of their first
    (length - j + k). Tokens found in one list only come first of all and need no index entry; a document whose
    prefix consists of them has no partner.
@@ -14,27 +15,36 @@ Candidates come from two prefix filters, one inside the other:
 The index holds single tokens where they are rare (in at most ``rare`` lists). Frequent tokens are dealt by hash into
 B classes, and only pairs of one class are indexed; with k = B + 1 shared tokens either one of them is rare, or some
 class has two of them. B grows with the set size, in bands of powers of two, so an index never has more than about as
-many entries as the document has shingles; a document near the edge of a band is indexed in both.
+many entries as the document has shingles; a document near the edge of a band is indexed in both. A token that fills
+a batch (``hot`` of its lists) is counted there at once; such tokens are the most frequent class of all, ordered by hash.
 
 Entries are also dealt by size, so that only documents of similar size share a group; one near the edge of a size class is
-in two. Verification never pairs up a whole group:
+in two. A group of at most ``small`` documents proposes its pairs, a number bounded by a constant per entry. A larger
+group never does:
 
-* Each group names its most central document the leader, and every other is compared with it alone. The comparison gives
-  the tokens by which they differ. Links are contracted.
-* What is left to find are links of documents x that are not linked with their leader c. If x and y are linked and
-  D(x), D(y) are their differences from c, then |D(x) ^ D(y)| = |x ^ y| <= k (|x| + |y|) with k = (100 - percent) / (100 +
-  percent), and since |D(x)| > k (|x| + |c|) and |y| <= |c| + |D(y)|, D(x) and D(y) share more than (1 - k) |D(y)| / 2 tokens.
-  So a third prefix filter, over differences, with the tokens that c lacks first, finds every such pair, and the
-  differences alone decide it. Tokens that a whole group shares play no part.
+* It names its most central document the leader, and every other is a candidate with it alone.
+* What is left to find are links of documents x that are not connected with their leader c. If x and y are linked and
+  D(x), D(y) are their differences from c, then |D(x) ^ D(y)| = |x ^ y| <= T(x, y) = k (|x| + |y|) with k = (100 - percent) /
+  (100 + percent), so they share at least (|D(x)| + |D(y)| - T) / 2 tokens of their differences; ``least_common`` turns that
+  into a bound for one side alone. So a third prefix filter, over differences, rare tokens of the leader's group
+  first, finds every such pair. A token that only one difference holds needs no entry; where texts differ by words of
+  their own, that is half of each difference and leaves next to nothing to index.
+
+Candidates are first screened by parity sketches: bit h mod b of a set's sketch tells whether an odd number of its
+tokens falls there, so two sketches never differ in more bits than their sets in tokens. Only pairs that pass are
+compared token by token.
 
 Contract: 100 |x & y| >= percent |x | y|. Defined results: a null, empty or wordless text has an empty set, its own
 component, and no links; a text of fewer than ``width`` words has its whole sequence as the only shingle; a null
-doc_id has a null component; repeated rows are answered each.
+doc_id has a null component; an empty table gives an empty one. Rows that share a doc_id are one document with one
+component: each row is answered by its own set's size and equals, and the smallest of their texts stands for all when
+similar ones are searched. Only doc_id and text are read, so other columns and their names do not matter.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -42,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import MEMO_LIMIT, Scratch, batches_of
+from cohortlab.llm.common import Scratch, batches_of, partition_names, unused_name
 from cohortlab.llm.components import Components
 
 
@@ -51,7 +61,10 @@ class JaccardJoin:
     width: int = 5
     percent: int = 80
     rare: int = 24
+    hot: int = 48  # lists of one batch that hold a token
+    small: int = 8  # documents of a group that proposes all its pairs
     size_ratio: float = 1.3  # of size classes; above 100 / percent
+    batch_bytes: int = 4 << 20
     broadcast_ids: int = 1_000_000  # a list of ids is broadcast up to this size, and joined by a shuffle beyond it
 
     def least_shared(self, n):
@@ -62,6 +75,10 @@ class JaccardJoin:
         """j of the first filter; never falls with n."""
         return np.minimum(self.least_shared(n), 3 + n * (100 - self.percent) // 160)
 
+    def listed(self, n):
+        """Length of the list of a set of n."""
+        return n - self.least_shared(n) + self.extra(n)
+
     def least_size(self, n):
         return -(-self.percent * n // 100)
 
@@ -73,8 +90,14 @@ class JaccardJoin:
         share = max(1, int(n) * (100 - self.percent) // 640)
         return 1 << (share.bit_length() - 1)
 
+    @property
+    def least(self) -> int:
+        """Smaller sets have only their equals: one differing shingle breaks the link."""
+        return next(n for n in range(1, 200) if 100 * n >= self.percent * (n + 1))
+
 
 MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5, 0xD6E8FEB86659FD93)]
+HOT_COUNT = 1 << 40
 
 
 def mixed(x: np.ndarray) -> np.ndarray:
@@ -86,63 +109,118 @@ def mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(33))
 
 
-class Shingler:
-    """Sorted distinct shingle hashes of a text; words are hashed once per worker."""
-
-    class _Words(dict):
-        def __missing__(self, word: bytes) -> int:
-            value = xxhash.xxh3_64_intdigest(word)
-            if len(word) <= 64:
-                self[word] = value
-            return value
-
-    words = _Words()
-
-    def __init__(self, width: int):
-        self.width = width
-
-    def shingles(self, text: str | None) -> np.ndarray:
-        # bytes.lower() and bytes.split() know ASCII only: exactly A-Z and the six blanks of the word rule.
-        words = (text or "").encode().lower().split()
-        if not words:
-            return np.empty(0, np.uint64)
-        memo = Shingler.words
-        if len(memo) > MEMO_LIMIT:
-            memo.clear()
-        hashes = np.fromiter(map(memo.__getitem__, words), np.uint64, len(words))
-        width = min(self.width, len(words))
-        total = np.full(len(words) - width + 1, width, np.uint64)
-        for i in range(width):
-            total += mixed(hashes[i : len(words) - width + 1 + i] + MULTIPLIERS[i % 5] * np.uint64(1 + i // 5)) * MULTIPLIERS[-1 - i % 5]
-        return np.unique(mixed(total))
+# Shingles ----------------------------------------------------------------------------------------------------
+
+CHUNK = 1 << 16
+LONG_WORD = 256
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 11, 12, 13, 32]] = True
+FACTOR = 0x9E3779B97F4A7C15  # odd, so that it has an inverse
+
+
+@lru_cache(maxsize=1)
+def _powers() -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """A value for every byte, the same for A-Z and a-z; powers of the factor; and their inverses."""
+    value = mixed(np.arange(1, 257, dtype=np.uint64) * MULTIPLIERS[1])
+    value[ord("A") : ord("Z") + 1] = value[ord("a") : ord("z") + 1]
+    power = lambda x: np.cumprod(np.r_[np.uint64(1), np.full(CHUNK - 1, x, np.uint64)])
+    return value, power(FACTOR), power(pow(FACTOR, -1, 1 << 64))
+
+
+def word_hashes(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """(hash, first byte) of every word of UTF-8 bytes, A-Z as a-z: a polynomial over the word's bytes, from running sums
+    over chunks that end between words; long words by another hash."""
+    value, power, inverse = _powers()
+    hashes, firsts, at = [], [], 0
+    while at < len(data):
+        end = min(len(data), at + CHUNK)
+        part = np.frombuffer(data, np.uint8, end - at, at)
+        blank = BLANK[part]
+        edge = np.flatnonzero(np.diff(np.r_[True, blank, True].view(np.int8)))
+        first, last = edge[::2], edge[1::2]
+        if end < len(data) and len(last) and last[-1] == len(part):  # the last word may go on in the next chunk
+            if first[-1] > 0:
+                end = at + int(first[-1])
+            else:
+                while end < len(data) and not BLANK[data[end]]:
+                    end += 1
+                hashes.append(np.array([xxhash.xxh3_64_intdigest(data[at:end].lower())], np.uint64))
+                firsts.append(np.array([at]))
+            first, last = first[:-1], last[:-1]
+        if len(first):
+            total = np.zeros(len(part) + 1, np.uint64)
+            np.cumsum(value[part] * power[: len(part)], out=total[1:])
+            found = mixed((total[last] - total[first]) * inverse[first] + (last - first).astype(np.uint64) * MULTIPLIERS[2])
+            for i in np.flatnonzero(last - first > LONG_WORD).tolist():
+                found[i] = xxhash.xxh3_64_intdigest(data[at + int(first[i]) : at + int(last[i])].lower())
+            hashes.append(found)
+            firsts.append(at + first)
+        at = end
+    if not hashes:
+        return np.empty(0, np.uint64), np.empty(0, np.int64)
+    return np.concatenate(hashes), np.concatenate(firsts)
+
+
+def shingle_sets(texts: list[str | None], width: int) -> list[np.ndarray]:
+    """The sorted distinct shingle hashes of each text."""
+    encoded = [(t or "").encode() for t in texts]
+    hashes, firsts = word_hashes(b" ".join(encoded))
+    begins = np.cumsum([0] + [len(e) + 1 for e in encoded])
+    cuts = np.searchsorted(firsts, begins).tolist()
+
+    def combined(width: int, hashes: np.ndarray) -> np.ndarray:
+        windows = len(hashes) - width + 1
+        total = np.full(max(0, windows), width, np.uint64)
+        for i in range(width if windows > 0 else 0):
+            total += mixed(hashes[i : windows + i] + MULTIPLIERS[i % 5] * np.uint64(1 + i // 5)) * MULTIPLIERS[-1 - i % 5]
+        return mixed(total)
+
+    everywhere, out = combined(width, hashes), []
+    for a, b in zip(cuts, cuts[1:]):
+        found = everywhere[a : b - width + 1] if b - a >= width else combined(b - a, hashes[a:b]) if b > a else hashes[:0]
+        found = np.sort(found)
+        out.append(found[np.r_[True, found[1:] != found[:-1]]] if len(found) else found)
+    return out
+
+
+def sketch(found: np.ndarray) -> bytes:
+    """Parities of a set of n by the hash modulo a power of two from 2 n on."""
+    bits = max(64, 1 << (2 * len(found)).bit_length())
+    counts = np.bincount((found & np.uint64(bits - 1)).astype(np.int64), minlength=bits)
+    return np.packbits((counts & 1).astype(bool), bitorder="little").tobytes()
+
+
+def least_distance(a: bytes, b: bytes) -> int:
+    """Two sets differ by at least so many tokens; a larger sketch is folded to the size of the other."""
+    if len(a) < len(b):
+        a, b = b, a
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
+    while len(x) > len(y):
+        x = x[: len(x) // 2] ^ x[len(x) // 2 :]
+    return int(np.bitwise_count(x ^ y).sum())
 
 
 def fingerprints(docs: DataFrame, options: JaccardJoin) -> DataFrame:
-    """doc_id, n_shingles, the set's fingerprint (f1, f2), and the list of the first filter."""
+    """doc_id, n_shingles, the set's fingerprint (f1, f2) and sketch."""
 
     def run(batches):
-        make = Shingler(options.width)
-        for rows in batches_of(batches, ["doc_id", "text"]):
-            out = []
-            for doc, text in rows:
-                found = make.shingles(text)
-                n = len(found)
-                mark = xxhash.xxh3_128_digest(found.tobytes())
-                f1, f2 = np.frombuffer(mark, np.int64).tolist()
-                length = n - options.least_shared(n) + options.extra(n)
-                out.append((doc, n, f1, f2, found[:length].view(np.int64)))
-            columns = list(zip(*out))
+        for rows in batches_of(batches, ["doc_id", "text"], options.batch_bytes):
+            sets = shingle_sets([r[1] for r in rows], options.width)
+            marks = np.frombuffer(b"".join(xxhash.xxh3_128_digest(s) for s in sets), np.int64).reshape(-1, 2)
             yield pa.RecordBatch.from_arrays(
-                [pa.array(c, pa.int64()) for c in columns[:4]] + [pa.array(columns[4], pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "f1", "f2", "list"],
-            )
+                [pa.array([r[0] for r in rows], pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(marks[:, 0]), pa.array(marks[:, 1]),
+                 pa.array([sketch(s) if len(s) >= options.least else None for s in sets], pa.binary())],
+                names=["doc_id", "n_shingles", "f1", "f2", "sketch"],
+            )
 
-    schema = "doc_id long, n_shingles long, f1 long, f2 long, list array<long>"
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, schema)
+    return docs.mapInArrow(run, "doc_id long, n_shingles long, f1 long, f2 long, sketch binary")
 
 
-def index_keys(n: int, listed: int, matched: list[tuple[int, int]], options: JaccardJoin) -> np.ndarray:
-    """Index keys of one document. matched: (lists that hold it, token) of its list's tokens that others have too."""
+# Index -------------------------------------------------------------------------------------------------------
+
+
+def index_keys(n: int, listed: int, matched: np.ndarray, counts: np.ndarray, options: JaccardJoin) -> np.ndarray:
+    """Index keys of one document. matched, counts: its list's tokens that others have too, and the lists that hold each."""
     sizes = range(options.least_size(n), options.most_size(n) + 1)
     bands = sorted({options.classes(sizes[0]), options.classes(n), options.classes(sizes[-1])})
     band = bands[0]
@@ -154,147 +232,325 @@ def index_keys(n: int, listed: int, matched: list[tuple[int, int]], options: Jac
     prefix = listed - least + shared - (listed - len(matched))
     if prefix <= 0:
         return np.empty(0, np.uint64)
-    chosen = sorted(matched)[:prefix]
-    single = np.array([t for d, t in chosen if d <= options.rare], np.int64).view(np.uint64)
-    often = np.array([t for d, t in chosen if d > options.rare], np.int64).view(np.uint64)
-    keys = [single]
+    chosen = np.lexsort((matched, counts))[:prefix]
+    rare = counts[chosen] <= options.rare
+    often = matched[chosen[~rare]]
+    keys = [matched[chosen[rare]]]
     for band in bands if len(often) > 1 else []:
-        dealt = (mixed(often) % np.uint64(band)).astype(np.int64)
-        for c in range(band):
-            own = np.sort(often[dealt == c])
-            i, j = np.triu_indices(len(own), 1)
-            keys.append(mixed(own[i] * MULTIPLIERS[0] + own[j] * MULTIPLIERS[1] + np.uint64(band)))
+        dealt = mixed(often) % np.uint64(band)
+        order = np.lexsort((often, dealt))
+        own_class, own = dealt[order], often[order]
+        # Pairs of one class: each token with those some places further on, as long as any has.
+        for step in range(1, len(own)):
+            same = own_class[step:] == own_class[:-step]
+            if not same.any():
+                break
+            keys.append(mixed(own[:-step][same] * MULTIPLIERS[0] + own[step:][same] * MULTIPLIERS[1] + np.uint64(band)))
     return np.unique(np.concatenate(keys))
 
 
-def _entries(reps: DataFrame, options: JaccardJoin) -> DataFrame:
+HEADER = np.dtype([("doc", "<i8"), ("n", "<u4"), ("k", "<u4")])
+
+
+def _pack(docs: np.ndarray, sizes: np.ndarray, *columns: np.ndarray) -> bytes:
+    """Rows grouped by document: the number of groups, their headers, and the columns of 64-bit numbers."""
+    cuts = np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]])
+    head = np.empty(len(cuts), HEADER)
+    head["doc"], head["n"], head["k"] = docs[cuts], sizes[cuts], np.diff(np.r_[cuts, len(docs)])
+    return len(cuts).to_bytes(4, "little") + head.tobytes() + b"".join(np.ascontiguousarray(c).tobytes() for c in columns)
+
+
+def _unpack(blobs: list[bytes], width: int) -> tuple[np.ndarray, ...]:
+    """docs, sizes and the columns of all blobs, a number for each row."""
+    docs, sizes, columns = [], [], [[] for _ in range(width)]
+    for blob in blobs:
+        groups = int.from_bytes(blob[:4], "little")
+        head = np.frombuffer(blob, HEADER, groups, 4)
+        docs.append(np.repeat(head["doc"], head["k"]))
+        sizes.append(np.repeat(head["n"], head["k"]))
+        rows = np.frombuffer(blob, np.uint64, -1, 4 + HEADER.itemsize * groups).reshape(width, -1)
+        for column, row in zip(columns, rows):
+            column.append(row)
+    return tuple(np.concatenate(x) for x in (docs, sizes, *columns))
+
+
+def _dealt(kind: str, bucket: np.ndarray, docs: np.ndarray, sizes: np.ndarray, *columns: np.ndarray) -> list[tuple[int, str, bytes]]:
+    """(bucket, kind, blob) of every bucket's rows."""
+    order = np.lexsort((docs, bucket))
+    bucket, docs, sizes, columns = bucket[order], docs[order], sizes[order], [c[order] for c in columns]
+    cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]][: len(bucket)]), len(bucket)]
+    return [(int(bucket[a]), kind, _pack(docs[a:b], sizes[a:b], *(c[a:b] for c in columns))) for a, b in zip(cuts[:-1], cuts[1:])]
+
+
+def _entries(docs: DataFrame, options: JaccardJoin) -> DataFrame:
     """grp, rep, n, place for every index entry; the least place in a group is its most central document's: few tokens of
     its own, and the others' tokens in common."""
-    rows = reps.select("rep", "n", F.size("list").alias("listed"), F.explode("list").alias("token"))
-    often = rows.groupBy("token").agg(F.count("*").alias("lists")).where("lists > 1")
-    found = rows.join(often, "token").groupBy("rep", "n", "listed").agg(F.collect_list(F.struct("lists", "token")).alias("matched"))
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    # Kinds of blobs: t, tokens to count; h, hot tokens of one batch; m, tokens that other lists hold, with counts.
+    schema = "bucket int, kind string, blob binary"
+
+    names = partition_names(parts)
+
+    def spread(values: np.ndarray) -> np.ndarray:
+        return names[(mixed(values.astype(np.uint64)) % np.uint64(parts)).astype(np.int64)]
+
+    def batch(rows: list[tuple[int, str, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate((pa.int32(), pa.string(), pa.binary()))], names=["bucket", "kind", "blob"])
+
+    def blobs(batches):
+        found: dict[str, list[bytes]] = {"t": [], "h": [], "m": []}
+        for b in batches:
+            for kind, blob in zip(b.column("kind").to_pylist(), b.column("blob").to_pylist()):
+                found[kind].append(blob)
+        return found
+
+    def give(batches):
+        for rows in batches_of(batches, ["doc_id", "text"], options.batch_bytes):
+            sets = shingle_sets([r[1] for r in rows], options.width)
+            lists = [s[: options.listed(len(s))] if len(s) >= options.least else s[:0] for s in sets]
+            lengths = [len(x) for x in lists]
+            docs = np.repeat(np.array([r[0] for r in rows], np.int64), lengths)
+            sizes = np.repeat(np.array([len(s) for s in sets], np.int64), lengths)
+            tokens = np.concatenate(lists)
+            if not len(tokens):
+                continue
+            values, which, counts = np.unique(tokens, return_inverse=True, return_counts=True)
+            hot = counts[which] >= options.hot
+            out = _dealt("t", spread(tokens[~hot]), docs[~hot], sizes[~hot], tokens[~hot])
+            if hot.any():
+                # The lists' own part stays with the documents; the counting task learns of each hot token once.
+                out += _dealt("m", spread(docs[hot]), docs[hot], sizes[hot], tokens[hot], np.full(hot.sum(), HOT_COUNT, np.uint64))
+                named = values[counts >= options.hot]
+                none = np.zeros(len(named), np.int64)
+                out += _dealt("h", spread(named), none, none, named)
+            yield batch(out)
+
+    def meet(batches):
+        found = blobs(batches)
+        if found["m"]:  # on their way to the documents' tasks
+            for a in range(0, len(found["m"]), 1000):
+                part = found["m"][a : a + 1000]
+                first = np.array([int.from_bytes(b[4:12], "little", signed=True) for b in part])
+                yield batch(list(zip(spread(first).tolist(), ["m"] * len(part), part)))
+        if not found["t"]:
+            return
+        docs, sizes, tokens = _unpack(found.pop("t"), 1)
+        order = np.argsort(tokens, kind="stable")
+        docs, sizes, tokens = docs[order], sizes[order], tokens[order]
+        cuts = np.flatnonzero(np.r_[True, tokens[1:] != tokens[:-1]])
+        lengths = np.diff(np.r_[cuts, len(tokens)])
+        counts = np.where(np.isin(tokens[cuts], _unpack(found["h"], 1)[2]), HOT_COUNT, lengths) if found["h"] else lengths
+        counts = np.repeat(counts, lengths)
+        keep = counts > 1
+        if keep.any():
+            yield batch(_dealt("m", spread(docs[keep]), docs[keep], sizes[keep], tokens[keep], counts[keep].astype(np.uint64)))
+
+    def gather(batches):
+        found = blobs(batches)["m"]
+        if not found:
+            return
+        docs, sizes, tokens, counts = _unpack(found, 2)
+        order = np.argsort(docs, kind="stable")
+        docs, sizes, tokens, counts = docs[order], sizes[order], tokens[order], counts[order].astype(np.int64)
+        cuts = np.r_[np.flatnonzero(np.r_[True, docs[1:] != docs[:-1]]), len(docs)].tolist()
+        made: list[tuple] = []
+        waiting = 0
+
+        def table():
+            keys = np.concatenate([m[0] for m in made])
+            repeat = lambda i: np.repeat(np.array([m[i] for m in made], np.int64), [len(m[0]) for m in made])
+            return pa.RecordBatch.from_arrays([pa.array(keys.view(np.int64)), *(pa.array(repeat(i)) for i in (1, 2, 3))], names=["grp", "rep", "n", "place"])
+
+        for a, b in zip(cuts, cuts[1:]):
+            n = int(sizes[a])
+            listed = int(options.listed(n))
+            own = index_keys(n, listed, tokens[a:b], counts[a:b], options)
+            if not len(own):
+                continue
+            # Sizes of a linked pair differ by less than a class, so one class up and its own hold both.
+            size = int(np.log(n) / np.log(options.size_ratio))
+            own = np.concatenate([mixed(own + np.uint64((size + i) * int(MULTIPLIERS[3]) % (1 << 64))) for i in (0, 1)])
+            made.append((own, int(docs[a]), n, (listed - (b - a)) * (1 << 24) - int(np.minimum(counts[a:b], 1 << 20).mean())))
+            waiting += len(own)
+            if waiting > 200_000:
+                yield table()
+                made, waiting = [], 0
+        if made:
+            yield table()
+
+    met = docs.mapInArrow(give, schema).repartition(parts, "bucket").mapInArrow(meet, schema)
+    return met.repartition(parts, "bucket").mapInArrow(gather, "grp long, rep long, n long, place long")
+
+
+def _groups(entries: DataFrame, options: JaccardJoin) -> tuple[DataFrame, DataFrame]:
+    """Groups of two as (a, b), and the entries of larger ones with the group's leader and number of documents."""
+    found = entries.groupBy("grp").agg(F.min(F.struct("place", "rep")).alias("l"), F.min("rep").alias("a"), F.max("rep").alias("b"), F.count("*").alias("k"))
+    large = found.where("k > 2").select("grp", "k", F.col("l.rep").alias("lead"))
+    return found.where("k = 2").select("a", "b"), entries.join(large, "grp").select("grp", "rep", "n", "lead", "k")
+
+
+def _small_pairs(members: DataFrame, options: JaccardJoin) -> DataFrame:
+    """The pairs of groups of at most ``small`` documents, whose sizes allow a link."""
+    rows = members.where(F.col("k") <= options.small).groupBy("grp").agg(F.sort_array(F.collect_list(F.struct("n", "rep"))).alias("m"))
+    pairs = rows.select(F.posexplode("m").alias("i", "x"), "m").select("x", F.explode(F.expr("slice(m, i + 2, size(m))")).alias("y"))
+    able = 100 * F.col("x.n") >= options.percent * F.col("y.n")
+    return pairs.where(able).select(F.least("x.rep", "y.rep").alias("a"), F.greatest("x.rep", "y.rep").alias("b"))
+
+
+# Verification ------------------------------------------------------------------------------------------------
+
+
+def _only(df: DataFrame, key: str, ids: DataFrame, options: JaccardJoin, how: str = "left_semi") -> DataFrame:
+    """The rows whose key is (or, by left_anti, is not) among the ids, a frame of one column."""
+    name = unused_name(df, "wanted")
+    ids = ids.toDF(name).distinct()
+    if ids.count() <= options.broadcast_ids:
+        ids = F.broadcast(ids)
+    return df.join(ids, F.col(key) == F.col(name), how)
+
+
+def _likely(pairs: DataFrame, sketches: DataFrame, options: JaccardJoin) -> DataFrame:
+    """(a, b) whose sketches do not rule out a link."""
+    side = lambda k: sketches.select(F.col("doc_id").alias(k), F.col("n_shingles").alias(f"n{k}"), F.col("sketch").alias(f"s{k}"))
+    both = pairs.join(side("a"), "a").join(side("b"), "b")
+    both = both.where((100 * F.col("na") >= options.percent * F.col("nb")) & (100 * F.col("nb") >= options.percent * F.col("na")))
 
     def run(batches):
-        for rows in batches_of(batches, ["rep", "n", "listed", "matched"]):
-            reps, sizes, places, keys = [], [], [], []
-            for rep, n, listed, matched in rows:
-                own = index_keys(n, listed, [(m["lists"], m["token"]) for m in matched], options)
-                # Sizes of a linked pair differ by less than a class, so one class up and its own hold both.
-                size = int(np.log(n) / np.log(options.size_ratio))
-                own = np.concatenate([mixed(own + np.uint64((size + i) * int(MULTIPLIERS[3]) % (1 << 64))) for i in (0, 1)])
-                keys.append(own.view(np.int64))
-                reps.append(np.full(len(own), rep))
-                sizes.append(np.full(len(own), n))
-                places.append(np.full(len(own), (listed - len(matched)) * (1 << 40) - sum(min(m["lists"], 1 << 20) for m in matched) // max(1, len(matched))))
-            join = lambda parts: pa.array(np.concatenate(parts), pa.int64())
-            yield pa.RecordBatch.from_arrays([join(keys), join(reps), join(sizes), join(places)], names=["grp", "rep", "n", "place"])
-
-    return found.mapInArrow(run, "grp long, rep long, n long, place long")
-
-
-def _led(entries: DataFrame) -> DataFrame:
-    """Distinct (lead, rep): every document with the leaders of its groups."""
-    leaders = entries.groupBy("grp").agg(F.min(F.struct("place", "rep")).alias("l"), F.count("*").alias("k")).where("k > 1")
-    met = entries.select("grp", "rep").join(leaders.select("grp", F.col("l.rep").alias("lead")), "grp")
-    return met.where("rep <> lead").select("lead", "rep").distinct()
+        for rows in batches_of(batches, ["a", "b", "sa", "sb", "na", "nb"]):
+            able = [r[:2] for r in rows if (100 + options.percent) * least_distance(r[2], r[3]) <= (100 - options.percent) * (r[4] + r[5])]
+            yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in able], pa.int64()) for i in (0, 1)], names=["a", "b"])
+
+    return both.mapInArrow(run, "a long, b long")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame, options: JaccardJoin) -> DataFrame:
     """rep, items: the whole shingle sets of the wanted documents."""
-    ids = wanted.select(F.col("rep").alias("wanted")).distinct()
-    if ids.count() <= options.broadcast_ids:
-        ids = F.broadcast(ids)
-    rows = docs.select(F.col("doc_id").cast("long").alias("rep"), "text").join(ids, F.col("rep") == F.col("wanted"), "left_semi")
 
     def run(batches):
-        make = Shingler(options.width)
-        for rows in batches_of(batches, ["rep", "text"]):
-            items = [make.shingles(r[1]).view(np.int64) for r in rows]
+        for rows in batches_of(batches, ["doc_id", "text"], options.batch_bytes):
+            items = [s.view(np.int64) for s in shingle_sets([r[1] for r in rows], options.width)]
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(items, pa.list_(pa.int64()))], names=["rep", "items"])
 
-    return rows.mapInArrow(run, "rep long, items array<long>").dropDuplicates(["rep"])
+    return _only(docs, "doc_id", wanted, options).mapInArrow(run, "rep long, items array<long>")
 
 
-def _compared(pairs: DataFrame, sets: DataFrame, options: JaccardJoin) -> DataFrame:
-    """lead, rep, n, more and less (what rep has that lead lacks, and the other way round), linked. The set of rep travels,
-    that of lead, which has many partners, stays where it is."""
-    right = sets.select("rep", F.col("items").alias("own"))
-    left = sets.select(F.col("rep").alias("lead"), F.col("items").alias("of_lead"))
-    both = pairs.join(right, "rep").join(left, "lead")
-    out = both.select("lead", "rep", F.size("own").alias("n"), F.size("of_lead").alias("m"), F.array_except("own", "of_lead").alias("more"), F.array_except("of_lead", "own").alias("less"))
-    differ = F.size("more") + F.size("less")
-    return out.withColumn("linked", (100 + options.percent) * differ <= (100 - options.percent) * (F.col("n") + F.col("m"))).drop("m")
+def _linked(pairs: DataFrame, sets: DataFrame, options: JaccardJoin) -> DataFrame:
+    """The links among the pairs (a, b), by their whole sets."""
+    one = sets.select(F.col("rep").alias("a"), F.col("items").alias("x"))
+    two = sets.select(F.col("rep").alias("b"), F.col("items").alias("y"))
+    both = pairs.join(one, "a").join(two, "b").withColumn("shared", F.size(F.array_intersect("x", "y")))
+    return both.where(100 * F.col("shared") >= options.percent * (F.size("x") + F.size("y") - F.col("shared"))).select("a", "b")
 
 
-def _difference_prefix(compared: DataFrame, options: JaccardJoin) -> DataFrame:
-    """lead, rep, linked, tokens: the index entries of the third filter, which are few even where differences are long."""
-    low, high = 100 - options.percent, 100 + options.percent
-    d = F.size("more") + F.size("less")
-    # A linked document's partner is one that the leader is not linked with, and holds half of its difference; the others
-    # share all but what two linked documents may differ by with any partner.
-    half = F.floor(d * (high - low) / (2 * high)).cast("int") + 1
-    most = F.floor(F.col("n") * (100 + options.percent) / options.percent * low / high).cast("int")
-    length = F.when(F.col("linked"), d - half + 1).otherwise(F.least(d, most + 1))
-    ordered = F.concat(F.sort_array("more"), F.sort_array("less"))
-    return compared.select("lead", "rep", "linked", F.slice(ordered, 1, length).alias("tokens"))
+def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
+    """For (lead, rep) and the columns that come with them: n and m, the sizes of rep's and lead's sets, and d, the tokens
+    that one of both has."""
+    own = sets.select("rep", F.col("items").alias("own"))
+    lead = sets.select(F.col("rep").alias("lead"), F.col("items").alias("of_lead"))
+    both = pairs.join(own, "rep").join(lead, "lead")
+    differ = F.concat(F.array_except("own", "of_lead"), F.array_except("of_lead", "own"))
+    return both.select(*pairs.columns, F.size("own").alias("n"), F.size("of_lead").alias("m"), differ.alias("d"))
 
 
-def _candidates(prefixes: DataFrame) -> DataFrame:
-    """lead, a, b: a is not linked with the leader, and their prefixes share a token."""
-    index = prefixes.select("lead", "rep", "linked", "label", F.explode("tokens").alias("token"))
-    x = index.where("not linked").select("lead", "token", F.col("rep").alias("a"), F.col("label").alias("la"))
-    y = index.select("lead", "token", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("linked").alias("kb"))
-    return x.join(y, ["lead", "token"]).where("la <> lb and (kb or a < b)").select("lead", "a", "b").distinct()
+def least_common(d, n, m, options: JaccardJoin):
+    """What the difference d of a set of n from a leader of m shares at least with that of a partner: (if the partner is
+    not linked with the leader, if it is or may be). For a linked document the partner never is."""
+    low, high = 100 - options.percent, 100 + options.percent
+    linked = high * d <= low * (n + m)
+    # T of the largest partner, and half of what d exceeds the partner's own least or most distance by.
+    far = d - F.floor(low * (n + F.floor(100 * n / options.percent)) / high)
+    half = F.floor((high * d + low * (m - n)) / (2 * high)) + 1
+    half = F.greatest(half, F.lit(1))
+    return F.when(linked, half).otherwise(F.greatest(half, far)), F.when(linked, half).otherwise(F.greatest(far, F.lit(1)))
+
+
+def _difference_entries(differences: DataFrame, options: JaccardJoin) -> DataFrame:
+    """lead, rep, label, loose, near, token, deep: entries of the third filter. A deep one is needed only against
+    documents that are linked with the leader."""
+    rows = differences.select("lead", "rep", F.explode("d").alias("token"))
+    often = rows.groupBy("lead", "token").agg(F.count("*").alias("c")).where("c > 1")
+    matched = rows.join(often, ["lead", "token"]).groupBy("lead", "rep").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("t"))
+    size = F.size("d")
+    strict, loose = least_common(size, F.col("n"), F.col("m"), options)
+    low, high = 100 - options.percent, 100 + options.percent
+    about = differences.select("lead", "rep", "label", "loose", size.alias("d"), (high * size <= low * (F.col("n") + F.col("m"))).alias("near"), strict.alias("o"), loose.alias("p"))
+    both = about.join(matched, ["lead", "rep"])
+    alone = F.col("d") - F.size("t")
+    cut = both.select("lead", "rep", "label", "loose", "near", (F.col("d") - F.col("o") + 1 - alone).alias("q"), F.posexplode(F.expr(f"slice(t, 1, cast(greatest(0, size(t) - p + 1) as int))")).alias("i", "t"))
+    return cut.select("lead", "rep", "label", "loose", "near", "t.token", (F.col("i") >= F.col("q")).alias("deep"))
 
 
-def _second_links(pairs: DataFrame, differences: DataFrame, options: JaccardJoin) -> DataFrame:
-    """Links (a, b) among the candidates, decided by their differences from the leader."""
-    one = differences.select("lead", F.col("rep").alias("a"), F.col("n").alias("na"), F.col("d").alias("da"))
-    two = differences.select("lead", F.col("rep").alias("b"), F.col("n").alias("nb"), F.col("d").alias("db"))
-    both = pairs.join(one, ["lead", "a"]).join(two, ["lead", "b"])
-    differ = F.size("da") + F.size("db") - 2 * F.size(F.array_intersect("da", "db"))
-    return both.where((100 + options.percent) * differ <= (100 - options.percent) * (F.col("na") + F.col("nb"))).select("a", "b").distinct()
+def _second_pairs(entries: DataFrame) -> DataFrame:
+    """(a, b): one is loose, their labels differ, and the prefixes of their differences share a token."""
+    x = entries.where("loose").select("lead", "token", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("deep").alias("da"))
+    y = entries.select("lead", "token", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("loose").alias("kb"), F.col("near").alias("nb"), F.col("deep").alias("db"))
+    met = x.join(y, ["lead", "token"]).where("la <> lb and (nb or not (da or db)) and not (kb and a > b)")
+    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def link(docs: DataFrame, options: JaccardJoin = JaccardJoin()) -> DataFrame:
     """doc_id, n_shingles, component_id."""
     scratch = Scratch(docs.sparkSession, "jaccard")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     rows = scratch.cut(fingerprints(docs, options), "rows")
-    classes = rows.where("n_shingles > 0").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
-    # Sets so small that one differing shingle breaks the link have only their equals.
-    least = next(n for n in range(1, 200) if 100 * n >= options.percent * (n + 1))
-    reps = (
-        rows.where(f"n_shingles >= {least} and doc_id is not null")
-        .groupBy("f1", "f2")
-        .agg(F.min_by(F.struct("doc_id", "n_shingles", "list"), "doc_id").alias("r"))
-        .select(F.col("r.doc_id").alias("rep"), F.col("r.n_shingles").alias("n"), "r.list")
-    )
-    pairs = scratch.cut(_led(scratch.cut(_entries(reps, options), "entries")), "pairs")
-    scratch.drop("entries")
+    known = rows.where("doc_id is not null")
+    again = known.groupBy("doc_id").count().where("count > 1").select("doc_id")
+    again = None if again.isEmpty() else scratch.cut(again, "again")
+    if again is not None:
+        single = scratch.cut(_only(docs, "doc_id", again, options).groupBy("doc_id").agg(F.min("text").alias("text")), "single")
+        docs = _only(docs, "doc_id", again, options, "left_anti").unionByName(single)
+        known = scratch.cut(_only(known, "doc_id", again, options, "left_anti").unionByName(fingerprints(single, options)), "once")
+    searched = known.where(f"n_shingles >= {options.least}")
+    classes = searched.groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"), F.count("*").alias("k")).where("k > 1")
+    copies = scratch.cut(searched.join(classes, ["f1", "f2"]).where("doc_id > rep").select("doc_id"), "copies")
+    docs = _only(docs.where("doc_id is not null"), "doc_id", copies, options, "left_anti")
+
+    entries = scratch.cut(_entries(docs, options), "entries")
+    twos, members = _groups(entries, options)
+    members = scratch.cut(members, "members")
+    stars = scratch.cut(members.where((F.col("k") > options.small) & (F.col("rep") != F.col("lead"))).select("lead", "rep").distinct(), "stars")
+    starred = stars.select(F.least("lead", "rep").alias("a"), F.greatest("lead", "rep").alias("b"))
+    pairs = scratch.cut(twos.unionByName(_small_pairs(members, options)).unionByName(starred).distinct(), "pairs")
+    scratch.drop("entries", "members")
     found = Components(scratch)
-    if not pairs.isEmpty():
-        wanted = pairs.select("rep").union(pairs.select("lead"))
-        sets = scratch.cut(_sets(docs, wanted, options), "sets")
-        compared = scratch.cut(_difference_prefix(_compared(pairs, sets, options), options), "compared")
-        scratch.drop("pairs")
-        found.add(compared.where("linked").select(F.col("lead").alias("a"), F.col("rep").alias("b")))
-        # Leaders with a document that is not linked, and more than one component among all of theirs.
-        open_ = scratch.cut(found.of(compared, "rep", "label"), "labelled")
-        spans = open_.groupBy("lead").agg(F.count("*").alias("k"), F.count(F.when(~F.col("linked"), 1)).alias("loose"), F.min("label").alias("low"), F.max("label").alias("high"))
-        open_ = open_.join(spans.where("loose > 0 and k > 1 and low <> high").select("lead"), "lead", "left_semi")
-        again = scratch.cut(_candidates(open_), "candidates")
-        scratch.drop("compared", "labelled")
-        if not again.isEmpty():
-            ends = again.select("lead", F.col("a").alias("rep")).union(again.select("lead", F.col("b").alias("rep"))).distinct()
-            differences = _compared(ends, sets, options).select("lead", "rep", "n", F.concat("more", "less").alias("d"))
-            links = scratch.cut(_second_links(again, scratch.cut(differences, "differences"), options), "second")
-            if not links.isEmpty():
-                found.add(links)
-        scratch.drop("sets", "candidates", "differences")
-    named = found.of(classes, "rep", "component")
-    named = named.select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "component")
+
+    def add(pairs: DataFrame, name: str, sets: DataFrame | None = None) -> None:
+        sketches = known.select("doc_id", "n_shingles", "sketch")
+        likely = scratch.cut(_likely(pairs, sketches, options), f"likely-{name}")
+        if likely.isEmpty():
+            return
+        if sets is None:
+            sets = scratch.cut(_sets(docs, likely.select("a").union(likely.select("b")), options), f"sets-{name}")
+        links = scratch.cut(_linked(likely, sets, options), f"links-{name}")
+        scratch.drop(f"sets-{name}", f"likely-{name}")
+        if not links.isEmpty():
+            found.add(links)
+
+    add(pairs, "first")
+    scratch.drop("pairs")
+    # Leaders with a document that is not connected with them, and more than one component among all of theirs.
+    told = scratch.cut(found.of(found.of(stars, "rep", "label"), "lead", "of_lead").select("lead", "rep", "label", (F.col("label") != F.col("of_lead")).alias("loose")), "told")
+    spans = told.groupBy("lead").agg(F.count("*").alias("k"), F.max("loose").alias("any"), F.min("label").alias("low"), F.max("label").alias("high"))
+    told = told.join(spans.where("any and k > 1 and low <> high").select("lead"), "lead", "left_semi")
+    if not told.isEmpty():
+        sets = scratch.cut(_sets(docs, told.select("rep").union(told.select("lead")), options), "sets")
+        differences = scratch.cut(_differences(told, sets), "differences")
+        again_pairs = scratch.cut(_second_pairs(scratch.cut(_difference_entries(differences, options), "second-entries")), "second-pairs")
+        scratch.drop("differences", "second-entries")
+        add(again_pairs, "second", sets)
+        scratch.drop("sets", "second-pairs")
+    scratch.drop("stars", "told")
+
+    named = rows.where("n_shingles > 0 and doc_id is not null").groupBy("f1", "f2").agg(F.min("doc_id").alias("rep"))
+    if again is not None:
+        # A document with several texts connects the classes of all of them.
+        ends = rows.where("n_shingles > 0").join(named, ["f1", "f2"]).select(F.col("doc_id").alias("a"), F.col("rep").alias("b"))
+        ends = _only(ends, "b", again, options).unionByName(_only(ends, "a", again, options)).where("a <> b").distinct()
+        if not ends.isEmpty():
+            found.add(ends)
+    named = found.of(named, "rep", "component").select(F.col("f1").alias("_f1"), F.col("f2").alias("_f2"), "component")
     out = rows.join(named, (rows["f1"] == named["_f1"]) & (rows["f2"] == named["_f2"]) & (rows["n_shingles"] > 0), "left")
-    return out.select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
+    return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
 
 
 def one_of_each(docs: DataFrame, options: JaccardJoin = JaccardJoin()) -> DataFrame:
@@ -302,12 +558,9 @@ def one_of_each(docs: DataFrame, options: JaccardJoin = JaccardJoin()) -> DataFr
     doc_id count as one document and one of them stays; rows without a doc_id stay."""
     scratch = Scratch(docs.sparkSession, "jaccard-kept")
     links = scratch.cut(link(docs, options), "links")
-    gone = links.where("doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    if gone.count() <= options.broadcast_ids:
-        gone = F.broadcast(gone)
-    kept = docs.join(gone, F.col("doc_id") == F.col("_gone"), "left_anti")
-    again = links.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again"))
+    kept = _only(docs, "doc_id", links.where("doc_id <> component_id").select("doc_id"), options, "left_anti")
+    again = links.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").select("doc_id")
     if again.isEmpty():
         return kept
-    once = kept.join(again, F.col("doc_id") == F.col("_again"), "left_anti")
-    return once.unionByName(kept.join(again, F.col("doc_id") == F.col("_again"), "left_semi").dropDuplicates(["doc_id"]))
+    once = _only(kept, "doc_id", again, options).dropDuplicates(["doc_id"])
+    return _only(kept, "doc_id", again, options, "left_anti").unionByName(once)
