@@ -7,6 +7,7 @@ import tempfile
 import uuid
 
 import numpy as np
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -14,8 +15,37 @@ from pyspark.sql import functions as F
 SPACE = r"[\x20\x09-\x0D]+"
 WORD = r"[^\x20\x09-\x0D]+"
 
-#: Entries a worker-side memo may hold before it is emptied.
-MEMO_LIMIT = 1_000_000
+
+class Memo(dict):
+    """What a worker has worked out for short keys; ``trim`` forgets it all once it takes about ``limit`` bytes. A worker
+    process serves one stage after the other, and holds the memo of one operator only: see ``claim``."""
+
+    holder: Memo | None = None
+
+    def __init__(self, limit: int = 128 << 20):
+        super().__init__()
+        self.limit, self.held = limit, 0
+
+    @staticmethod
+    def claim(own: Memo | None) -> None:
+        """Empties the memo that another operator left in this process."""
+        if Memo.holder is not None and Memo.holder is not own:
+            Memo.holder.clear()
+            Memo.holder.held = 0
+        Memo.holder = own
+
+    def keep(self, key, value, size: int) -> bool:
+        """Whether the key is short enough to be kept. ``size`` is the value's."""
+        short = len(key) <= 64
+        if short:
+            self.held += 200 + len(key) + size
+            self[key] = value
+        return short
+
+    def trim(self) -> None:
+        if self.held > self.limit:
+            self.clear()
+            self.held = 0
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -107,9 +137,10 @@ def fold(key: Column) -> Column:
     return F.crc32(key.cast("string").cast("binary")) % 4
 
 
-def batches_of(arrow_batches, names: list[str], limit: int = 8 << 20):
+def batches_of(arrow_batches, names: list[str], limit: int = 8 << 20, memo: Memo | None = None):
     """Lists of rows (tuples of the named columns), cut so that one list holds about ``limit`` characters.
-    A row longer than that comes alone; it is never split."""
+    A row longer than that comes alone; it is never split. ``memo`` is the one that the task will use, if any."""
+    Memo.claim(memo)
     for batch in arrow_batches:
         columns = [batch.column(batch.schema.get_field_index(n)) for n in names]
         rows, size = [], 0
@@ -125,3 +156,30 @@ def batches_of(arrow_batches, names: list[str], limit: int = 8 << 20):
             yield rows
 
 
+
+
+def slices_of(arrow_batches, name: str, limit: int = 8 << 20, memo: Memo | None = None):
+    """Slices of the batches, all columns, that hold about ``limit`` bytes of the named text column each. A row longer than
+    that comes alone."""
+    Memo.claim(memo)
+    for batch in arrow_batches:
+        sizes = pc.binary_length(batch.column(batch.schema.get_field_index(name))).fill_null(0).to_numpy(zero_copy_only=False)
+        total, at = np.cumsum(sizes.astype(np.int64)), 0
+        while at < batch.num_rows:
+            before = total[at - 1] if at else 0
+            end = max(at + 1, int(np.searchsorted(total, before + limit, "right")))
+            yield batch.slice(at, end - at)
+            at = end
+
+
+def restrict(df: DataFrame, keys: list[str], ids: DataFrame, limit: int, how: str = "left_semi") -> DataFrame:
+    """The rows whose keys are (or, by left_anti, are not) among the rows of ``ids``, which names as many columns. Up to
+    ``limit`` of them are broadcast; beyond, both sides are shuffled."""
+    names = [unused_name(df, f"wanted{i}") for i in range(len(keys))]
+    ids = ids.toDF(*names).distinct()
+    if ids.count() <= limit:
+        ids = F.broadcast(ids)
+    match = F.lit(True)
+    for key, name in zip(keys, names):
+        match = match & (F.col(key) == F.col(name))
+    return df.join(ids, match, how)
