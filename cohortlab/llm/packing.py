@@ -7,9 +7,13 @@ levels is the whole state, and an item costs one look over it. What is still ope
 cutting: those windows' pieces are laid end to end into full windows, so a partition pads at most one window.
 
 Partitions are packed where they lie: no shuffle, one level array each, sequence ids carry the partition in their
-upper bits. A lost partition is packed again in the same way, since its rows come in the same order.
+upper bits. The rule needs many documents before windows fill by it alone, so partitions are joined until one holds
+``min_documents`` of them on average (tables of fewer are one partition); a production partition of 128 MB holds several
+times that anyway. A lost partition is packed again in the same way, since its rows come in the same order.
 
-Defined results: a null or empty text is a document of the end id alone; repeated rows are packed each.
+Defined results: a null or empty text is a document of the end id alone; rows that repeat a doc_id are packed each; a
+null doc_id stays null; equal choices go to the fullest window; an empty table gives an empty result. Only doc_id and
+text are read.
 """
 
 from __future__ import annotations
@@ -22,8 +26,9 @@ import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cohortlab.llm.common import MEMO_LIMIT, batches_of
+from cohortlab.llm.common import Memo, batches_of
 
 
 #: ASCII marks that end a word; an apostrophe or a special token's bars would not be safe to cut off.
@@ -36,6 +41,7 @@ MARK = "\x1f"
 class Packing:
     capacity: int = 2048
     end_id: int = 1
+    min_documents: int = 8000  # of a partition, on average
 
 
 class WordTokenizer:
@@ -46,15 +52,14 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.memo = Memo()
         alone = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self.mark = alone[0] if len(alone) == 1 else None
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         memo = self.memo
-        if len(memo) > MEMO_LIMIT:
-            memo.clear()
+        memo.trim()
         missing = set().union(*split).difference(memo)
         if not missing:
             return [b"".join(map(memo.__getitem__, words)) for words in split]
@@ -64,11 +69,13 @@ class WordTokenizer:
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             for word, found in zip(some, self._encode_words(some)):
-                (memo if len(word) <= 64 else long)[word] = found
+                if not memo.keep(word, found, 33 + len(found)):
+                    long[word] = found
         for word, own in parts.items():
             if len(own) == 2 or own[0] != word:
                 found = b"".join([memo[p] if len(p) <= 64 else long[p] for p in own])
-                (memo if len(word) <= 64 else long)[word] = found
+                if not memo.keep(word, found, 33 + len(found)):
+                    long[word] = found
         if not long:
             return [b"".join(map(memo.__getitem__, words)) for words in split]
         return [b"".join([memo[w] if w in memo else long[w] for w in words]) for words in split]
@@ -89,14 +96,14 @@ class WordTokenizer:
 
     @staticmethod
     def _parts(word: str) -> tuple[str, ...]:
-        """What the word may be encoded as, one after the other: letters, in lower case if they are ASCII, and the
-        marks after them. The tokenizer splits there and lower-cases by itself; this saves most distinct words."""
+        """What the word may be encoded as, one after the other: ASCII letters, in lower case, and the marks after them. The
+        tokenizer splits there and lower-cases by itself; this saves most distinct words. Other letters may become a letter
+        and a mark of their own when they are lower-cased, so words with them stay whole."""
         letters = word.rstrip(TRAILING)
-        if not letters.isalpha():
+        if not letters.isascii() or not letters.isalpha():
             return (word,)
         marks = word[len(letters) :]
-        base = letters.lower() if letters.isascii() else letters
-        return (base, marks) if marks else (base,)
+        return (letters.lower(), marks) if marks else (letters.lower(),)
 
 
 @lru_cache(maxsize=2)
@@ -170,7 +177,7 @@ def pack(docs: DataFrame, path: str, options: Packing = Packing(), carry_ids: bo
         def row(doc, start, ids, total, window, offset):
             return (doc, start, len(ids) // 4, zlib.crc32(ids), total, window, offset, *([ids] if carry_ids else []))
 
-        for rows in batches_of(batches, ["doc_id", "text"], 4 << 20):
+        for rows in batches_of(batches, ["doc_id", "text"], 4 << 20, model.memo):
             out = []
             for (doc, _), ids in zip(rows, model.encode([r[1] for r in rows])):
                 ids += end
@@ -198,4 +205,6 @@ def pack(docs: DataFrame, path: str, options: Packing = Packing(), carry_ids: bo
                     start, offset = start + len(part) // 4, offset + len(part) // 4
         yield table(out)
 
-    return docs.select("doc_id", "text").mapInArrow(run, COLUMNS + (", ids binary" if carry_ids else ""))
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    docs = docs.coalesce(max(1, docs.count() // options.min_documents))
+    return docs.mapInArrow(run, COLUMNS + (", ids binary" if carry_ids else ""))
