@@ -6,10 +6,12 @@ for each normalised byte the original byte it came from; merging then works on n
 is projected back to a byte span of the original.
 
 Speed: where the character map is empty and no piece has a character before a blank mark, text falls apart into
-segments that no merge can cross, and each distinct segment is merged once per worker (a memo of bounded size).
+segments that no merge can cross. Each distinct segment is normalised, merged and aligned once per worker (a memo of
+bounded size), and a text's spans are the running sums of its segments' own.
 
-Defined results: null is encoded like the empty text (no ids); decoding ids gives the text that the library's
-decode() gives.
+Defined results: null is encoded like the empty text (no ids, no spans); decoding ids gives the text that the library's
+decode() gives; rows that repeat a doc_id, or have none, are encoded each; an empty table gives an empty result; texts of
+any length are encoded whole. Only the key and the text are read.
 """
 
 from __future__ import annotations
@@ -17,16 +19,20 @@ from __future__ import annotations
 import hashlib
 import heapq
 import re
+import string
 import struct
 from dataclasses import dataclass, field
 from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cohortlab.llm.common import MEMO_LIMIT, batches_of
+from cohortlab.llm.common import Memo, batches_of
 
 MARK = "▁"
+LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
 NEVER = float("-inf")
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
 
@@ -156,8 +162,18 @@ class Encoder:
         newline = any("\n" in p and len(p) > 1 for p in model.ids)
         plain = not model.charsmap and not model.remove_extra_whitespaces and model.escape_whitespaces
         self.splits = plain and not inner and not newline
-        self.memo: dict[str, str] = {}
-        self.segments = re.compile(f"{MARK}+[^{MARK}\n]*|\n|[^{MARK}\n]+").findall
+        self.memo = Memo()
+        # Nor can a merge cross the place between a letter and an ASCII mark if no piece has one after the other.
+        marks = set(string.punctuation) - {b for p in model.ids for a, b in zip(p, p[1:]) if re.match(f"[{LETTERS}]", a)}
+        own = "".join(map(re.escape, sorted(marks)))
+        rest = f"[^{MARK}\n{LETTERS}]"  # no letters
+        run = f"(?:[{LETTERS}]+(?:[^{MARK}\n{LETTERS}{own}]{rest}*)?)"  # letters, then no mark, and so on
+        self.segments = re.compile(f"{MARK}+{rest}*{run}*|\n|{rest}+{run}*|{run}+").findall
+        values = {i: b for b, i in self.byte_ids.items()}
+        self.leads = np.array([i not in values or not 128 <= values[i] < 192 for i in range(len(model.pieces))])
+        self.widths = np.array(
+            [1 + sum(values[i] >= x for x in (192, 224, 240)) if i in values else len(p.encode()) - 2 * p.count(MARK) for i, p in enumerate(model.pieces)]
+        )
 
     # Normalisation -------------------------------------------------------------------------------------------
 
@@ -274,31 +290,39 @@ class Encoder:
                 at = end
         return out
 
-    def encode_text(self, text: str | None) -> str:
-        """The ids, in decimal, joined by commas."""
-        if not text:
-            return ""
-        if not self.splits:
-            normal, _ = self.normalise(text)
-            return ",".join(map(str, self.ids_of(self.merged(normal))))
+    def encode_text(self, text: str | None) -> tuple[str, np.ndarray]:
+        """The ids, in decimal, joined by commas, and the byte spans of the pieces in the original, a row each."""
+        if not text or not self.splits or MARK in text:
+            # A mark in the original is three bytes there, unlike one made from a blank.
+            pieces = self.encode_spans(text)
+            return ",".join(str(p.id) for p in pieces), np.array([(p.begin, p.end) for p in pieces], "<u4").reshape(-1, 2)
         memo = self.memo
         normal = text.replace(" ", MARK)
         parts = self.segments(MARK + normal if self.model.add_dummy_prefix else normal)
         try:
-            return ",".join([memo[p] for p in parts])
+            ids = ",".join([memo[p] for p in parts])
         except KeyError:
-            pass
-        if len(memo) > MEMO_LIMIT:
-            memo.clear()
-        out = []
-        for p in parts:
-            ids = memo.get(p)
-            if ids is None:
-                ids = ",".join(map(str, self.ids_of(self.merged(p))))
-                if len(p) <= 64:
-                    memo[p] = ids
-            out.append(ids)
-        return ",".join(out)
+            memo.trim()
+            found = []
+            for p in parts:
+                own = memo.get(p)
+                if own is None:
+                    own = ",".join(map(str, self.ids_of(self.merged(p))))
+                    memo.keep(p, own, 50 + len(own))
+                found.append(own)
+            ids = ",".join(found)
+        return ids, self.spans(np.fromstring(ids, np.int64, sep=","))
+
+    def spans(self, ids: np.ndarray) -> np.ndarray:
+        """Byte spans in the original of a text that normalisation leaves as it is but for blanks: running sums of what each
+        piece stands for. The first byte of a character stands for all of it, and its other bytes share its span."""
+        width, lead = self.widths[ids], self.leads[ids]
+        ends = np.cumsum(np.where(lead, width, 0))
+        width = width[np.maximum.accumulate(np.where(lead, np.arange(len(ids)), 0))]
+        begins = ends - width
+        if self.model.add_dummy_prefix:  # the first mark stands for no byte
+            ends, begins = ends - 1, np.maximum(begins - 1, 0)
+        return np.stack([begins, ends], axis=1).astype("<u4")
 
     def decode(self, ids: list[int]) -> str:
         out, first, model = bytearray(), True, self.model
@@ -349,7 +373,7 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
     def run(batches):
         model = encoder(path)
-        for rows in batches_of(batches, [key, text], 1 << 20):
+        for rows in batches_of(batches, [key, text], 1 << 20, model.memo):
             found = [[{"id": p.id, "piece": p.text, "begin": p.begin, "end": p.end} for p in model.encode_spans(r[1])] for r in rows]
             kind = pa.list_(pa.struct([("id", pa.int32()), ("piece", pa.string()), ("begin", pa.int64()), ("end", pa.int64())]))
             yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int64()), pa.array(found, kind)], names=[key, "pieces"])
@@ -358,19 +382,23 @@ def encode(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text")
 
 
 def encode_digests(docs: DataFrame, path: str) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256: the ids and the text decoded from them, digested where they
-    are made, since the lists would be several times the table."""
+    """doc_id, n_tokens, ids_sha256, decoded_sha256, spans_sha256: the ids, the text decoded from them, and the byte spans
+    (begin and end of each piece, little-endian unsigned 32-bit), digested where they are made, since the lists would be
+    several times the table."""
 
     def run(batches):
         model = encoder(path)
         decoder = Decoder(model)
-        for rows in batches_of(batches, ["doc_id", "text"]):
-            ids = [model.encode_text(r[1]) for r in rows]
+        for rows in batches_of(batches, ["doc_id", "text"], memo=model.memo):
+            found = [model.encode_text(r[1]) for r in rows]
+            ids = [f[0] for f in found]
             sha = lambda b: hashlib.sha256(b).hexdigest()
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([x.count(",") + 1 if x else 0 for x in ids], pa.int64()),
-                 pa.array([sha(x.encode()) for x in ids], pa.string()), pa.array([sha(decoder.decode(x)) for x in ids], pa.string())],
-                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],
+                 pa.array([sha(x.encode()) for x in ids], pa.string()), pa.array([sha(decoder.decode(x)) for x in ids], pa.string()),
+                 pa.array([sha(f[1].tobytes()) for f in found], pa.string())],
+                names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "spans_sha256"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    return docs.mapInArrow(run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, spans_sha256 string")
