@@ -6,12 +6,14 @@ ranked the same way, and its distance to a language sums how far each is out of
 profile lacks counts as ``size`` places). Equal counts are ranked by the n-gram's code points, and equal distances
 go to the alphabetically first language, so results do not depend on partitioning.
 
-Profiles are fitted on at most ``docs_per_language`` documents of each of at most ``max_languages`` languages,
-those with the smallest xxhash64 of doc_id. Every document is scored on its whole text.
+Profiles are fitted on at most ``docs_per_language`` documents of each language, those with the smallest xxhash64 of
+doc_id; of a language with many, only those whose hash lies in a range that holds about twice as many are looked at, so
+that no task sorts a language. Every document is scored on its whole text.
 
 Defined results: a null text, or one without letters, is ``und`` with score 0, as is every text if nothing could be
-learned; a null doc_id is neither held out nor learned from; repeated rows are scored alike; empty tables give
-empty results.
+learned; a null doc_id is neither held out nor learned from; repeated rows are scored alike, and the smallest text of a
+doc_id is learned from; empty tables give empty results. ``identify`` reads doc_id and text only, ``in_known_language``
+returns the columns it was given, whatever their names.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import batches_of, fold
+from cohortlab.llm.common import Scratch, batches_of, fold, slices_of
 
 BITS = 21  # a code point
 
@@ -34,8 +36,8 @@ BITS = 21  # a code point
 class LanguageId:
     size: int = 400
     docs_per_language: int = 1000
-    max_languages: int = 100
     held_out_fold: int = 2
+    broadcast_ids: int = 1_000_000  # a list of ids is broadcast up to this size, and joined by a shuffle beyond it
 
 
 @lru_cache(maxsize=1)
@@ -70,21 +72,25 @@ def ranked(keys: np.ndarray, counts: np.ndarray, size: int) -> np.ndarray:
 
 
 def learn(docs: DataFrame, options: LanguageId = LanguageId()) -> dict[str, list[int]]:
-    """Language -> packed n-grams in order. At most max_languages x size numbers reach the driver."""
+    """Language -> packed n-grams in order. ``size`` numbers for each language reach the driver."""
     rows = docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull() & (fold(F.col("doc_id")) != options.held_out_fold))
-    languages = rows.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(options.max_languages)
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    chosen = (
-        rows.join(F.broadcast(languages), "lang", "left_semi")
-        .select("lang", "doc_id", F.row_number().over(order).alias("k"))
-        .where(F.col("k") <= options.docs_per_language)
-        .select("doc_id")
-        .distinct()
-    )  # at most max_languages x docs_per_language ids
-    sample = rows.select("lang", "doc_id", "text").join(F.broadcast(chosen), "doc_id", "left_semi").select("lang", "text")
+    rows = rows.select("lang", F.col("doc_id").cast("long").alias("doc_id"), "text")
+    sizes = rows.groupBy("lang").agg(F.count("*").alias("n"))
+    order = Window.partitionBy("lang").orderBy("h", "doc_id")
+    place = F.xxhash64("doc_id") / F.lit(2.0**64) + 0.5  # evenly from 0 to 1
+    near = rows.select("lang", "doc_id", F.xxhash64("doc_id").alias("h"), place.alias("p"))
+    # One row for each language, less than the profiles that the driver and every task hold.
+    near = near.join(F.broadcast(sizes), "lang").where(F.col("p") * F.col("n") <= 2 * options.docs_per_language)
+    chosen = near.select("lang", "doc_id", "h").distinct().withColumn("k", F.row_number().over(order)).where(F.col("k") <= options.docs_per_language)
+    scratch = Scratch(docs.sparkSession, "languages")
+    chosen = scratch.cut(chosen.select(F.col("lang").alias("_lang"), F.col("doc_id").alias("_doc")), "chosen")
+    if chosen.count() <= options.broadcast_ids:
+        chosen = F.broadcast(chosen)
+    sample = rows.join(chosen, (F.col("doc_id") == F.col("_doc")) & (F.col("lang") == F.col("_lang"))).groupBy("lang", "doc_id").agg(F.min("text").alias("text"))
+    sample = scratch.cut(sample.select("lang", "text"), "sample")
 
     def count(batches):
-        for batch in batches:
+        for batch in slices_of(batches, "text"):
             totals: dict[str, dict[int, int]] = {}
             for lang, text in zip(batch.column("lang").to_pylist(), batch.column("text").to_pylist()):
                 own = totals.setdefault(lang, {})
@@ -153,7 +159,7 @@ def in_known_language(docs: DataFrame, profiles: dict[str, list[int]], least_sco
 
     def run(batches):
         model = Classifier(profiles, options.size)
-        for batch in batches:
+        for batch in slices_of(batches, "text"):
             found = [model.classify(t) for t in batch.column("text").to_pylist()]
             yield batch.filter(pa.array([lang != "und" and score >= least_score for lang, score in found], pa.bool_()))
 

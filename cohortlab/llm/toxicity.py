@@ -1,6 +1,7 @@
 """Toxic passages as maximum-scoring segments of token log-odds.
 
-Learning: from labelled documents (at most ``max_documents``, those with the smallest xxhash64 of doc_id) the log-odds
+Learning: from labelled documents (at most ``max_documents``, those with the smallest xxhash64 of doc_id, which bounds
+the model too) the log-odds
 of every feature between toxic and other documents, each smoothed by a Dirichlet prior proportional to the feature's
 share in both together; features whose z-score is below ``min_z`` are left out. A feature is a lower-case word without
 the marks around it, or, for words the model does not know, a word's first letters. Every token also pays ``drift``, so
@@ -15,7 +16,9 @@ per token, fitted on the labelled documents, makes the score.
 
 Defined results: a null, empty or wordless text has evidence 0, no segments, and the score that belongs to it; without
 labels of both kinds every score is the share of toxic labels, or 0; repeated labels of a document count once, toxic
-if any of them says so; null labels are ignored.
+if any of them says so; null labels are ignored. Rows that repeat a doc_id are scored each, and the smallest of their
+texts is learned from. A score equal to the threshold is toxic. Empty tables give empty results; ``score`` reads
+doc_id and text only, ``without_toxic`` returns the columns it was given, whatever their names.
 """
 
 from __future__ import annotations
@@ -28,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import MEMO_LIMIT, batches_of, fold
+from cohortlab.llm.common import Memo, Scratch, batches_of, fold, slices_of
 
 MARKS = ".,;:!?\"'()[]{}*$%&#|<>-"
 
@@ -36,7 +39,6 @@ MARKS = ".,;:!?\"'()[]{}*$%&#|<>-"
 @dataclass(frozen=True)
 class Toxicity:
     max_documents: int = 20_000
-    max_features: int = 50_000
     min_count: int = 5
     min_documents: int = 3
     min_z: float = 3.0
@@ -48,15 +50,14 @@ class Toxicity:
     held_out_fold: int = 2
 
 
-class Memo(dict):
+class Scores(Memo):
     """Scores of the tokens seen so far."""
 
     model: Model
 
     def __missing__(self, token: str) -> float:
         score = self.model.token(token)
-        if len(token) <= 64:
-            self[token] = score
+        self.keep(token, score, 24)
         return score
 
 
@@ -69,10 +70,10 @@ class Model:
     log_k: float = 0.0
     curve: tuple[float, ...] = (-40.0, 0.0, 0.0)
     max_expected: float = 1.0
-    memo: Memo = field(default_factory=lambda: Memo())
+    memo: Scores = field(default_factory=lambda: Scores(64 << 20))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": Memo()}
+        return self.__dict__ | {"memo": Scores(64 << 20)}
 
     def token(self, word: str) -> float:
         word = word.strip(MARKS)
@@ -85,8 +86,7 @@ class Model:
         return found
 
     def scores(self, tokens: list[str]) -> np.ndarray:
-        if len(self.memo) > MEMO_LIMIT:
-            self.memo.clear()
+        self.memo.trim()
         self.memo.model = self
         return np.fromiter(map(self.memo.__getitem__, tokens), np.float64, len(tokens)) - self.drift
 
@@ -148,7 +148,7 @@ def maximal_segments(scores: np.ndarray) -> list[tuple[int, int, float]]:
 
 
 def labelled(docs: DataFrame, labels: DataFrame, options: Toxicity) -> DataFrame:
-    """text and toxic of the labelled documents to learn from; a broadcast of at most max_documents ids."""
+    """text and toxic of the labelled documents to learn from, at most max_documents rows; as many ids are broadcast."""
     marks = labels.where(F.col("toxic").isNotNull() & (fold(F.col("doc_id")) != options.held_out_fold))
     marks = marks.groupBy("doc_id").agg(F.max((F.col("toxic") > 0).cast("int")).alias("toxic"))
     here = docs.select("doc_id").where("doc_id is not null")
@@ -158,11 +158,12 @@ def labelled(docs: DataFrame, labels: DataFrame, options: Toxicity) -> DataFrame
         .limit(options.max_documents)
         .select(F.col("doc_id").alias("marked"), "toxic")
     )
-    return docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("marked")).select("text", "toxic")
+    rows = docs.select("doc_id", "text").join(F.broadcast(chosen), F.col("doc_id") == F.col("marked"))
+    return rows.groupBy("marked", "toxic").agg(F.min("text").alias("text")).select("text", "toxic")
 
 
 def learn(docs: DataFrame, labels: DataFrame, options: Toxicity = Toxicity()) -> Model:
-    sample = labelled(docs, labels, options)
+    sample = Scratch(docs.sparkSession, "toxicity").cut(labelled(docs, labels, options), "sample")
     prefixes = options.prefixes
 
     def count(batches):
@@ -204,8 +205,6 @@ def learn(docs: DataFrame, labels: DataFrame, options: Toxicity = Toxicity()) ->
             counts.where((F.col("n0") + F.col("n1") >= options.min_count) & (F.col("d0") + F.col("d1") >= options.min_documents))
             .select("feature", F.round(weight, 6).alias("w"), (weight / spread).alias("z"))
             .where(F.abs("z") >= options.min_z)
-            .orderBy(F.desc(F.abs("z")), "feature")
-            .limit(options.max_features)
         )
         weights = {r["feature"]: r["w"] for r in kept.collect()}
     finally:
@@ -219,7 +218,7 @@ def _calibrate(model: Model, sample: DataFrame) -> Model:
 
     def stats(batches):
         """Per document: label, tokens, best segment; per batch: the histogram of non-toxic token scores."""
-        for rows in batches_of(batches, ["text", "toxic"]):
+        for rows in batches_of(batches, ["text", "toxic"], memo=model.memo):
             histogram, out = np.zeros(bins, np.int64), []
             for text, toxic in rows:
                 scores = model.scores(tokens_of(text))
@@ -244,7 +243,7 @@ def _calibrate(model: Model, sample: DataFrame) -> Model:
         model.log_k = float(np.mean(model.lam * best - np.log(n)) - 0.5772156649015329)
 
     def evidence(batches):
-        for rows in batches_of(batches, ["text", "toxic"]):
+        for rows in batches_of(batches, ["text", "toxic"], memo=model.memo):
             found = [model.evidence(model.scores(tokens_of(t))) for t, _ in rows]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[1] for r in rows], pa.int32()), pa.array([x[0] for x in found], pa.float64()), pa.array([x[1] for x in found], pa.float64())],
@@ -292,7 +291,7 @@ def score(docs: DataFrame, model: Model, options: Toxicity = Toxicity(), with_se
 
     def run(batches):
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("score", pa.float64())]))
-        for rows in batches_of(batches, ["doc_id", "held_out", "text"]):
+        for rows in batches_of(batches, ["doc_id", "held_out", "text"], memo=model.memo):
             values, spans = [], []
             for _, _, text in rows:
                 scores = model.scores(tokens_of(text))
@@ -314,7 +313,7 @@ def without_toxic(docs: DataFrame, model: Model, threshold: float) -> DataFrame:
     """The rows, all columns, whose text scores below the threshold."""
 
     def run(batches):
-        for batch in batches:
+        for batch in slices_of(batches, "text", memo=model.memo):
             texts = batch.column("text").to_pylist()
             below = [model.probability(*model.evidence(model.scores(tokens_of(t)))) < threshold for t in texts]
             yield batch.filter(pa.array(below, pa.bool_()))
