@@ -52,7 +52,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cohortlab.llm.common import Scratch, batches_of, partition_names, unused_name
+from cohortlab.llm.common import Scratch, batches_of, partition_names, restrict
 from cohortlab.llm.components import Components
 
 
@@ -401,12 +401,7 @@ def _small_pairs(members: DataFrame, options: JaccardJoin) -> DataFrame:
 
 
 def _only(df: DataFrame, key: str, ids: DataFrame, options: JaccardJoin, how: str = "left_semi") -> DataFrame:
-    """The rows whose key is (or, by left_anti, is not) among the ids, a frame of one column."""
-    name = unused_name(df, "wanted")
-    ids = ids.toDF(name).distinct()
-    if ids.count() <= options.broadcast_ids:
-        ids = F.broadcast(ids)
-    return df.join(ids, F.col(key) == F.col(name), how)
+    return restrict(df, [key], ids, options.broadcast_ids, how)
 
 
 def _likely(pairs: DataFrame, sketches: DataFrame, options: JaccardJoin) -> DataFrame:

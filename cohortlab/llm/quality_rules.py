@@ -5,9 +5,10 @@ its language over the whole table, by Jensen-Shannon distance (square root of th
 0 to 1). Both comparisons have minimum-length guards: a text too short for a histogram to mean anything is
 not judged by it.
 
-Defined results: a null or empty text has no words and fails the base rules; a null language, or one outside
-the ``max_languages`` most frequent, is compared with the whole table and has no common words of its own; an
-empty table gives an empty result; other columns of the input do not matter.
+Defined results: a null or empty text has no words and fails the base rules; a null language is compared with the
+whole table and has no common words of its own; rows that repeat a doc_id, or have none, are judged each; a distance
+equal to its limit passes; an empty table gives an empty result; other columns of the input do not matter. References
+are kept for every language, broadcast up to ``broadcast_rows`` of them and joined by a shuffle beyond that.
 """
 
 from __future__ import annotations
@@ -47,7 +48,7 @@ class QualityRules:
     max_class_distance: float = 0.24
     min_common_text_words: int = 80
     max_common_distance: float = 0.28
-    max_languages: int = 200
+    broadcast_rows: int = 10_000
     symbols: str = "[^#*$%&|<>]+"
 
 
@@ -133,18 +134,16 @@ def js_distance(p: Column, q: Column) -> Column:
     return F.sqrt(F.least(F.lit(1.0), F.greatest(F.lit(0.0), total)))
 
 
-def language_references(features: DataFrame, rules: QualityRules) -> DataFrame:
-    """One row for each of the most frequent languages, and one with a null language for the whole table: at
-    most ``max_languages`` + 1 rows of two short lists."""
+def language_references(features: DataFrame) -> DataFrame:
+    """One row of two short lists for each language, and one with a null language for the whole table."""
     longest = max(map(len, COMMON_WORDS.values()))
     sums = [F.sum(F.get("classes", F.lit(i))).alias(f"k{i}") for i in range(len(CLASSES))]
     sums += [F.coalesce(F.sum(F.get("common", F.lit(i))), F.lit(0.0)).alias(f"c{i}") for i in range(longest)]
-    sums += [F.sum("n_chars").cast("double").alias("chars"), F.sum("n_words").cast("double").alias("tokens"), F.count("*").alias("n")]
+    sums += [F.sum("n_chars").cast("double").alias("chars"), F.sum("n_words").cast("double").alias("tokens")]
     grouped = features.groupBy("lang").agg(*sums)
     total = features.agg(*sums).select(F.lit(None).cast("string").alias("lang"), *[F.col(s) for s in grouped.columns[1:]])
-    top = grouped.where("lang is not null").orderBy(F.desc("n"), "lang").limit(rules.max_languages)
     shape = lambda names, whole: _closed(F.array(*map(F.col, names)), F.col(whole))
-    return top.unionByName(total).select(
+    return grouped.where("lang is not null").unionByName(total).select(
         F.col("lang").alias("ref_lang"),
         shape([f"k{i}" for i in range(len(CLASSES))], "chars").alias("ref_classes"),
         shape([f"c{i}" for i in range(longest)], "tokens").alias("ref_common"),
@@ -155,10 +154,12 @@ def judge(docs: DataFrame, rules: QualityRules = QualityRules()) -> DataFrame:
     """doc_id, the base counts, the two distances (null where a guard holds), base_failed and kept."""
     scratch = Scratch(docs.sparkSession, "quality")
     features = scratch.cut(_text_features(docs, rules), "features")
-    refs = language_references(features, rules)
+    refs = scratch.cut(language_references(features), "references")
     known = refs.where("ref_lang is not null")
+    if known.count() <= rules.broadcast_rows:
+        known = F.broadcast(known)
     whole = refs.where("ref_lang is null").select(F.col("ref_classes").alias("all_classes"))
-    joined = features.join(F.broadcast(known), features["lang"] == known["ref_lang"], "left").join(F.broadcast(whole), how="left")
+    joined = features.join(known, features["lang"] == known["ref_lang"], "left").join(F.broadcast(whole), how="left")
     class_distance = F.when(
         F.col("n_chars") >= rules.min_chars,
         js_distance(_closed(F.col("classes"), F.col("n_chars").cast("double")), F.coalesce("ref_classes", "all_classes")),

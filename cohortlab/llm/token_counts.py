@@ -9,7 +9,8 @@ are one token.
 Text falls into words at blanks, as the library's Metaspace rule does it, and each distinct word is counted once per
 worker (a memo of bounded size), so the automaton sees the vocabulary of the corpus and not its volume.
 
-Defined results: a null or empty text has no tokens and score 0; a word of any length is handled in one pass.
+Defined results: a null or empty text has no tokens and score 0; a word of any length is handled in one pass; rows that
+repeat a doc_id, or have none, are counted each; an empty table gives an empty result. Only doc_id and text are read.
 """
 
 from __future__ import annotations
@@ -19,8 +20,9 @@ from functools import lru_cache
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
-from cohortlab.llm.common import MEMO_LIMIT, batches_of
+from cohortlab.llm.common import Memo, batches_of
 from cohortlab.llm.piece_encoding import MARK, NORMAL, Model
 
 UNKNOWN_PENALTY = 10.0
@@ -45,7 +47,7 @@ class Counter:
             self.automaton.add_word(piece, (len(piece), score))
         self.automaton.make_automaton()
         self.unknown = min((s for _, s in vocab), default=0.0) - UNKNOWN_PENALTY
-        self.memo: dict[str, tuple[int, float]] = {}
+        self.memo = Memo()
 
     def word(self, word: str) -> tuple[int, float]:
         """Number of tokens and score of the best segmentation of one word."""
@@ -78,14 +80,12 @@ class Counter:
         if not parts[0]:
             parts = parts[1:]
         memo, tokens, score = self.memo, 0, 0.0
-        if len(memo) > MEMO_LIMIT:
-            memo.clear()
+        memo.trim()
         for p in parts:
             found = memo.get(p)
             if found is None:
                 found = self.word(MARK + p)
-                if len(p) <= 64:
-                    memo[p] = found
+                memo.keep(p, found, 100)
             tokens += found[0]
             score += found[1]
         return tokens, score
@@ -101,11 +101,11 @@ def count_tokens(docs: DataFrame, path: str) -> DataFrame:
 
     def run(batches):
         model = counter(path)
-        for rows in batches_of(batches, ["doc_id", "text"]):
+        for rows in batches_of(batches, ["doc_id", "text"], memo=model.memo):
             found = [model.text(r[1]) for r in rows]
             yield pa.RecordBatch.from_arrays(
                 [pa.array([r[0] for r in rows], pa.int64()), pa.array([x[0] for x in found], pa.int64()), pa.array([x[1] for x in found], pa.float64())],
                 names=["doc_id", "n_tokens", "score"],
             )
 
-    return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, n_tokens long, score double")
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(run, "doc_id long, n_tokens long, score double")

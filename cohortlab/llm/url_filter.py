@@ -4,8 +4,9 @@ A rule is a host with a path; it fits its host and all subdomains if the path st
 fitting rule wins (of equal lengths the alphabetically first). The trees are trained on labelled URLs; in
 ``judge`` those are the URLs that a rule decides, at most ``max_examples`` of them (smallest xxhash64 of the key).
 They see lexical features only: lengths, depth, digit ratio, character entropy of the host, parameter counts, hyphens,
-labels, and two statistics of the host's suffix (its share of all URLs, and its smoothed block rate among the
-labelled ones), the latter kept for the ``max_suffixes`` most frequent suffixes.
+labels, and two statistics of the host's suffix, kept for every suffix: its share of all URLs, and its smoothed block
+rate among the labelled ones, without the URL's own label, so that no example sees its answer. The table of suffixes is
+broadcast up to ``broadcast_rows`` rows and joined by a shuffle beyond that.
 
 Training is histogram boosting: features are cut into at most ``bins`` ranges at quantiles of the examples, each level
 of a tree is one aggregation of gradients by node, feature and range (at most 2^depth x features x bins rows reach the
@@ -13,7 +14,8 @@ driver), and a tree is a nested CASE expression, so that scoring stays in genera
 
 Defined results: a null URL, or one without ``://``, has an empty host and path, fits no rule and is judged by its
 features; without labels of both kinds the method gives the one label there is, or allow; repeated rows are judged
-alike; an empty table gives an empty result.
+alike; a null key stays null; URLs of any length are judged whole; a margin of 0 is allow; an empty table gives an empty
+result. Only the key and the url are read.
 """
 
 from __future__ import annotations
@@ -37,7 +39,7 @@ class Boosting:
     ridge: float = 1.0
     min_weight: float = 1.0
     max_examples: int = 20_000
-    max_suffixes: int = 500
+    broadcast_rows: int = 100_000
 
 
 FEATURES = [
@@ -100,19 +102,28 @@ def lexical(pages: DataFrame, key: str) -> DataFrame:
     )
 
 
-def suffix_statistics(rows: DataFrame, options: Boosting) -> DataFrame:
-    """One row for each of the most frequent suffixes: its share of all URLs and its smoothed block rate."""
+def suffix_statistics(rows: DataFrame) -> DataFrame:
+    """One row for each suffix: its share of all URLs, how many are blocked and how many labelled, and the prior rate."""
     stats = rows.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"), F.count("label").alias("known"))
     total = stats.agg(F.sum("n").alias("all_n"), F.sum("blocked").alias("all_blocked"), F.sum("known").alias("all_known"))
-    prior = (F.coalesce("all_blocked", F.lit(0)) + 1) / (F.col("all_known") + 2)
-    top = stats.orderBy(F.desc("n"), "suffix").limit(options.max_suffixes)
-    return top.crossJoin(F.broadcast(total)).select(  # the right side is one row
+    return stats.crossJoin(F.broadcast(total)).select(  # the right side is one row
         F.col("suffix").alias("known_suffix"),
         F.round(F.col("n") / F.col("all_n"), 6).alias("suffix_share"),
-        F.round((F.coalesce("blocked", F.lit(0)) + 10 * prior) / (F.col("known") + 10), 6).alias("suffix_block_rate"),
+        F.coalesce("blocked", F.lit(0)).alias("blocked"),
+        "known",
+        ((F.coalesce("all_blocked", F.lit(0)) + 1) / (F.col("all_known") + 2)).alias("prior"),
     )
 
 
+def with_suffix_statistics(rows: DataFrame, known: DataFrame, options: Boosting) -> DataFrame:
+    if known.count() <= options.broadcast_rows:
+        known = F.broadcast(known)
+    rows = rows.join(known, F.col("suffix") == F.col("known_suffix"), "left")
+    own = F.coalesce("label", F.lit(0))
+    others = F.col("known") - F.when(F.col("label").isNull(), 0).otherwise(1)
+    return rows.withColumn("suffix_block_rate", F.round((F.col("blocked") - own + 10 * F.col("prior")) / (others + 10), 6))
+
+
 class Trees:
     """A sum of trees over feature columns, as one expression."""
 
@@ -248,9 +259,7 @@ def judge(pages: DataFrame, rules: dict[str, str], key: str = "page_id", options
     rows = rows.withColumn("decided", decided)
     rows = rows.withColumn("label", F.when(F.col("decided") == "block", 1).when(F.col("decided") == "allow", 0))
     rows = scratch.cut(rows, "lexical")
-    known = scratch.cut(suffix_statistics(rows, options), "suffixes")
-    rows = rows.join(F.broadcast(known), rows["suffix"] == known["known_suffix"], "left")
-    rows = rows.na.fill(0.0, ["suffix_share"]).na.fill(0.5, ["suffix_block_rate"])
+    rows = with_suffix_statistics(rows, scratch.cut(suffix_statistics(rows), "suffixes"), options)
     examples = rows.where("label is not null").orderBy(F.xxhash64(key), key).limit(options.max_examples)
     model = train(scratch.cut(examples.select("label", *FEATURES), "examples"), options)
     margin = model.column()
