@@ -1,5 +1,5 @@
 """Statistics of fourfold tables as Column expressions over cell counts a, b (exposed) and c, d (not exposed), where a
-and c are cases. One row per table; nothing here leaves generated code."""
+and c are cases. One row per table; p-values and exact tests are pandas UDFs over those few rows, the rest is generated code."""
 
 from __future__ import annotations
 

@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from cohortlab.operators.ranking import prefix_sums
+from cohortlab.sources.scratch import Cuts, smallest_connected
+
 EARTH_KM = 6371.0088
 
 
@@ -56,22 +59,32 @@ def distance_join(left: DataFrame, right: DataFrame, km: float, lat: str = "lat"
 
 
 def in_ring(x: Column, y: Column, ring: Column) -> Column:
-    """Ray casting over a ring of [x, y] points; what lies on the boundary may fall on either side."""
+    """Ray casting over a ring of [x, y] points. Edges are half open: a point on a left or lower edge is inside, one on a
+    right or upper edge outside, so of two zones that share an edge exactly one has its points."""
     following = F.concat(F.slice(ring, 2, F.greatest(F.size(ring) - 1, F.lit(0))), F.slice(ring, 1, 1))
     edges = F.zip_with(ring, following, lambda p, q: ((p[1] > y) != (q[1] > y)) & (x < (q[0] - p[0]) * (y - p[1]) / F.when(q[1] != p[1], q[1] - p[1]) + p[0]))
     return F.size(F.filter(edges, lambda e: F.coalesce(e, F.lit(False)))) % 2 == 1
 
 
-def zone_join(points: DataFrame, zones: DataFrame, x: str = "lon", y: str = "lat") -> DataFrame:
-    """Points with the zones they lie in. A zone has ``rings``, the outer one first, then holes. Zones are broadcast if
-    Spark finds them small, and bounding boxes are compared before rings."""
+def zone_join(points: DataFrame, zones: DataFrame, x: str = "lon", y: str = "lat", most_cells: int = 64) -> DataFrame:
+    """Points with the zones they lie in. A zone has ``rings``, the outer one first, then holes. Both sides are dealt into
+    cells of twice the zones' mean extent (a zone is listed in each cell that its bounding box touches, at most
+    ``most_cells`` in each direction), so a point meets the zones of its own cell only."""
     outer = F.col("rings")[0]
-    side = [F.transform(outer, lambda p: p[0]), F.transform(outer, lambda p: p[1])]
+    side = [F.transform(outer, lambda p: p[0].cast("double")), F.transform(outer, lambda p: p[1].cast("double"))]
     boxed = zones.withColumns({f"_{s}{i}": f(side[i]) for s, f in (("low", F.array_min), ("high", F.array_max)) for i in (0, 1)})
+    extent = [F.avg(F.col(f"_high{i}") - F.col(f"_low{i}")) for i in (0, 1)]
+    reach = [F.max(F.col(f"_high{i}") - F.col(f"_low{i}")) for i in (0, 1)]
+    one = boxed.agg(*[F.greatest(2 * extent[i], reach[i] / most_cells, F.lit(1e-9)).alias(f"e{i}") for i in (0, 1)]).first()
+    size = [one[0] or 1.0, one[1] or 1.0]
     px, py = F.col(x), F.col(y)
+    touched = lambda i: F.sequence(F.floor(F.col(f"_low{i}") / size[i]), F.floor(F.col(f"_high{i}") / size[i]))
+    dealt = boxed.withColumn("_c0", F.explode(touched(0))).withColumn("_c1", F.explode(touched(1)))
+    placed = points.withColumns({"_p0": F.floor(px / size[0]), "_p1": F.floor(py / size[1])})
     near = (px >= F.col("_low0")) & (px <= F.col("_high0")) & (py >= F.col("_low1")) & (py <= F.col("_high1"))
     inside = F.size(F.filter(F.col("rings"), lambda ring: in_ring(px, py, ring))) % 2 == 1
-    return points.join(boxed, near).where(inside).drop("_low0", "_low1", "_high0", "_high1")
+    met = placed.join(dealt, (F.col("_p0") == F.col("_c0")) & (F.col("_p1") == F.col("_c1")) & near)
+    return met.where(inside).drop(*[f"_{n}{i}" for n in ("low", "high", "c", "p") for i in (0, 1)])
 
 
 def grid_cell(lat: Column, lon: Column, degrees: float) -> Column:
@@ -91,8 +104,7 @@ def k_nearest(points: DataFrame, k: int, km: float = 30, within: float | None =
     what is farther."""
     most = min(within or math.inf, EARTH_KM * math.pi * 1.001)
     rank = F.row_number().over(Window.partitionBy("a").orderBy(F.round("km", 9), "b"))
-    shared = points.sparkSession.sparkContext.getCheckpointDir() is not None
-    cut = lambda df: df.checkpoint() if shared else df.localCheckpoint()
+    cut = Cuts(points.sparkSession, "nearest").cut
     left, found, reach = points, None, min(km, most)
     while True:
         pairs = distance_join(left, points, reach).where("a <> b")
@@ -187,19 +199,12 @@ def getis_ord(values: DataFrame, weights: DataFrame) -> DataFrame:
 def dbscan(points: DataFrame, km: float, least: int) -> DataFrame:
     """id, cluster (smallest id of its core points), core. Points count themselves as neighbours; a border point is listed
     under every cluster that reaches it; noise is left out."""
-    pairs = distance_join(points, points, km).select("a", "b").persist()
-    core = pairs.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("a").persist()
-    links = pairs.join(core, "a", "left_semi").join(core.select(F.col("a").alias("b")), "b", "left_semi").where("a <> b").select("a", "b").persist()
-    labels = core.select("a", F.col("a").alias("cluster"))
-    # Every label takes its smallest neighbour's, and the label of that; links inside a cluster go, the others are mapped
-    # to labels. Labels at least halve in a round.
-    while not links.isEmpty():
-        hook = links.groupBy("a").agg(F.least(F.col("a"), F.min("b")).alias("up")).persist()
-        jump = hook.join(hook.select(F.col("a").alias("up"), F.col("up").alias("top")), "up", "left").select("a", F.coalesce("top", "up").alias("new")).persist()
-        labels = labels.join(jump.select(F.col("a").alias("cluster"), "new"), "cluster", "left").select("a", F.coalesce("new", "cluster").alias("cluster")).persist()
-        moved = links.join(jump, "a").select(F.col("new").alias("x"), "b").join(jump.select(F.col("a").alias("b"), F.col("new").alias("y")), "b")
-        links = moved.where("x <> y").select(F.col("x").alias("a"), F.col("y").alias("b")).distinct().persist()
-    members = pairs.join(labels.select(F.col("a").alias("b"), "cluster"), "b").select(F.col("a").alias("id"), "cluster").distinct()
+    cuts = Cuts(points.sparkSession, "dbscan")
+    pairs = cuts.cut(distance_join(points, points, km).select("a", "b"), "pairs")
+    core = cuts.cut(pairs.groupBy("a").agg(F.count("*").alias("k")).where(F.col("k") >= least).select("a"), "core")
+    links = pairs.where("a < b").join(core, "a", "left_semi").join(core.select(F.col("a").alias("b")), "b", "left_semi")
+    labels = smallest_connected(core.select(F.col("a").alias("node")), links, cuts)
+    members = pairs.join(labels.select(F.col("node").alias("b"), F.col("label").alias("cluster")), "b").select(F.col("a").alias("id"), "cluster").distinct()
     return members.join(core.select(F.col("a").alias("id"), F.lit(True).alias("core")), "id", "left").na.fill(False, ["core"])
 
 
@@ -243,11 +248,11 @@ def class_breaks(values: DataFrame, classes: int, method: str = "quantile") -> D
     if method == "equal":
         ends = v.agg(F.min("value").alias("low"), F.max("value").alias("high"))
         return steps.join(ends).select("class", (F.col("low") + (F.col("high") - F.col("low")) * (F.col("class") + 1) / classes).alias("upper"))
-    counts = v.groupBy("value").agg(F.count("*").alias("k"))
-    up_to = counts.withColumns({"up": F.sum("k").over(Window.orderBy("value")), "n": F.sum("k").over(Window.partitionBy(F.lit(0)))})
-    wanted = F.ceil((F.col("class") + 1) * F.col("n") / classes)
-    met = up_to.join(F.broadcast(steps)).where(F.col("up") >= wanted)
-    return met.groupBy("class").agg(F.min("value").alias("upper"))
+    up_to = prefix_sums(v.groupBy("value").agg(F.count("*").alias("k")), ["value"], "k", "up", "n")
+    # The classes whose bound this value is: those that need more than all smaller values, and no more than up to here.
+    first = lambda c: F.floor(c * classes / F.col("n")).cast("long")
+    own = F.filter(F.sequence(F.greatest(first(F.col("up") - F.col("k")) - 1, F.lit(0)), F.least(first(F.col("up")), F.lit(classes - 1))), lambda c: F.ceil((c + 1) * F.col("n") / classes).between(F.col("up") - F.col("k") + 1, F.col("up")))
+    return up_to.select(F.explode(own).alias("class"), F.col("value").alias("upper"))
 
 
 def utm_zone(lat: Column, lon: Column) -> Column:
@@ -263,8 +268,9 @@ def dots(features: DataFrame, per_dot: float, rounding: str = "nearest") -> Data
     return features.select("id", {"floor": F.floor(x), "nearest": F.floor(x + 0.5), "ceil": F.ceil(x)}[rounding].cast("long").alias("dots"))
 
 
-def place_dots(features: DataFrame, seed: int = 1) -> DataFrame:
-    """id, x, y: dots inside each feature's rings, by rejection, from a generator of its own for each feature."""
+def place_dots(features: DataFrame, seed: int = 1, most_tries: int = 100_000) -> DataFrame:
+    """id, x, y: dots inside each feature's rings, by rejection, from a generator of its own for each feature. Raises an error
+    where ``most_tries`` rounds of a growing number of draws leave a dot without a place, as in a ring without area."""
 
     def run(batches):
         for rows in batches:
@@ -273,11 +279,13 @@ def place_dots(features: DataFrame, seed: int = 1) -> DataFrame:
                 rings = [np.array([list(p) for p in r], float) for r in f.rings]
                 low, high = rings[0].min(axis=0), rings[0].max(axis=0)
                 random = np.random.default_rng([seed, int(f.id)])
-                left = int(f.dots)
-                for _ in range(200):
-                    if not left:
-                        break
-                    x, y = (random.uniform(low[i], high[i], 4 * left + 16) for i in (0, 1))
+                left, tried, draws = int(f.dots), 0, 0
+                while left:
+                    if tried >= most_tries:
+                        raise ValueError(f"feature {f.id}: {left} dots found no place")
+                    draws = min(65_536, max(4 * left + 16, 2 * draws))
+                    tried += 1 if draws < 65_536 else most_tries // 2_000
+                    x, y = (random.uniform(low[i], high[i], draws) for i in (0, 1))
                     inside = np.zeros(len(x), bool)
                     for r in rings:
                         for (x1, y1), (x2, y2) in zip(r, np.roll(r, -1, axis=0)):

@@ -7,6 +7,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from cohortlab.sources.scratch import shared_folder
+
 
 def curve(events: DataFrame, when: str = "ts", step: str = "1 day", late: str = "1 day", status: str = "event_type") -> DataFrame:
     """Works on streams and on tables alike."""
@@ -16,11 +18,19 @@ def curve(events: DataFrame, when: str = "ts", step: str = "1 day", late: str =
 
 
 def run_to_end(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Reads what there is as a stream of files, into a table in memory (complete counts: bins x kinds)."""
+    """Reads what there is as a stream of files and writes complete counts batch by batch to the shared folder; the last
+    batch's are the result."""
     schema = spark.read.parquet(path).schema
     folder, _, name = path.rpartition("/")
     stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*" if not name.endswith("/") else "*").parquet(folder)
-    table = f"curve_{uuid.uuid4().hex}"
-    query = curve(stream, **options).writeStream.outputMode("complete").format("memory").queryName(table).trigger(availableNow=True).start()
+    out = f"{shared_folder(spark)}/curve-{uuid.uuid4().hex}"
+    last: list[int] = []
+
+    def keep(counts: DataFrame, batch: int) -> None:
+        counts.write.mode("overwrite").parquet(f"{out}/{batch}")
+        last[:] = [batch]
+
+    result = curve(stream, **options)
+    query = result.writeStream.outputMode("complete").option("checkpointLocation", f"{out}/state").foreachBatch(keep).trigger(availableNow=True).start()
     query.awaitTermination()
-    return spark.table(table)
+    return spark.read.parquet(f"{out}/{last[0]}") if last else spark.createDataFrame([], result.schema)
