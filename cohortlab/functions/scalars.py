@@ -158,6 +158,10 @@ def format_value(v: Column, name: str = "General Number") -> Column:
     return F.when(v.isNotNull(), FORMATS[name](v))
 
 
+def _told(value: float | None = None) -> Column:
+    return F.lit(value).cast("double")
+
+
 FUNCTIONS: dict[str, Callable[..., Column]] = {
     "ABS": F.abs, "COS": F.cos, "SIN": F.sin, "TAN": F.tan, "EXP": lambda x: _finite(F.exp(x)), "SQRT": lambda x: F.when(x >= 0, F.sqrt(x)), "TRUNC": trunc,
     "LN": lambda x: F.when(x > 0, F.ln(x)), "LOG": lambda x: F.when(x > 0, F.log10(x)), "ROUND": round_half_away, "STEP": step,
@@ -166,4 +170,6 @@ FUNCTIONS: dict[str, Callable[..., Column]] = {
     "HOUR": F.hour, "MINUTE": F.minute, "SECOND": F.second, "DAYS": days, "HOURS": hours, "MINUTES": minutes, "SECONDS": seconds, "MONTHS": months, "YEARS": years,
     "EPIWEEK": epi_week, "FORMAT": format_value, "PFROMZ": percentile_of_z, "ZSCORE": z_score, "RND": random_between,
     "SYSTEMDATE": F.current_date, "SYSTEMTIME": lambda: F.date_format(F.current_timestamp(), "HH:mm:ss"), "CURRENTUSER": F.current_user,
+    # What a device would tell is a parameter.
+    "SYSLATITUDE": _told, "SYSLONGITUDE": _told, "SYSALTITUDE": _told,
 }

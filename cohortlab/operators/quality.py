@@ -51,7 +51,9 @@ def issues(df: DataFrame, key: str, rules: dict[str, list[dict]]) -> DataFrame:
         for rule in own:
             if rule["type"] == "unique":
                 fold = F.when(~blank(F.col(f"`{name}`")), F.lower(trimmed(F.col(f"`{name}`"))))
-                rows = rows.withColumn(f"_u_{name}", F.count("*").over(Window.partitionBy(fold)))
+                # Missing values get a key of their own each, so that no task sees them all.
+                spread = F.when(fold.isNull(), F.xxhash64(F.col(f"`{key}`")))
+                rows = rows.withColumn(f"_u_{name}", F.count("*").over(Window.partitionBy(fold, spread)))
                 broken = (F.col(f"_u_{name}") > 1) & ~blank(F.col(f"`{name}`"))
             else:
                 broken = violates(df, name, rule)

@@ -50,7 +50,9 @@ def merge(target: DataFrame, source: DataFrame, keys: list[tuple[str, str]], ord
     target = target.withColumns({n: relate_key(target, a) for n, (a, _) in zip(tk, keys)})
     whole = reduce(lambda x, y: x & y, [F.col(n).isNotNull() for n in tk])
     copies = F.count("*").over(Window.partitionBy(*tk))
-    target = target.withColumn("_n", copies).withColumn("_t", F.when(whole & (F.col("_n") > 1), F.raise_error(F.lit("duplicate key in the target"))).otherwise(F.lit(1)))
+    # Records with a missing key meet no window, which would put them all into one task.
+    target = target.where(whole).withColumn("_n", copies).unionByName(target.where(~whole).withColumn("_n", F.lit(1).cast("long")))
+    target = target.withColumn("_t", F.when(whole & (F.col("_n") > 1), F.raise_error(F.lit("duplicate key in the target"))).otherwise(F.lit(1)))
     source = source.withColumns({n: relate_key(source, b) for n, (_, b) in zip(sk, keys)})
     full = reduce(lambda x, y: x & y, [F.col(n).isNotNull() for n in sk])
     last = F.row_number().over(Window.partitionBy(*sk).orderBy(*[F.desc(o) for o in order]))
@@ -74,21 +76,31 @@ def merge(target: DataFrame, source: DataFrame, keys: list[tuple[str, str]], ord
 
 
 def import_merge(target: DataFrame, source: DataFrame, key: str, mode: str = "update-and-append") -> DataFrame:
-    """The four import modes. Keys match trimmed and whatever the case; blank incoming cells do not overwrite."""
+    """The four import modes. Keys match trimmed and whatever the case; blank incoming cells do not overwrite. A key that
+    either side holds twice is an error, found while the result is computed; records without a key match nothing."""
     if mode == "replace":
         return source
     fold = lambda c: F.lower(trimmed(F.col(f"`{c}`")))
-    renamed = source.select(*[F.col(f"`{c}`").alias(f"src_{c}") for c in source.columns], fold(key).alias("_s"))
+
+
+    def single(rows: DataFrame, name: str, side: str) -> DataFrame:
+        some = rows.where(F.col(name).isNotNull()).withColumn("_n", F.count("*").over(Window.partitionBy(name)))
+        checked = F.when(F.col("_n") > 1, F.raise_error(F.lit(f"duplicate key in the {side}")).cast("string")).otherwise(F.col(name))
+        return some.withColumn(name, checked).drop("_n").unionByName(rows.where(F.col(name).isNull()))
+
+    keyed = F.when(~blank(F.col(f"`{key}`")), fold(key))
+    renamed = single(source.withColumn("_s", keyed), "_s", "source").select(*[F.col(f"`{c}`").alias(f"src_{c}") for c in source.columns], "_s")
+    target_columns, target = target.columns, single(target.withColumn("_t", keyed), "_t", "target")
     how = {"update-and-append": "full", "update-only": "left", "append-new": "full"}[mode]
-    both = target.withColumn("_t", fold(key)).join(renamed, F.col("_t") == F.col("_s"), how)
+    both = target.withColumn("_here", F.lit(True)).join(renamed, F.col("_t") == F.col("_s"), how)
     out = []
-    for c in target.columns:
+    for c in target_columns:
         if c not in source.columns:
             out.append(F.col(c))
             continue
         given = F.when(~blank(F.col(f"src_{c}")), F.col(f"src_{c}"))
         kept = F.coalesce(F.col(c), given) if mode == "append-new" else F.coalesce(given, F.col(c))
-        out.append(F.when(F.col("_t").isNull(), F.col(f"src_{c}")).otherwise(F.col(c) if mode == "append-new" or c == key else kept).alias(c))
+        out.append(F.when(F.col("_here").isNull(), F.col(f"src_{c}")).otherwise(F.col(c) if mode == "append-new" or c == key else kept).alias(c))
     return both.select(*out)
 
 
@@ -98,7 +110,8 @@ def import_preview(target: DataFrame, source: DataFrame, key: str) -> DataFrame:
     shared = [c for c in source.columns if c in target.columns and c != key]
     changes = [~blank(F.col(f"src_{c}")) & ~F.col(f"src_{c}").eqNullSafe(F.col(c)) for c in shared]
     own = source.select(*[F.col(f"`{c}`").alias(f"src_{c}") for c in source.columns], F.when(~blank(F.col(key)), fold(key)).alias("_s"))
-    own = own.withColumn("_n", F.count("*").over(Window.partitionBy("_s")))
+    copies = F.count("*").over(Window.partitionBy("_s"))
+    own = own.where("_s is not null").withColumn("_n", copies).unionByName(own.where("_s is null").withColumn("_n", F.lit(1).cast("long")))
     both = own.join(target.withColumn("_t", fold(key)), F.col("_s") == F.col("_t"), "left")
     changed = reduce(lambda x, y: x | y, changes, F.lit(False))
     met, some = F.col("_t").isNotNull(), F.col("_s").isNotNull()
@@ -116,6 +129,19 @@ def candidate_keys(df: DataFrame) -> DataFrame:
     return stats.select("n", F.explode(rows).alias("r")).select("r.*", ((F.col("r.present") == F.col("n")) & (F.col("r.distinct_values") == F.col("n"))).alias("is_key"))
 
 
+def import_keys(current: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Fields of both tables as merge keys: field, present, distinct_values (of the incoming), is_key (complete and unique on
+    both sides) and a score of how much its name reads like an identifier's."""
+    shared = [c for c in incoming.columns if c in current.columns]
+    own, other = candidate_keys(incoming.select(*shared)), candidate_keys(current.select(*shared))
+    name = F.lower("field")
+    compact = F.regexp_replace(name, "[^a-z0-9]", "")
+    named = compact.rlike(r"^(id|uid|uuid|guid|globalrecordid)$") | compact.rlike(r"(case|record|person|patient|subject)id$") | name.rlike(r"_id$")
+    score = F.when(name == "globalrecordid", 100).otherwise(0) + F.when(named, 40).otherwise(0) + F.when(name.rlike(r"(^|[_\s])identifier($|[_\s])"), 20).otherwise(0)
+    both = own.join(other.select("field", F.col("is_key").alias("_other")), "field")
+    return both.select("field", "present", "distinct_values", (F.col("is_key") & F.col("_other")).alias("is_key"), score.alias("score"))
+
+
 def delete(df: DataFrame, matched: DataFrame, order: list[str]) -> tuple[DataFrame, DataFrame]:
     """Bag difference: as many copies of each record go as were matched, the earliest first. (kept, deleted)"""
     fields = df.columns
@@ -158,8 +184,13 @@ def key_join(shapes: DataFrame, data: DataFrame, shape_key: str, data_key: str,
     """Boundaries with data, and what became of every record: (joined, counts of the diagnostic classes). Data whose
     key names several boundaries is withheld."""
     prepared = lambda c: F.when(~blank(F.col(c)), F.lower(trimmed(F.col(c))) if fold else F.col(c).cast("string"))
-    left = shapes.withColumn("_k", prepared(shape_key)).withColumn("_n", F.count("*").over(Window.partitionBy("_k")))
-    right = data.withColumn("_d", prepared(data_key)).withColumn("_m", F.count("*").over(Window.partitionBy("_d")))
+
+    def counted(rows: DataFrame, key: str, name: str) -> DataFrame:
+        some = rows.where(F.col(key).isNotNull()).withColumn(name, F.count("*").over(Window.partitionBy(key)))
+        return some.unionByName(rows.where(F.col(key).isNull()).withColumn(name, F.lit(1).cast("long")))
+
+    left = counted(shapes.withColumn("_k", prepared(shape_key)), "_k", "_n")
+    right = counted(data.withColumn("_d", prepared(data_key)), "_d", "_m")
     single = left.where("_k is not null and _n = 1")
     names = free_names(shapes.columns, data.columns)
     joined = single.join(right, F.col("_k") == F.col("_d")).select(*shapes.columns, *[right[c].alias(n) for c, n in names.items()])

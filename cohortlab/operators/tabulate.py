@@ -14,10 +14,18 @@ from pyspark.sql import functions as F
 from cohortlab.functions import cells, kernels
 from cohortlab.functions.missing import blank, empty, finite, trimmed
 from cohortlab.functions.shapes import doubles
+from cohortlab.operators.ranking import prefix_sums
+from cohortlab.sources.scratch import Cuts
 
 #: Fixed value: the quantile that frequency limits use.
 FREQ_Z = 1.96
 EXACT_BELOW = 300
+#: Categories that one task may order; more are summed by ranges.
+ONE_TASK = 100_000
+#: Cells of all tables of one TABLES; more are an error, since empty cells are listed too.
+MOST_CELLS = 5_000_000
+#: Texts that stand for yes and no.
+YES, NO = ("yes", "true", "1"), ("no", "false", "0")
 
 
 def category(df: DataFrame, name: str) -> Column:
@@ -55,11 +63,15 @@ def freq(df: DataFrame, field: str, stratum: str | None = None, with_missing: bo
     if not with_missing:
         counts = counts.where(F.col("value.rank") < 3)
     own = ["stratum"] if stratum else []
-    all_rows = Window.partitionBy(*own) if own else Window.partitionBy(F.lit(0))
-    up_to = all_rows.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    counts = Cuts(df.sparkSession, "freq").cut(counts, "counts")
     n = F.col("total").cast("double")
     p = F.col("count") / n
-    out = counts.withColumns({"total": F.sum("count").over(all_rows), "up_to": F.sum("count").over(up_to)})
+    if counts.count() > ONE_TASK:
+        out = prefix_sums(counts, ["value"], "count", "up_to", "total", own)
+    else:
+        all_rows = Window.partitionBy(*own) if own else Window.partitionBy(F.lit(0))
+        up_to = all_rows.orderBy("value").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        out = counts.withColumns({"total": F.sum("count").over(all_rows), "up_to": F.sum("count").over(up_to)})
     out = out.withColumns({"proportion": p, "cumulative": F.col("up_to") / n})
     z2 = FREQ_Z * FREQ_Z
     middle, half = (p + z2 / (2 * n)) / (1 + z2 / n), FREQ_Z * F.sqrt(p * (1 - p) / n + z2 / (4 * n * n)) / (1 + z2 / n)
@@ -73,10 +85,20 @@ def freq(df: DataFrame, field: str, stratum: str | None = None, with_missing: bo
     return out.select(*columns, low.alias("low"), high.alias("high"))
 
 
-def tables(df: DataFrame, exposure: str, outcome: str, strata: list[str] = [], weight: str | None = None, with_missing: bool = False) -> DataFrame:
+def category_order(c: Column, binary: bool) -> Column:
+    """What listed categories sort by: numbers by value, then texts whatever the case; of yes and no, yes is first."""
+    number = F.when(c.rlike(r"^\s*[+-]?(\d+\.?\d*|\.\d+)([eE][+-]?\d+)?\s*$"), c.cast("double"))
+    low = F.lower(c)
+    rank = F.when(low.isin(*YES), 0).when(low.isin(*NO), 1).otherwise(2) if binary else F.lit(2)
+    return F.struct(rank.alias("rank"), number.isNull().alias("text"), number.alias("number"), low.alias("low"), c.alias("as_is"))
+
+
+def tables(df: DataFrame, exposure: str, outcome: str, strata: list[str] = [], weight: str | None = None, with_missing: bool = False, one_is_yes: bool = False) -> DataFrame:
     """Every cell of the M x N tables: strata, exposure, outcome, count, row and column totals, percentages, expected
-    count. Categories are those of all records, so empty cells appear as 0."""
-    label = lambda c: F.when(blank(F.col(f"`{c}`")), F.lit("(.)")).otherwise(trimmed(F.col(f"`{c}`")))
+    count, and the cell's row and column (from 0). Categories are those of all records, so empty cells appear as 0. Truth
+    values, and with ``one_is_yes`` whatever reads like them, list yes first, so that row 0 is exposed and column 0 a case."""
+    label = lambda c: F.when(blank(F.col(f"`{c}`")), F.lit("(.)")).otherwise(trimmed(F.col(f"`{c}`")) if df.schema[c].dataType.typeName() == "boolean" else category(df, c)["text"])
+    binary = lambda c: one_is_yes or df.schema[c].dataType.typeName() == "boolean"
     if not with_missing:
         df = df.where(reduce(lambda x, y: x & y, [~blank(F.col(f"`{c}`")) for c in (exposure, outcome, *strata)]))
     value = F.lit(1)
@@ -85,21 +107,51 @@ def tables(df: DataFrame, exposure: str, outcome: str, strata: list[str] = [], w
         value = F.col("_w")
     keys = {exposure: "exposure", outcome: "outcome"} | {s: s for s in strata}
     counts = df.groupBy(*[label(c).alias(n) for c, n in keys.items()]).agg(F.sum(value).alias("count"))
-    # A few categories by a few categories: both sides are results of aggregations over the same small table.
-    grid = counts.select("exposure").distinct().join(counts.select("outcome").distinct())
+    counts = Cuts(df.sparkSession, "tables").cut(counts, "counts")
+    listed = counts.agg(*[F.count_distinct(n).alias(n) for n in keys.values()]).first()
+    if reduce(lambda x, y: x * y, listed, 1) > MOST_CELLS:
+        raise ValueError(f"the tables would have over {MOST_CELLS} cells: " + ", ".join(f"{n} {k}" for n, k in zip(keys.values(), listed)))
+
+    def side(name: str, place: str, c: str) -> DataFrame:
+        first = Window.partitionBy(F.lit(0)).orderBy(category_order(F.col(name), binary(c)))
+        return counts.select(name).distinct().withColumn(place, F.row_number().over(first) - 1)
+
+    # At most MOST_CELLS cells: the sides are the categories just counted.
+    grid = side("exposure", "row", exposure).join(side("outcome", "col", outcome))
     for s in strata:
         grid = grid.join(counts.select(s).distinct())
     cells_ = grid.join(counts, [*strata, "exposure", "outcome"], "left").na.fill(0, ["count"])
     over = lambda *c: F.sum("count").over(Window.partitionBy(*strata, *c) if strata or c else Window.partitionBy(F.lit(0)))
     cells_ = cells_.withColumns({"row_total": over("exposure"), "col_total": over("outcome"), "total": over()})
     return cells_.select(
-        *strata, "exposure", "outcome", "count", "row_total", "col_total", "total",
+        *strata, "exposure", "outcome", "row", "col", "count", "row_total", "col_total", "total",
         cells.ratio(100.0 * F.col("count"), F.col("row_total")).alias("row_pct"),
         cells.ratio(100.0 * F.col("count"), F.col("col_total")).alias("col_pct"),
         cells.ratio(F.col("row_total") * F.col("col_total"), F.col("total").cast("double")).alias("expected"),
     )
 
 
+def fisher_tables(cells_: DataFrame, strata: list[str] = [], most: int = 200_000) -> DataFrame:
+    """Fisher-Freeman-Halton p of each M x N table (null where more than ``most`` tables have its margins, or it has fewer
+    than two rows or columns that are not empty). One task per stratum, of the cells that ``tables`` bounds."""
+    used = cells_.where((F.col("row_total") > 0) & (F.col("col_total") > 0)).select(*strata, "row", "col", F.col("count").cast("long").alias("count"))
+    kind = ", ".join([f"`{s}` {cells_.schema[s].dataType.simpleString()}" for s in strata] + ["fisher_p double", "n_rows int", "n_cols int"])
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        grid = part.pivot(index="row", columns="col", values="count").fillna(0).astype(int)
+        able = min(grid.shape) > 1
+        p = kernels.freeman_halton(grid.values.tolist(), most) if able else None
+        return pd.DataFrame([(*[part[s].iloc[0] for s in strata], p, *grid.shape)], columns=[*strata, "fisher_p", "n_rows", "n_cols"])
+
+    return used.withColumn("_one", F.lit(0)).groupBy("_one", *strata).applyInPandas(run, kind)
+
+
+def fourfold_of(cells_: DataFrame, strata: list[str] = []) -> DataFrame:
+    """a, b, c, d of each 2 x 2 table, by the order of its categories."""
+    at = lambda r, c: F.sum(F.when((F.col("row") == r) & (F.col("col") == c), F.col("count")).otherwise(0))
+    return cells_.groupBy(*strata).agg(at(0, 0).alias("a"), at(0, 1).alias("b"), at(1, 0).alias("c"), at(1, 1).alias("d"))
+
+
 def outtable(cells_: DataFrame, exposure: str, strata: list[str] = []) -> DataFrame:
     """The table that OUTTABLE names."""
     return cells_.select(*strata, F.col("exposure").alias("EXPOSURE"), F.col("outcome").alias("OUTCOME"), F.lit(exposure).alias("VARNAME"), F.col("count").alias("COUNT"))
@@ -151,24 +203,40 @@ def stratified(cells_: DataFrame, level: float = 0.95) -> DataFrame:
     able = reduce(lambda x, y: x & y, [x > 0 for x in rest])
     full = (a > 0) & (b > 0) & (c > 0) & (d > 0)
     log_odds, w = F.ln(a * d / (b * c)), 1 / (1 / a + 1 / b + 1 / c + 1 / d)
+    able_rr = (a > 0) & (c > 0) & ((b > 0) | (d > 0))
+    log_risk, u = F.ln(a / (a + b) / (c / (c + d))), 1 / (b / (a * (a + b)) + d / (c * (c + d)))
     steps = with_odds.where(n > 0).select(
         F.when(able, (a - e) * (a - e) / variance).alias("term"), F.when(able, a - e).alias("gap"), F.when(able, variance).alias("var"),
         F.when(full, w).alias("w"), F.when(full, w * log_odds).alias("wl"), F.when(full, w * log_odds * log_odds).alias("wll"),
+        F.when(able_rr, u).alias("u"), F.when(able_rr, u * log_risk).alias("ul"), F.when(able_rr, u * log_risk * log_risk).alias("ull"),
     )
     tests = steps.agg(
         F.count("*").alias("n_strata"), F.count("term").alias("n_able"), F.sum("term").alias("bd"), F.sum("gap").alias("gap"), F.sum("var").alias("var"),
         F.count("w").alias("n_full"), F.sum("w").alias("sw"), F.sum("wl").alias("swl"), F.sum("wll").alias("swll"),
+        F.count("u").alias("n_rr"), F.sum("u").alias("su"), F.sum("ul").alias("sul"), F.sum("ull").alias("sull"),
     )
     every = F.col("n_able") == F.col("n_strata")
     tests = tests.select(
         F.when(every, F.col("bd")).alias("breslow_day"),
         F.when(every, F.col("bd") - F.col("gap") * F.col("gap") / F.col("var")).alias("tarone"),
         F.when(F.col("n_full") == F.col("n_strata"), F.col("swll") - F.col("swl") * F.col("swl") / F.col("sw")).alias("woolf"),
+        F.when(F.col("n_rr") == F.col("n_strata"), F.col("sull") - F.col("sul") * F.col("sul") / F.col("su")).alias("woolf_rr"),
         (F.col("n_strata") - 1).alias("df"),
     )
     return sums.select("strata", *cells.stratified(level)).join(F.broadcast(tests))
 
 
+def stratified_exact(cells_: DataFrame) -> DataFrame:
+    """Conditional odds ratio common to all strata of a, b, c, d, with limits: one row, from the few rows of the strata."""
+    names = ["estimate", "exact_low", "exact_high", "mid_low", "mid_high"]
+
+    def run(part: pd.DataFrame) -> pd.DataFrame:
+        found = kernels.conditional_odds_ratio([tuple(map(int, r)) for r in part[["a", "b", "c", "d"]].values])
+        return pd.DataFrame([found], columns=names).astype("float64")
+
+    return cells_.withColumn("_one", F.lit(0)).groupBy("_one").applyInPandas(run, doubles(" ".join(names)))
+
+
 def trend(cells_: DataFrame, score: str) -> DataFrame:
     """Extended Mantel-Haenszel chi-square for trend over rows of (score, cases, controls)."""
     x, a, n = F.col(score).cast("double"), F.col("cases").cast("double"), (F.col("cases") + F.col("controls")).cast("double")
@@ -181,23 +249,39 @@ def trend(cells_: DataFrame, score: str) -> DataFrame:
     return s.select(cells.ratio(gap * gap, scaled).alias("chi2_trend"))
 
 
+def trend_rows(cells_: DataFrame, score: str) -> DataFrame:
+    """score, cases, controls, odds_ratio against the row with the lowest score (null where that cannot be computed)."""
+    base = cells_.agg(F.min_by(F.struct("cases", "controls"), score).alias("_b"))  # one row
+    top, bottom = F.col("cases") * F.col("_b.controls"), F.col("controls") * F.col("_b.cases")
+    return cells_.join(F.broadcast(base)).select(score, "cases", "controls", cells.ratio(top.cast("double"), bottom.cast("double")).alias("odds_ratio"))
+
+
 def means(df: DataFrame, field: str, by: list[str] = []) -> DataFrame:
     """n, total, mean, variance, sd, min, quartiles, max, mode (lowest of equals). A quartile is the mean of both
-    neighbours where n p is whole, else the next value: the two one-sided discrete percentiles' mean."""
+    neighbours where n p is whole, else the next value: of the least value up to which there are n p records or more,
+    and the greatest before which there are n p or fewer. Both come from running sums over the counted values."""
     x = F.col("x")
-    rows = df.select(*by, finite(df, field).alias("x")).where("x is not null")
-    quartile = lambda p: F.expr(f"(percentile_disc({p}) within group (order by x) + percentile_disc({1 - p}) within group (order by x desc)) / 2")
-    return rows.groupBy(*by).agg(
-        F.count(x).alias("n"), F.sum(x).alias("total"), F.avg(x).alias("mean"), F.var_samp(x).alias("variance"), F.stddev_samp(x).alias("sd"),
-        F.min(x).alias("min"), quartile(0.25).alias("q25"), quartile(0.5).alias("median"), quartile(0.75).alias("q75"), F.max(x).alias("max"),
-        F.mode(x, deterministic=True).alias("mode"),
+    names = [f"g{i}" for i in range(len(by))]
+    rows = df.select(*[F.col(f"`{b}`").alias(n) for b, n in zip(by, names)], finite(df, field).alias("x")).where("x is not null")
+    plain = rows.groupBy(*names).agg(
+        F.count(x).alias("n"), F.sum(x).alias("total"), F.avg(x).alias("mean"), F.var_samp(x).alias("variance"), F.stddev_samp(x).alias("sd"), F.min(x).alias("min"), F.max(x).alias("max"),
     )
+    counts = rows.groupBy(*names, "x").agg(F.count("*").alias("k"))
+    ranked = prefix_sums(counts, ["x"], "k", "up", "all", names)
+    need = lambda p: F.col("all") * p
+    quartile = lambda p: (F.min(F.when(F.col("up") >= need(p), x)) + F.max(F.when(F.col("up") - F.col("k") <= need(p), x))) / 2
+    best = F.max_by(x, F.struct("k", (-x).alias("low"))).alias("mode")
+    order = ranked.groupBy(*[F.col(n).alias(f"_{n}") for n in names]).agg(quartile(0.25).alias("q25"), quartile(0.5).alias("median"), quartile(0.75).alias("q75"), best)
+    same = reduce(lambda a, b: a & b, [F.col(n).eqNullSafe(F.col(f"_{n}")) for n in names], F.lit(True))
+    both = plain.join(order, same)
+    return both.select(*[F.col(n).alias(b) for n, b in zip(names, by)], "n", "total", "mean", "variance", "sd", "min", "q25", "median", "q75", "max", "mode")
 
 
 def summarize(df: DataFrame, aggregates: list[tuple[str, str, str | None]], strata: list[str] = [], order: list[str] = [], weight: str | None = None) -> DataFrame:
-    """aggregates: (result, function, field). FIRST and LAST go by ``order``. COUNT without a field counts records;
-    white space is a value, the empty text is not. A null stratum is a group of its own."""
-    position = F.struct(*[F.col(f"`{o}`") for o in order]) if order else F.monotonically_increasing_id()
+    """aggregates: (result, function, field). FIRST and LAST go by ``order``, or by all fields from left to right, so that
+    partitions do not matter. COUNT without a field counts records; white space is a value, the empty text is not. A
+    null stratum is a group of its own."""
+    position = F.struct(*[F.col(f"`{o}`") for o in order or df.columns])
     w = finite(df, weight) if weight else None
 
     def build(function: str, field: str | None) -> Column:

@@ -145,7 +145,9 @@ def _text(x: Column) -> Value:
     return Value(number(x), x, yes_no(x), blank(x), "text")
 
 
-def evaluate(node: Node, df: DataFrame, variables: dict[str, object] = {}) -> Value:
+def evaluate(node: Node, df: DataFrame, variables: dict[str, object] = {}, strict: bool = False) -> Value:
+    """``strict`` is the rule of check code: a division by zero is an error, found while the result is computed; in selections
+    it is missing."""
     if node.kind == "literal" or node.kind == "field" and node.value.lower() in variables:
         v = node.value if node.kind == "literal" else variables[node.value.lower()]
         if v is None:
@@ -159,7 +161,7 @@ def evaluate(node: Node, df: DataFrame, variables: dict[str, object] = {}) -> Va
         if kind in ("string", "date", "timestamp", "timestamp_ntz"):
             return _text(c.cast("string"))
         return _number(finite(df, name))
-    parts = [evaluate(p, df, variables) for p in node.parts]
+    parts = [evaluate(p, df, variables, strict) for p in node.parts]
     holds = lambda v: F.coalesce(v.truth, F.lit(False)) & ~v.missing
     if node.kind == "unary":
         (a,) = parts
@@ -188,6 +190,8 @@ def evaluate(node: Node, df: DataFrame, variables: dict[str, object] = {}) -> Va
         return _truth(F.coalesce(F.regexp_like(a.text, pattern), F.lit(False)) & ~a.missing & ~b.missing)
     x, y = a.number, b.number
     some = F.when(y != 0, y)
+    if strict:
+        some = F.when(y == 0, F.raise_error(F.lit("division by zero")).cast("double")).otherwise(y)
     return _number({"+": x + y, "-": x - y, "*": x * y, "/": x / some, "MOD": x % some, "%": x % some, "^": F.pow(x, y)}[op])
 
 

@@ -10,6 +10,7 @@ from __future__ import annotations
 import re
 from collections.abc import Callable
 from dataclasses import dataclass, field
+from datetime import datetime, timezone
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,8 @@ from cohortlab.plans.expressions import condition, evaluate, field_named, parse
 from cohortlab.sources import writers
 
 WORD = re.compile(r'"[^"]*"|\[[^\]]+\]|\S+')
+#: Runs that a session remembers.
+HISTORY = 100
 OPTION = re.compile(r'(?i)\b([A-Z]+)\s*=\s*("[^"]*"|\S+)')
 
 
@@ -42,6 +45,9 @@ class Session:
     variables: dict[str, object] = field(default_factory=dict)
     types: dict[str, str] = field(default_factory=dict)
     groups: dict[str, list[str]] = field(default_factory=dict)
+    base_name: str = ""
+    source_order: bool = False  # CANCEL SORT asks for it
+    history: list[tuple[str, str, str]] = field(default_factory=list)  # the last runs: when, first line, outcome
     outtables: dict[str, DataFrame] = field(default_factory=dict)
     archive: DataFrame | None = None
     with_missing: bool = False
@@ -69,7 +75,9 @@ class Session:
 
     @property
     def sorted(self) -> DataFrame:
-        return relational.sort(self.active, self.sorting) if self.sorting else self.active
+        if self.sorting:
+            return relational.sort(self.active, self.sorting, *self.row_order[:1])
+        return self.active.orderBy(*self.row_order) if self.source_order and self.row_order else self.active
 
     def fields(self, words: list[str], df: DataFrame | None = None) -> list[str]:
         """A field list: names, groups, * and * EXCEPT."""
@@ -88,10 +96,22 @@ class Session:
     # Programs -------------------------------------------------------------------------------------------------
 
     def run(self, program: str) -> DataFrame | None:
-        """Runs every command; the result is that of the last that has one."""
-        last = None
+        """Runs every command; the result is that of the last that has one. The history keeps the last 100 runs."""
         lines = [x.strip() for x in program.splitlines()]
         lines = [x for x in lines if x and not x.startswith("*")]
+        began, outcome = datetime.now(timezone.utc).isoformat(timespec="seconds"), "failed"
+        try:
+            last = self._run(lines)
+            outcome = "completed"
+            return last
+        finally:
+            self.history = [*self.history, (began, lines[0] if lines else "", outcome)][-HISTORY:]
+
+    def run_history(self) -> DataFrame:
+        return self.spark.createDataFrame(self.history, "started string, first_line string, outcome string")
+
+    def _run(self, lines: list[str]) -> DataFrame | None:
+        last = None
         at = 0
         while at < len(lines):
             line = lines[at]
@@ -128,7 +148,7 @@ class Session:
 
     def do_read(self, rest):
         name = name_of(rest.rpartition(":")[2].strip())
-        self.base = self.table(name)
+        self.base, self.base_name, self.source_order = self.table(name), name, False
         self.row_order = self.order.get(name.lower(), [])
         self.selections, self.sorting, self.variables, self.types, self.groups, self.outtables = [], [], {}, {}, {}, {}
 
@@ -141,7 +161,7 @@ class Session:
 
     def do_cancel(self, rest):
         if rest.upper().startswith("SORT"):
-            self.sorting = []
+            self.sorting, self.source_order = [], True
         else:
             self.selections = []
 
@@ -248,6 +268,8 @@ class Session:
 
     def do_tables(self, rest):
         words, o = self._options(rest)
+        flags = {w.upper() for w in words} & {"FISHER", "ONEISYES"}
+        words = [w for w in words if w.upper() not in flags]
         outcome = self.fields([words[-1]])[0]
         strata = self.fields(o["STRATAVAR"].split()) if "STRATAVAR" in o else []
         out = None
@@ -255,7 +277,9 @@ class Session:
             if "PSUVAR" in o:
                 out = survey.tables(self.active, e, outcome, field_named(self.active, o["PSUVAR"]), *strata[:1], weight=o.get("WEIGHTVAR"))
             else:
-                out = tabulate.tables(self.active, e, outcome, strata, o.get("WEIGHTVAR"), self.with_missing)
+                out = tabulate.tables(self.active, e, outcome, strata, o.get("WEIGHTVAR"), self.with_missing, "ONEISYES" in flags)
+                if "FISHER" in flags:
+                    self._report(f"FISHER {e} {outcome}", tabulate.fisher_tables(out, strata))
             self._report(f"TABLES {e} {outcome}", out)
             if "OUTTABLE" in o:
                 self.outtables[o["OUTTABLE"]] = out if "PSUVAR" in o else tabulate.outtable(out, e, strata)
@@ -324,7 +348,13 @@ class Session:
 
     def do_display(self, rest):
         words, o = self._options(rest)
-        rows = [(self.order and "" or "", c, t) for c, t in self.active.dtypes] + [("", v, self.types.get(v, "STANDARD")) for v in self.variables]
+        shown = {w.upper() for w in words} - {"DBVARIABLES"}
+        fields = [(self.base_name, c, t) for c, t in self.active.dtypes] if self.base is not None and "DEFINE" not in shown else []
+        defined = [("", v, self.types.get(v, "STANDARD")) for v in self.variables] if "FIELDVAR" not in shown else []
+        rows = fields + defined
+        if "LIST" in shown:
+            named = {name_of(w).lower() for w in words[[w.upper() for w in words].index("LIST") + 1 :]}
+            rows = [r for r in rows if r[1].lower() in named]
         out = self.spark.createDataFrame(sorted(rows, key=lambda r: (r[0], r[1].lower())), "table string, variable string, type string")
         if "OUTTABLE" in o:
             self.outtables[o["OUTTABLE"]] = out

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import io
 import re
+import zipfile
+from xml.etree import ElementTree
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -97,3 +101,93 @@ def inspect_features(features: DataFrame) -> DataFrame:
         F.count("*").alias("features"), F.sort_array(F.collect_set("kind")).alias("kinds"), F.sort_array(F.array_distinct(F.flatten(F.collect_set(F.map_keys("properties"))))).alias("fields"),
         low(0).alias("west"), low(1).alias("south"), high(0).alias("east"), high(1).alias("north"),
     )
+
+
+# Archives -----------------------------------------------------------------------------------------------------------
+
+SPREADSHEET = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
+RELATION = "{http://schemas.openxmlformats.org/officeDocument/2006/relationships}id"
+
+
+def sheet_rows(content: bytes) -> list[list[str]]:
+    """The cells of a workbook's first sheet as texts, row by row."""
+    with zipfile.ZipFile(io.BytesIO(content)) as archive:
+        names = set(archive.namelist())
+        read = lambda name: ElementTree.fromstring(archive.read(name))
+        shared = ["".join(t.text or "" for t in s.iter(f"{SPREADSHEET}t")) for s in read("xl/sharedStrings.xml")] if "xl/sharedStrings.xml" in names else []
+        first = read("xl/workbook.xml").find(f"{SPREADSHEET}sheets")[0].get(RELATION)
+        target = next(r.get("Target") for r in read("xl/_rels/workbook.xml.rels") if r.get("Id") == first)
+        sheet = read(target.lstrip("/") if target.startswith("/") else f"xl/{target}")
+    rows = []
+    for row in sheet.iter(f"{SPREADSHEET}row"):
+        cells: list[str] = []
+        for c in row.iter(f"{SPREADSHEET}c"):
+            letters = re.match("[A-Z]+", c.get("r", ""))
+            at = len(cells)
+            if letters:
+                at = 0
+                for letter in letters[0]:
+                    at = at * 26 + ord(letter) - 64
+                at -= 1
+            cells += [""] * (at - len(cells))
+            value = c.find(f"{SPREADSHEET}v")
+            if c.get("t") == "inlineStr":
+                text = "".join(t.text or "" for t in c.iter(f"{SPREADSHEET}t"))
+            elif value is None or value.text is None:
+                text = ""
+            elif c.get("t") == "s":
+                text = shared[int(value.text)]
+            else:
+                text = {"1": "true", "0": "false"}.get(value.text, value.text) if c.get("t") == "b" else value.text
+            cells.append(text)
+        rows.append(cells)
+    return rows
+
+
+def read_xlsx(spark: SparkSession, path: str, typed: bool = False) -> DataFrame:
+    """The first sheet of a workbook: a row of names, then records; those that are empty throughout go. A workbook is one file
+    that cannot be split, so one task reads it, row by row, in the order of the sheet."""
+    files = spark.read.format("binaryFile").load(path).select("content")
+
+    def run(batches):
+        for batch in batches:
+            for content in batch.content:
+                rows = sheet_rows(content)
+                yield pd.DataFrame({"place": range(len(rows)), "cells": rows})
+
+    rows = files.mapInPandas(run, "place long, cells array<string>")
+    head = rows.where("place = 0").select("cells").first()
+    names = tidy(list(head[0])) if head else []
+    some = F.exists("cells", lambda c: ~blank(c))
+    out = rows.where("place > 0").where(some).select(*[F.coalesce(F.get("cells", F.lit(i)), F.lit("")).alias(n) for i, n in enumerate(names)])
+    return with_types(out) if typed else out
+
+
+def archive_inventory(spark: SparkSession, path: str) -> DataFrame:
+    """archive, entry, bytes, kind, dataset: what zip archives hold. Of a shapefile all parts are there under one name, or it is
+    incomplete; entries that would leave the folder are unsafe."""
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for name, content in zip(batch.path, batch.content):
+                with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                    entries = [e for e in archive.infolist() if not e.is_dir()]
+                parts: dict[str, set[str]] = {}
+                for e in entries:
+                    stem, _, end = e.filename.rpartition(".")
+                    parts.setdefault(stem, set()).add(end.lower())
+                for e in entries:
+                    stem, _, end = e.filename.rpartition(".")
+                    kind, own = "other", parts[stem]
+                    if e.filename.startswith("/") or ".." in e.filename.replace("\\", "/").split("/"):
+                        kind = "unsafe"
+                    elif end.lower() == "gpkg":
+                        kind = "geopackage"
+                    elif end.lower() in ("shp", "shx", "dbf", "prj", "cpg"):
+                        kind = "shapefile" if {"shp", "shx", "dbf"} <= own else "shapefile-incomplete"
+                    out.append((name, e.filename, e.file_size, kind, stem if kind not in ("other", "unsafe") else None))
+            yield pd.DataFrame(out, columns=["archive", "entry", "bytes", "kind", "dataset"])
+
+    return files.mapInPandas(run, "archive string, entry string, bytes long, kind string, dataset string")
