@@ -106,9 +106,9 @@ def program_graph(spark, sf_dir):
     return out.select(F.concat(F.lit("f:"), "value").alias("value"), "count")
 
 
-@query(QUERIES)
+@query(QUERIES, "select date_trunc('day', ts) :: timestamp as bin, event_type as status, count(*) as cases from events group by 1, 2")
 def streaming_epi_curve(spark, sf_dir):
     """An extension: the epidemic curve as a stream over the events, run to its end."""
     from cohortlab.streaming import epi_stream
 
-    return epi_stream.run_to_end(spark, f"{sf_dir}/events.parquet")
+    return epi_stream.run_to_end(spark, f"{sf_dir}/events.parquet").withColumn("bin", F.col("bin").cast("timestamp_ntz"))

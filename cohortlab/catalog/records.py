@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlab.catalog import query, rounded, table
+from cohortlab.catalog.numeric import two_sided_p
 from cohortlab.functions import scalars as f
-from cohortlab.operators import linkage, matched, quality
+from cohortlab.operators import features, linkage, matched, quality
 
 QUERIES: dict = {}
 
@@ -60,11 +61,8 @@ def scalar_dates(spark, sf_dir):
 
 @query(QUERIES, "select c_custkey, count(*) over () as records, count(*) over (partition by c_nationkey, c_mktsegment) = 1 as unique_pair from customer")
 def scalar_record_context(spark, sf_dir):
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "customer")
-    total = rows.agg(F.count("*").alias("records"))
-    return rows.join(F.broadcast(total)).select("c_custkey", "records", (F.count("*").over(Window.partitionBy("c_nationkey", "c_mktsegment")) == 1).alias("unique_pair"))
+    rows = features.with_row_context(table(spark, sf_dir, "customer"), {"unique_pair": ["c_nationkey", "c_mktsegment"]}, "records")
+    return rows.select("c_custkey", "records", "unique_pair")
 
 
 def _pairs(spark, sf_dir):
@@ -90,13 +88,35 @@ def match_mcnemar(spark, sf_dir):
     return rounded(matched.mcnemar(matched.pairs(_pairs(spark, sf_dir), "exposed", "case", "set")).select("b", "c", "odds_ratio", "chi2", "chi2_corrected"))
 
 
-@query(QUERIES)
+@query(QUERIES, f"""
+  with recursive t as (select count(*) filter (c = 'case-only') as b, count(*) filter (c = 'control-only') as c from (select {CLASS} as c from {SETS})),
+  k as (select b, c, b + c as n, unnest(range(0, b + c + 1)) as k from t), l as (select *, lgamma(n + 1) - lgamma(k + 1) - lgamma(n - k + 1) as lw from k),
+  s as (select any_value(b) as b, any_value(c) as c, any_value(n) as n, list(k order by k) as k, list(lw order by k) as lw from l),
+  r as (select unnest(['low', 'high']) as side, 0 as step, 0.0 :: double as lo, 1.0 :: double as hi union all
+    select side, step + 1, case when f < 0 then mid else lo end, case when f < 0 then hi else mid end from (
+      select r.*, (lo + hi) / 2 as mid, case when side = 'low'
+        then list_sum(list_transform(range(b + 1, n + 2), lambda j: exp(lw[j] + k[j] * ln((lo + hi) / 2) + (n - k[j]) * ln(1 - (lo + hi) / 2)))) - 0.025
+        else 0.025 - list_sum(list_transform(range(1, b + 2), lambda j: exp(lw[j] + k[j] * ln((lo + hi) / 2) + (n - k[j]) * ln(1 - (lo + hi) / 2)))) end as f from r, s where step < 60)),
+  e as (select list_sum(list_transform(range(1, least(b, c) + 2), lambda j: exp(lw[j] - n * ln(2)))) as tail, exp(lw[least(b, c) + 1] - n * ln(2)) as last from s)
+  select b, c, round(b / c, 6) as odds_ratio, round((select lo / (1 - lo) from r where step = 60 and side = 'low'), 6) as low, round((select lo / (1 - lo) from r where step = 60 and side = 'high'), 6) as high,
+    round((b - c) ** 2 / (b + c), 6) as chi2, round(greatest(0, abs(b - c) - 1) ** 2 / (b + c), 6) as chi2_corrected, round(least(1, 2 * tail), 6) as exact_two, round(least(1, 2 * tail - last), 6) as mid_p_two from t, e""")
 def match_exact(spark, sf_dir):
     """Exact limits and p-values of the discordant pairs."""
     return rounded(matched.mcnemar(matched.pairs(_pairs(spark, sf_dir), "exposed", "case", "set")))
 
 
-@query(QUERIES)
+@query(QUERIES, f"""
+  with recursive o as (select o_orderkey // 2 as set, o_orderstatus = 'F' as y, o_totalprice / 100000 as x0, month(o_orderdate) :: double as x1 from orders),
+  d as (select max(x0) filter (y) - max(x0) filter (not y) as d0, max(x1) filter (y) - max(x1) filter (not y) as d1 from o group by set having count(*) = 2 and count(*) filter (y) = 1),
+  r as (select 0 as step, 0.0 :: double as b0, 0.0 :: double as b1 union all
+    select step + 1, b0 + (h11 * g0 - h01 * g1) / (h00 * h11 - h01 * h01), b1 + (h00 * g1 - h01 * g0) / (h00 * h11 - h01 * h01) from (
+      select step, b0, b1, sum((1 - p) * d0) as g0, sum((1 - p) * d1) as g1, sum(p * (1 - p) * d0 * d0) as h00, sum(p * (1 - p) * d0 * d1) as h01, sum(p * (1 - p) * d1 * d1) as h11
+      from (select step, b0, b1, d0, d1, 1 / (1 + exp(-b0 * d0 - b1 * d1)) as p from r, d where step < 15) group by step, b0, b1)),
+  f as (select b0, b1, sum(p * (1 - p) * d0 * d0) as h00, sum(p * (1 - p) * d0 * d1) as h01, sum(p * (1 - p) * d1 * d1) as h11, 2 * (sum(ln(p)) + count(*) * ln(2)) as lr
+    from (select b0, b1, d0, d1, 1 / (1 + exp(-b0 * d0 - b1 * d1)) as p from r, d where step = 15) group by b0, b1),
+  e as (select 'price' as term, b0 as b, sqrt(h11 / (h00 * h11 - h01 * h01)) as s, lr from f union all select 'month', b1, sqrt(h00 / (h00 * h11 - h01 * h01)), lr from f)
+  select term, round(b, 5) as coefficient, round(s, 5) as std_err, round(exp(b), 5) as odds_ratio, round(exp(b - 1.959963984540054 * s), 5) as low, round(exp(b + 1.959963984540054 * s), 5) as high,
+    round(b / s, 5) as z, round({two_sided_p('abs(b / s)')}, 5) as p, round(lr, 5) as lr_chi2 from e""")
 def logistic_conditional(spark, sf_dir):
     """Newton's method; one aggregation over the sets a step."""
     return rounded(matched.conditional_logistic(_pairs(spark, sf_dir), "case", ["price", "month"], "set"), 5)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cohortlab.catalog import query, rounded, table
+from cohortlab.catalog.numeric import LOG_WEIGHT, SUPPORT, conditional_odds, two_sided_p
 from cohortlab.operators import tabulate as t
 
 QUERIES: dict = {}
@@ -38,7 +39,7 @@ def freq_by_stratum(spark, sf_dir):
     round(sum(count) over (partition by exposure) * sum(count) over (partition by outcome) / (sum(count) over ()) :: double, 6) as expected
   from f""")
 def tables_cells(spark, sf_dir):
-    return rounded(t.tables(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus"))
+    return rounded(t.tables(table(spark, sf_dir, "lineitem"), "l_returnflag", "l_linestatus")).drop("row", "col")
 
 
 @query(QUERIES, """
@@ -95,7 +96,13 @@ def fourfold_exact(spark, sf_dir):
     return rounded(out.select("a", "b", "c", "d", "fisher_left", "fisher_right", "fisher_two", "mid_p_left", "mid_p_right"))
 
 
-@query(QUERIES)
+@query(QUERIES, f"""
+  with recursive t as ({FOURFOLD.format(keys='lang,', rows=LABELLED)}), {conditional_odds(f"select lang, a, i, {LOG_WEIGHT} as lw from ({SUPPORT})", 'lang')},
+  x as (select lang, (a + b + c + d) :: double as n, (a * d - b * c) :: double as x, ((a + b) * (c + d) * (a + c) * (b + d)) :: double as m from t),
+  y as (select lang, case when m <> 0 then n * x * x / m end as p, case when m <> 0 then (n - 1) * x * x / m end as q, case when m <> 0 then n * greatest(abs(x) - n / 2, 0) ** 2 / m end as r from x)
+  select t.lang, round(estimate, 6) as conditional_or, round(exact_low, 6) as cor_exact_low, round(exact_high, 6) as cor_exact_high, round(mid_low, 6) as cor_mid_low, round(mid_high, 6) as cor_mid_high,
+    round({two_sided_p('sqrt(p)')}, 6) as p_pearson, round({two_sided_p('sqrt(q)')}, 6) as p_mh, round({two_sided_p('sqrt(r)')}, 6) as p_yates
+  from t join y on t.lang is not distinct from y.lang left join odds on odds.lang = t.lang where t.lang is not null""")
 def fourfold_conditional_odds(spark, sf_dir):
     """Conditional odds ratio with exact and mid-P limits, p-values: bisection on noncentral distributions."""
     out = t.fourfold_analysis(_labelled_cells(spark, sf_dir, ["lang"]))
@@ -111,10 +118,11 @@ def fourfold_conditional_odds(spark, sf_dir):
   f as (select *, (a + b) as n1, (a + c) as m1, -2 * qc / (qb + sqrt(qb * qb - 4 * qa * qc)) as h from (select a, b, c, d, n, qa, qb, qc from e)),
   g as (select *, 1 / (1 / h + 1 / (n1 - h) + 1 / (m1 - h) + 1 / (n - n1 - m1 + h)) as vh from f),
   k as (select sum((a - h) ** 2 / vh) as bd, sum(a - h) as gap, sum(vh) as vs, count(*) - 1 as df,
+    sum(1 / (b / (a * (a + b)) + d / (c * (c + d)))) as su, sum(ln(a / (a + b) / (c / (c + d))) / (b / (a * (a + b)) + d / (c * (c + d)))) as sul, sum(ln(a / (a + b) / (c / (c + d))) ** 2 / (b / (a * (a + b)) + d / (c * (c + d)))) as sull,
     sum(1 / (1 / a + 1 / b + 1 / c + 1 / d)) as sw, sum(ln(a * d / (b * c)) / (1 / a + 1 / b + 1 / c + 1 / d)) as swl, sum(ln(a * d / (b * c)) ** 2 / (1 / a + 1 / b + 1 / c + 1 / d)) as swll from g)
   select strata, round(r / s, 6) as mh_or, round(exp(ln(r / s) - z * sqrt(p / (2 * r * r) + q / (2 * r * s) + t / (2 * s * s))), 6) as mh_or_low, round(exp(ln(r / s) + z * sqrt(p / (2 * r * r) + q / (2 * r * s) + t / (2 * s * s))), 6) as mh_or_high,
     round(u / v, 6) as mh_rr, round(exp(ln(u / v) - z * sqrt(w / (u * v))), 6) as mh_rr_low, round(exp(ln(u / v) + z * sqrt(w / (u * v))), 6) as mh_rr_high,
-    round(x * x / y, 6) as mh_chi2, round(greatest(abs(x) - 0.5, 0) ** 2 / y, 6) as mh_chi2_corrected, round(bd, 6) as breslow_day, round(bd - gap * gap / vs, 6) as tarone, round(swll - swl * swl / sw, 6) as woolf, df
+    round(x * x / y, 6) as mh_chi2, round(greatest(abs(x) - 0.5, 0) ** 2 / y, 6) as mh_chi2_corrected, round(bd, 6) as breslow_day, round(bd - gap * gap / vs, 6) as tarone, round(swll - swl * swl / sw, 6) as woolf, round(sull - sul * sul / su, 6) as woolf_rr, df
   from s, k""".replace("t, s cross join (select 1)", "t, s").replace("select t.*, r / s as o", "select t.a, t.b, t.c, t.d, t.n, s.r / s.s as o").replace("(1 - r / s) as qa", "(1 - s.r / s.s) as qa").replace("n - (a + b) - (a + c) + r / s * ((a + b) + (a + c)) as qb", "t.n - (t.a + t.b) - (t.a + t.c) + s.r / s.s * ((t.a + t.b) + (t.a + t.c)) as qb").replace("-(r / s) * (a + b) * (a + c) as qc", "-(s.r / s.s) * (t.a + t.b) * (t.a + t.c) as qc"))
 def stratified_mantel_haenszel(spark, sf_dir):
     """Strata: thirds of the labelled documents by id, so that each has all four cells."""
@@ -129,18 +137,16 @@ def _thirds(spark, sf_dir):
 QUERIES["stratified_mantel_haenszel"] = (stratified_mantel_haenszel, QUERIES["stratified_mantel_haenszel"][1].replace(LABELLED, "select quality = 0 as e, toxic = 1 as o, doc_id % 3 as lang from labels"))
 
 
-@query(QUERIES)
+@query(QUERIES, f"""
+  with recursive t as ({FOURFOLD.format(keys='lang,', rows="select quality = 0 as e, toxic = 1 as o, doc_id % 3 as lang from labels")}),
+  w as (select lang, a, i, {LOG_WEIGHT} as lw from ({SUPPORT})), s as (select sum(a) as a from t),
+  c as (select x.i + y.i + z.i as i, x.lw + y.lw + z.lw as lw from w x, w y, w z where x.lang = 0 and y.lang = 1 and z.lang = 2),
+  m as (select max(lw) as top from c), g as (select i, top + ln(sum(exp(lw - top))) as lw from c, m group by i, top),
+  {conditional_odds("select 1 as one, s.a, g.i, g.lw from g, s", 'one')}
+  select round(estimate, 6) as estimate, round(exact_low, 6) as exact_low, round(exact_high, 6) as exact_high, round(mid_low, 6) as mid_low, round(mid_high, 6) as mid_high from odds""")
 def stratified_exact(spark, sf_dir):
-    """Exact common odds ratio: the strata's distributions are convolved, on the few rows of the strata."""
-    from cohortlab.functions.kernels import conditional_odds_ratio
-
-    def run(batches):
-        import pandas as pd
-
-        rows = pd.concat(list(batches))
-        yield pd.DataFrame([conditional_odds_ratio([tuple(map(int, r)) for r in rows[["a", "b", "c", "d"]].values])])
-
-    return rounded(_thirds(spark, sf_dir).coalesce(1).mapInPandas(run, "estimate double, exact_low double, exact_high double, mid_low double, mid_high double"))
+    """Exact common odds ratio: the strata's distributions are convolved."""
+    return rounded(t.stratified_exact(_thirds(spark, sf_dir)))
 
 
 @query(QUERIES, """

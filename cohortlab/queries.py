@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 Query = Callable[[SparkSession, str], DataFrame]
 
 #: Modules of queries. Each has QUERIES: name -> (function, SQL or None).
-MODULES = ["tabulations", "relations", "programs", "surveys", "records", "places"]
+MODULES = ["tabulations", "relations", "programs", "surveys", "records", "places", "layers"]
 
 
 def _all() -> dict[str, tuple[Query, str | None]]:
