@@ -13,8 +13,8 @@ from cohortlab.operators import tabulate as t
 
 QUERIES: dict = {}
 
-#: Normal quantiles of the levels and powers used below, for the SQL.
-Z80, Z95, POWER = 1.2815515655446008, 1.959963984540054, 0.8416212335729143
+#: Deviates of the levels and the power used below, for the SQL.
+Z80, Z95, POWER = samples.two_sided_z(0.8), samples.two_sided_z(0.95), samples.power_z(0.8)
 
 
 @query(QUERIES, f"""

@@ -51,7 +51,7 @@ def moran_global(spark, sf_dir):
 
 @query(QUERIES, f"""
   with l as (select a, sum(w * z) as lag from {WEIGHTS} join {Z} on id = b group by 1), m as (select avg(z * z) as m2 from {Z})
-  select id, round(z * coalesce(lag, 0) / m2, 5) as local_i, case when z >= 0 then 'high' else 'low' end || '-' || case when coalesce(lag, 0) >= 0 then 'high' else 'low' end as quadrant from {Z} left join l on id = a, m""")
+  select id, round(z * lag / m2, 5) as local_i, case when lag is null then 'isolated' else case when z >= 0 then 'high' else 'low' end || '-' || case when lag >= 0 then 'high' else 'low' end end as quadrant from {Z} left join l on id = a, m""")
 def moran_local(spark, sf_dir):
     p = _points(spark, sf_dir)
     return rounded(s.local_moran(p.select("id", "value"), s.distance_band(p, 30)), 5)
@@ -65,15 +65,28 @@ def moran_pseudo_p(spark, sf_dir):
 
 
 @query(QUERIES, f"""
-  with w as (select a, b from {NEAR}), o as (select avg(value) as mean, stddev_pop(value) as sd, count(*) as n from {POINTS}),
-  g as (select a as id, sum(value) as sv, count(*) :: double as k from w join {POINTS} p on p.id = b group by 1),
-  z as (select id, round((sv - mean * k) / (sd * sqrt((n * k - k * k) / (n - 1))), 5) as z from g, o)
-  select id, z, case when z >= 1.96 then 'hot' when z <= -1.96 then 'cold' else 'none' end as kind from z""")
+  with w as (select a, b, w from {WEIGHTS} union all select distinct a, a, 1.0 from {WEIGHTS}), o as (select avg(value) as mean, stddev_pop(value) as sd, count(*) as n from {POINTS}),
+  g as (select a as id, sum(w * value) as sv, sum(w) :: double as k, sum(w * w) :: double as kk from w join {POINTS} p on p.id = b group by 1)
+  select p.id, round((sv - mean * k) / (sd * sqrt((n * kk - k * k) / (n - 1))), 5) as gi_star, g.id is null as isolated from {POINTS} p left join g on g.id = p.id, o""")
 def getis_ord_star(spark, sf_dir):
     p = _points(spark, sf_dir)
     return rounded(s.getis_ord(p.select("id", "value"), s.distance_band(p, 30)), 5)
 
 
+@query(QUERIES)
+def getis_ord_simulated(spark, sf_dir):
+    """99 permutations by hash order; held against plain Python by a test."""
+    p = _points(spark, sf_dir)
+    return s.getis_ord_permutations(p.select("id", "value"), s.distance_band(p, 30), 99)
+
+
+@query(QUERIES)
+def moran_local_simulated(spark, sf_dir):
+    """99 conditional permutations by hash order; held against plain Python by a test."""
+    p = _points(spark, sf_dir)
+    return s.local_moran_permutations(p.select("id", "value"), s.distance_band(p, 30), 99)
+
+
 @query(QUERIES, f"""
   with recursive n as (select a, b from {NEAR} where km <= 18), core as (select a from n group by 1 having count(*) >= 5), e as (select n.a, n.b from n semi join core c using (a) where n.b in (select a from core)),
   r as (select a, a as root from core union select e.b, r.root from r join e on e.a = r.a), l as (select a, min(root) as cluster from r group by 1)

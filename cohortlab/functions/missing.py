@@ -11,8 +11,8 @@ HEX = r"^0[xX][0-9a-fA-F]{1,15}$"
 
 
 def trimmed(c: Column) -> Column:
-    """Without white space of any kind at either end."""
-    return F.regexp_replace(c.cast("string"), r"^\s+|\s+$", "")
+    """Without white space (the six ASCII kinds) at either end."""
+    return F.btrim(c.cast("string"), F.lit(" \t\n\x0b\x0c\r"))
 
 
 def blank(c: Column) -> Column:

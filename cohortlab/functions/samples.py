@@ -3,15 +3,30 @@ the survey's frequency and margin, which are percentages."""
 
 from __future__ import annotations
 
-from statistics import NormalDist
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+#: A published approximation of the normal distribution (Abramowitz and Stegun 26.2.19), in the digits that these
+#: sizes are defined with. The share beyond z on both sides is the polynomial's value to the power of -16.
+TAIL = (1.0, 0.04986735, 0.02114101, 0.00327763, 0.0000380036, 0.0000488906, 0.000005383)
+
 
 def two_sided_z(level: float) -> float:
-    """The normal quantile that leaves (1 - level) / 2 on either side."""
-    return NormalDist().inv_cdf(0.5 + level / 2)
+    """The deviate that leaves 1 - level on both sides together, by that approximation."""
+    wanted = (1 - level) ** (-1 / 16)
+    low, high = 0.0, 40.0
+    while high - low > 1e-12:
+        z = (low + high) / 2
+        value = 0.0
+        for factor in reversed(TAIL):
+            value = value * z + factor
+        low, high = (z, high) if value < wanted else (low, z)
+    return (low + high) / 2
+
+
+def power_z(power: float) -> float:
+    """The deviate below which the share ``power`` lies."""
+    return two_sided_z(2 * power - 1) if power >= 0.5 else -two_sided_z(1 - 2 * power)
 
 
 def survey_size(population: Column, frequency: Column, margin: Column, effect: Column, clusters: Column, level: float) -> Column:
@@ -41,7 +56,7 @@ def comparison_sizes(unexposed: Column, odds: Column, ratio: Column, level: floa
     """Sizes of both groups by three published methods (Kelsey; Fleiss; Fleiss with continuity correction). ``ratio``: members
     of the second group for each of the first. The groups are exposed and unexposed in a cohort or cross-sectional study,
     cases and controls (with ``unexposed`` the controls' exposure) in an unmatched case-control study."""
-    za, zb = two_sided_z(level), NormalDist().inv_cdf(power)
+    za, zb = two_sided_z(level), power_z(power)
     p0, p1 = unexposed, share_from_odds(unexposed, odds)
     mean = (p1 + ratio * p0) / (1 + ratio)
     spread, gap = mean * (1 - mean) * (ratio + 1), F.abs(p1 - p0)

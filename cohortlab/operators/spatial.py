@@ -152,15 +152,48 @@ def _deviations(values: DataFrame) -> DataFrame:
 
 
 def local_moran(values: DataFrame, weights: DataFrame) -> DataFrame:
-    """id, local I and quadrant, from values (id, value) and weights (a, b, weight)."""
+    """id, local I and quadrant, from values (id, value) and weights (a, b, weight). Places without neighbours are isolated;
+    equal values everywhere are no data."""
     z = _deviations(values)
     m2 = z.agg(F.avg(F.col("z") * F.col("z")).alias("m2"))
     lag = weights.join(z.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b").groupBy("a").agg(F.sum(F.col("weight") * F.col("zb")).alias("lag"))
-    out = z.join(lag, F.col("id") == F.col("a"), "left").na.fill(0.0, ["lag"]).join(F.broadcast(m2))
+    out = z.join(lag, F.col("id") == F.col("a"), "left").join(F.broadcast(m2))  # one row
     quadrant = F.concat(F.when(F.col("z") >= 0, "high").otherwise("low"), F.lit("-"), F.when(F.col("lag") >= 0, "high").otherwise("low"))
+    quadrant = F.when(F.col("lag").isNull(), "isolated").when(F.col("m2") == 0, "no-data").otherwise(quadrant)
     return out.select("id", F.when(F.col("m2") > 0, F.col("z") * F.col("lag") / F.col("m2")).alias("local_i"), quadrant.alias("quadrant"))
 
 
+def _orders(z: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """rep, id, z, j: a permutation for each replication, the order (from 1) of a hash of (seed, replication, id)."""
+    reps = z.sparkSession.range(1, permutations + 1).withColumnRenamed("id", "rep")
+    dealt = z.select("id", "z").join(F.broadcast(reps)).withColumns({"_one": F.lit(1), "_h": F.xxhash64(F.lit(seed), "rep", "id")})
+    return prefix_sums(dealt, ["_h", "id"], "_one", "j", "_all", ["rep"]).select("rep", "id", "z", "j")
+
+
+def _shuffled(z: DataFrame, permutations: int, seed: int) -> DataFrame:
+    """rep, id, z: in each replication every place has the value of the one that its permutation puts there."""
+    places = prefix_sums(z.withColumn("_one", F.lit(1)), ["id"], "_one", "j", "_all").select(F.col("id").alias("_id"), "j")
+    return _orders(z, permutations, seed).drop("id").join(places, "j").select("rep", F.col("_id").alias("id"), "z")
+
+
+def local_moran_permutations(values: DataFrame, weights: DataFrame, permutations: int, seed: int = 1) -> DataFrame:
+    """local_moran with p: a place keeps its value, and gets as many others' values as it has neighbours, without
+    replacement: those that follow one another in the replication's permutation, from a place of its own on."""
+    z = _deviations(values)
+    orders = Cuts(values.sparkSession, "orders").cut(_orders(z, permutations, seed))
+    n = values.count()
+    numbered = weights.withColumn("m", F.row_number().over(Window.partitionBy("a").orderBy("b")) - 1)
+    start = F.pmod(F.xxhash64(F.lit(seed), F.lit("start"), "rep", "a"), F.lit(n))
+    focal = orders.select("rep", F.col("id").alias("a"), (F.col("j") - 1).alias("p")).withColumn("start", start).withColumn("d", F.pmod(F.col("p") - F.col("start") - 1, F.lit(n)))
+    wanted = focal.join(numbered, "a").select("rep", "a", "weight", F.pmod(F.col("start") + 1 + F.col("m") + (F.col("m") >= F.col("d")).cast("int"), F.lit(n)).alias("at"))
+    drawn = wanted.join(orders.select("rep", (F.col("j") - 1).alias("at"), F.col("z").alias("zb")), ["rep", "at"])
+    lags = drawn.groupBy("rep", "a").agg(F.sum(F.col("weight") * F.col("zb")).alias("lag"))
+    seen = weights.join(z.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b").groupBy("a").agg(F.sum(F.col("weight") * F.col("zb")).alias("own"))
+    seen = seen.join(z.select(F.col("id").alias("a"), F.col("z").alias("za")), "a")
+    above = lags.join(seen, "a").groupBy("a").agg(((F.count(F.when(F.abs(F.col("za") * F.col("lag")) >= F.abs(F.col("za") * F.col("own")), 1)) + 1) / (permutations + 1)).alias("p"))
+    return local_moran(values, weights).join(above.withColumnRenamed("a", "id"), "id", "left")
+
+
 def moran(values: DataFrame, weights: DataFrame) -> DataFrame:
     """Global I and its expectation: one row."""
     z = _deviations(values)
@@ -171,29 +204,50 @@ def moran(values: DataFrame, weights: DataFrame) -> DataFrame:
 
 
 def moran_permutations(values: DataFrame, weights: DataFrame, permutations: int, seed: int = 1) -> DataFrame:
-    """Pseudo p of global I. A permutation is the order of a hash of (seed, replication, id): each replication joins the
-    values in that order to the places, so all run as one query and none depends on partitions."""
+    """Pseudo p of global I: how often it lies as far from its expectation. Every replication joins the values in the order of
+    a hash to the places, so all run as one query and none depends on partitions; orders are numbered range by range."""
     z = _deviations(values).select("id", "z")
-    reps = values.sparkSession.range(1, permutations + 1).withColumnRenamed("id", "rep")
-    places = z.withColumn("place", F.row_number().over(Window.orderBy("id")))
-    dealt = z.join(F.broadcast(reps)).withColumn("place", F.row_number().over(Window.partitionBy("rep").orderBy(F.xxhash64(F.lit(seed), "rep", "id"))))
-    shuffled = dealt.select("rep", "place", "z").join(F.broadcast(places.select("id", "place")), "place").select("rep", "id", "z")
-    one = shuffled.select("rep", F.col("id").alias("a"), F.col("z").alias("za"))
-    two = shuffled.select("rep", F.col("id").alias("b"), F.col("z").alias("zb"))
-    sims = one.join(weights, "a").join(two, ["rep", "b"]).groupBy("rep").agg(F.sum(F.col("weight") * F.col("za") * F.col("zb")).alias("cross"))
-    seen = weights.join(z.select(F.col("id").alias("a"), F.col("z").alias("za")), "a").join(z.select(F.col("id").alias("b"), F.col("z").alias("zb")), "b").agg(F.sum(F.col("weight") * F.col("za") * F.col("zb")).alias("observed"))
-    return sims.join(F.broadcast(seen)).agg(((F.count(F.when(F.abs("cross") >= F.abs("observed"), 1)) + 1) / (F.count("*") + 1)).alias("p"))
+    both = lambda v, *on: v.select(*on, F.col("id").alias("a"), F.col("z").alias("za")).join(weights, "a").join(v.select(*on, F.col("id").alias("b"), F.col("z").alias("zb")), [*on, "b"])
+    cross = F.sum(F.col("weight") * F.col("za") * F.col("zb"))
+    sims = both(Cuts(values.sparkSession, "shuffled").cut(_shuffled(z, permutations, seed)), "rep").groupBy("rep").agg(cross.alias("cross"))
+    seen = both(z).agg(cross.alias("observed"), F.sum("weight").alias("s0"))
+    about = z.agg(F.sum(F.col("z") * F.col("z")).alias("ss"), F.count("*").alias("n"))
+    far = lambda c: F.abs(F.col("n") / F.col("s0") * F.col(c) / F.col("ss") + 1 / (F.col("n") - 1))
+    one = seen.join(about)  # one row each
+    return sims.join(F.broadcast(one)).agg(((F.count(F.when(far("cross") >= far("observed"), 1)) + 1) / (F.count("*") + 1)).alias("p"))
+
+
+def _star(weights: DataFrame, values: DataFrame) -> DataFrame:
+    """a, b, w: neighbours by weight, and every place that has any itself with weight 1."""
+    some = weights.select("a").distinct()
+    return weights.select("a", "b", F.col("weight").alias("w")).union(some.select("a", F.col("a").alias("b"), F.lit(1.0).alias("w")))
 
 
 def getis_ord(values: DataFrame, weights: DataFrame) -> DataFrame:
-    """Gi* of every place (itself with weight 1), as a z score, and hot or cold beyond 1.96."""
-    one = values.agg(F.avg("value").alias("mean"), F.stddev_pop("value").alias("sd"), F.count("*").alias("n"))
-    pairs = weights.select("a", "b", F.lit(1.0).alias("w")).union(values.select(F.col("id").alias("a"), F.col("id").alias("b"), F.lit(1.0).alias("w")))
-    sums = pairs.join(values.select(F.col("id").alias("b"), "value"), "b").groupBy("a").agg(F.sum(F.col("w") * F.col("value")).alias("s"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("ww"))
-    out = sums.join(F.broadcast(one))
+    """id, Gi* of every place (itself with weight 1); places without neighbours are isolated and have none."""
+    z = _deviations(values)
+    one = z.agg(F.sqrt(F.avg(F.col("z") * F.col("z"))).alias("sd"), F.count("*").alias("n"))
+    sums = _star(weights, values).join(z.select(F.col("id").alias("b"), "z"), "b").groupBy("a").agg(F.sum(F.col("w") * F.col("z")).alias("s"), F.sum("w").alias("w"), F.sum(F.col("w") * F.col("w")).alias("ww"))
     spread = F.col("sd") * F.sqrt((F.col("n") * F.col("ww") - F.col("w") * F.col("w")) / (F.col("n") - 1))
-    z = F.when(spread > 0, (F.col("s") - F.col("mean") * F.col("w")) / spread)
-    return out.select(F.col("a").alias("id"), z.alias("z")).withColumn("kind", F.when(F.col("z") >= 1.96, "hot").when(F.col("z") <= -1.96, "cold").otherwise("none"))
+    out = values.select("id").join(sums, F.col("id") == F.col("a"), "left").join(F.broadcast(one))  # one row
+    return out.select("id", F.when(spread > 0, F.col("s") / spread).alias("gi_star"), F.col("s").isNull().alias("isolated"))
+
+
+def getis_ord_permutations(values: DataFrame, weights: DataFrame, permutations: int, seed: int = 1) -> DataFrame:
+    """id, Gi*, its z score among those of permuted values, p, and hot, cold, neutral or isolated."""
+    z = _deviations(values).select("id", "z")
+    star = _star(weights, values)
+    shuffled = _shuffled(z, permutations, seed).select("rep", F.col("id").alias("b"), "z")
+    sims = star.join(shuffled, "b").groupBy("rep", "a").agg(F.sum(F.col("w") * F.col("z")).alias("s"))
+    seen = star.join(z.select(F.col("id").alias("b"), "z"), "b").groupBy("a").agg(F.sum(F.col("w") * F.col("z")).alias("own"))
+    # Gi* is the sum over a constant of the place, so sums alone decide z and p.
+    rank = sims.join(seen, "a").groupBy("a").agg(
+        F.first("own").alias("own"), F.avg("s").alias("mean"), F.stddev_pop("s").alias("sd"), F.count(F.when(F.abs("s") >= F.abs("own"), 1)).alias("above"))
+    out = getis_ord(values, weights).join(rank.withColumnRenamed("a", "id"), "id", "left")
+    score = F.when((F.col("sd") > 0) & F.col("gi_star").isNotNull(), (F.col("own") - F.col("mean")) / F.col("sd"))
+    kind = F.when(F.col("isolated"), "isolated").when(F.col("z") >= 1.96, "hot").when(F.col("z") <= -1.96, "cold").otherwise("neutral")
+    out = out.withColumns({"z": score, "p": F.when(F.col("gi_star").isNotNull(), (F.col("above") + 1) / (permutations + 1))})
+    return out.select("id", "gi_star", "z", "p", kind.alias("kind"))
 
 
 def dbscan(points: DataFrame, km: float, least: int) -> DataFrame:
@@ -313,11 +367,12 @@ def space_time_scan(cases: DataFrame, km: float, share: float, most_bins: int, r
     radii = circles.select("a", F.col("km").alias("radius"), "inside").distinct()
     members = radii.join(circles.select("a", "b", "km"), "a").where("km <= radius").select("a", "radius", "inside", "b")
     reps = cases.sparkSession.range(0, replications + 1).withColumnRenamed("id", "rep")
+    listed = rows.withColumns({"place": F.xxhash64("lat", "lon"), "_one": F.lit(1)})
+    listed = prefix_sums(listed, ["id"], "_one", "i", "_all").drop("_all")
     order = F.when(F.col("rep") == 0, F.col("i").cast("long")).otherwise(F.xxhash64(F.lit(seed), "rep", "id"))
-    listed = rows.withColumn("place", F.xxhash64("lat", "lon")).withColumn("i", F.row_number().over(Window.orderBy("id")))
-    dealt = listed.join(F.broadcast(reps)).withColumn("j", F.row_number().over(Window.partitionBy("rep").orderBy(order)))
+    dealt = prefix_sums(listed.join(F.broadcast(reps)).withColumn("_h", order), ["_h", "id"], "_one", "j", "_all", ["rep"])
     times = listed.select(F.col("i").alias("j"), F.col("bin").alias("t"))
-    counts = dealt.join(F.broadcast(times), "j").groupBy("rep", F.col("place").alias("b"), "t").agg(F.count("*").alias("c"))
+    counts = dealt.join(times, "j").groupBy("rep", F.col("place").alias("b"), "t").agg(F.count("*").alias("c"))
     in_circle = counts.join(members, "b").groupBy("rep", "a", "radius", "inside", "t").agg(F.sum("c").alias("c"))
     totals = rows.groupBy("bin").agg(F.count("*").alias("m"))
     spans = totals.select(F.col("bin").alias("first")).join(totals.select(F.col("bin").alias("last"))).where(f"last >= first and last < first + {most_bins}")

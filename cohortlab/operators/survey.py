@@ -16,6 +16,7 @@ from cohortlab.functions import kernels
 from cohortlab.functions.cells import ratio
 from cohortlab.functions.missing import blank, finite, trimmed
 from cohortlab.functions.shapes import DOUBLE
+from cohortlab.sources.scratch import Cuts
 
 
 def design(df: DataFrame, psu: str, stratum: str | None = None, weight: str | None = None, compat: bool = False) -> DataFrame:
@@ -56,21 +57,26 @@ def _with_limits(out: DataFrame, rows: DataFrame, estimate: str) -> DataFrame:
     return out.withColumns({"std_err": se, "lcl": F.col(estimate) - F.col("t") * se, "ucl": F.col(estimate) + F.col("t") * se}).drop("t", "variance")
 
 
+def _once(small: DataFrame) -> DataFrame:
+    """What the records come down to, written, so that they are read and aggregated once."""
+    return Cuts(small.sparkSession, "survey").cut(small, "units")
+
+
 def freq(df: DataFrame, field: str, psu: str, stratum: str | None = None, weight: str | None = None) -> DataFrame:
     """value, count, weighted, proportion, std_err, limits, design effect of each category."""
     rows = design(df.where(~blank(F.col(f"`{field}`"))), psu, stratum, weight).withColumn("value", trimmed(F.col(f"`{field}`")))
     # One row for each stratum, unit and category; the categories' influence on a share p is (I - p) w / W.
-    small = rows.groupBy("h", "u", "value").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    small = _once(rows.groupBy("h", "u", "value").agg(F.sum("w").alias("w"), F.count("*").alias("n")))
     per_unit = small.groupBy("h", "u").agg(F.sum("w").alias("wu"))
     total = small.agg(F.sum("w").alias("wt"), F.sum("n").alias("nt"))
     shares = small.groupBy("value").agg(F.sum("n").alias("count"), F.sum("w").alias("weighted")).join(F.broadcast(total))
     shares = shares.withColumn("proportion", F.col("weighted") / F.col("wt"))
     grid = per_unit.join(F.broadcast(shares.select("value", "proportion", "wt")))  # units x categories
-    grid = grid.join(small.select("h", "u", "value", "w"), ["h", "u", "value"], "left").join(units(rows), "h")
+    grid = grid.join(small.select("h", "u", "value", "w"), ["h", "u", "value"], "left").join(units(small), "h")
     influence = (F.coalesce("w", F.lit(0.0)) - F.col("proportion") * F.col("wu")) / F.col("wt")
     out = shares.join(variance(grid, influence, ["value"]), "value")
     simple = F.col("proportion") * (1 - F.col("proportion")) / (F.col("nt") - 1)
-    out = _with_limits(out.withColumn("design_effect", ratio(F.col("variance"), simple)), rows, "proportion")
+    out = _with_limits(out.withColumn("design_effect", ratio(F.col("variance"), simple)), small, "proportion")
     return out.select("value", "count", "weighted", "proportion", "std_err", "lcl", "ucl", "design_effect", "df")
 
 
@@ -78,7 +84,7 @@ def tables(df: DataFrame, exposure: str, outcome: str, psu: str, stratum: str |
     """Each cell: count, row and column shares, standard error, limits and design effect of the row share."""
     keep = reduce(lambda x, y: x & y, [~blank(F.col(f"`{c}`")) for c in (exposure, outcome)])
     rows = design(df.where(keep), psu, stratum, weight).withColumns({"e": trimmed(F.col(f"`{exposure}`")), "o": trimmed(F.col(f"`{outcome}`"))})
-    small = rows.groupBy("h", "u", "e", "o").agg(F.sum("w").alias("w"), F.count("*").alias("n"))
+    small = _once(rows.groupBy("h", "u", "e", "o").agg(F.sum("w").alias("w"), F.count("*").alias("n")))
     row_units = small.groupBy("h", "u", "e").agg(F.sum("w").alias("wu"))
     cells_ = small.groupBy("e", "o").agg(F.sum("w").alias("wc"), F.sum("n").alias("count"))
     row = small.groupBy("e").agg(F.sum("w").alias("wr"), F.sum("n").alias("nr"))
@@ -86,11 +92,11 @@ def tables(df: DataFrame, exposure: str, outcome: str, psu: str, stratum: str |
     cells_ = cells_.join(F.broadcast(row), "e").join(F.broadcast(col), "o")
     cells_ = cells_.withColumns({"row_share": F.col("wc") / F.col("wr"), "col_share": F.col("wc") / F.col("wk")})
     grid = row_units.join(F.broadcast(cells_.select("e", "o", "row_share", "wr")), "e")
-    grid = grid.join(small.select("h", "u", "e", "o", "w"), ["h", "u", "e", "o"], "left").join(units(rows), "h")
+    grid = grid.join(small.select("h", "u", "e", "o", "w"), ["h", "u", "e", "o"], "left").join(units(small), "h")
     influence = (F.coalesce("w", F.lit(0.0)) - F.col("row_share") * F.col("wu")) / F.col("wr")
     out = cells_.join(variance(grid, influence, ["e", "o"]), ["e", "o"])
     simple = F.col("row_share") * (1 - F.col("row_share")) / (F.col("nr") - 1)
-    out = _with_limits(out.withColumn("design_effect", ratio(F.col("variance"), simple)), rows, "row_share")
+    out = _with_limits(out.withColumn("design_effect", ratio(F.col("variance"), simple)), small, "row_share")
     return out.select(F.col("e").alias("exposure"), F.col("o").alias("outcome"), "count", "row_share", "col_share", "std_err", "lcl", "ucl", "design_effect")
 
 
@@ -100,10 +106,10 @@ def means(df: DataFrame, field: str, psu: str, stratum: str | None = None, weigh
     rows = design(df, psu, stratum, weight).withColumn("x", finite(df, field)).where("x is not null")
     if domain:
         rows = rows.where(~blank(F.col(f"`{domain}`"))).withColumn("domain", trimmed(F.col(f"`{domain}`")))
-    small = rows.groupBy("h", "u", *own).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("wx"), F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most"))
+    small = _once(rows.groupBy("h", "u", *own).agg(F.sum("w").alias("w"), F.sum(F.col("w") * F.col("x")).alias("wx"), F.count("*").alias("n"), F.min("x").alias("least"), F.max("x").alias("most")))
     whole = small.groupBy(*own).agg(F.sum("w").alias("wt"), (F.sum("wx") / F.sum("w")).alias("mean"), F.sum("n").alias("count"), F.min("least").alias("min"), F.max("most").alias("max"))
     grid = small.join(F.broadcast(whole.select(*own, "wt", "mean")), own) if own else small.join(F.broadcast(whole.select("wt", "mean")))
-    grid = grid.join(units(rows), "h")
+    grid = grid.join(units(small), "h")
     spread = variance(grid, (F.col("wx") - F.col("mean") * F.col("w")) / F.col("wt"), own)
     out = whole.join(spread, own) if own else whole.join(F.broadcast(spread))
-    return _with_limits(out, rows, "mean").select(*own, "count", "mean", "std_err", "lcl", "ucl", "min", "max")
+    return _with_limits(out, small, "mean").select(*own, "count", "mean", "std_err", "lcl", "ucl", "min", "max")

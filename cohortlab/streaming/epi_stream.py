@@ -18,11 +18,14 @@ def curve(events: DataFrame, when: str = "ts", step: str = "1 day", late: str =
 
 
 def run_to_end(spark: SparkSession, path: str, **options) -> DataFrame:
-    """Reads what there is as a stream of files and writes complete counts batch by batch to the shared folder; the last
+    """Reads what there is, a file or a folder of files, as a stream, and writes complete counts batch by batch to the shared folder; the last
     batch's are the result."""
     schema = spark.read.parquet(path).schema
-    folder, _, name = path.rpartition("/")
-    stream = spark.readStream.schema(schema).option("pathGlobFilter", f"{name}*" if not name.endswith("/") else "*").parquet(folder)
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    whole = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).getFileStatus(at).isDirectory()
+    # A stream watches a folder; of the folder of a single file it takes that file.
+    reader = spark.readStream.schema(schema)
+    stream = reader.parquet(path) if whole else reader.option("pathGlobFilter", at.getName()).parquet(at.getParent().toString())
     out = f"{shared_folder(spark)}/curve-{uuid.uuid4().hex}"
     last: list[int] = []
 

@@ -119,20 +119,58 @@ def test_linkage_clusters_query(spark):
     assert {(r.a_id, r.b_id) for r in engine.queries()["linkage_clusters"](spark, DATA).collect()} == taken
 
 
+def permuted(spark, ids):
+    """The operators' orders: for each replication the ids by hash."""
+    hashes: dict[int, list] = {}
+    for r in spark.createDataFrame([(i,) for i in ids], "id long").join(spark.range(1, 100).withColumnRenamed("id", "rep")).select("rep", "id", F.xxhash64(F.lit(1), "rep", "id").alias("h")).collect():
+        hashes.setdefault(r.rep, []).append((r.h, r.id))
+    return {rep: [i for _, i in sorted(own)] for rep, own in hashes.items()}
+
+
 @needs_data
-def test_pseudo_p_query(spark):
+def test_permutation_queries(spark):
     """The same permutations, by the same hashes, in plain Python."""
     points = [(r.c_custkey, r.c_custkey * 7919 % 1000 / 100 + 40, r.c_custkey * 104729 % 1000 / 100 + 5, r.c_acctbal) for r in spark.read.parquet(f"{DATA}/customer.parquet").collect()]
-    mean = sum(p[3] for p in points) / len(points)
+    mean, n = sum(p[3] for p in points) / len(points), len(points)
     z, ids = {p[0]: p[3] - mean for p in points}, sorted(p[0] for p in points)
-    near = {(r.a, r.b): r.weight for r in spatial.distance_band(spark.createDataFrame([p[:3] for p in points], "id long, lat double, lon double"), 30).collect()}
-    hashes: dict[int, list] = {}
-    for r in spark.createDataFrame([(i,) for i in ids], "id long").join(spark.range(1, 100).withColumnRenamed("id", "rep")).select("rep", "id", F.xxhash64(F.lit(1), "rep", "id").alias("h")).collect():
-        hashes.setdefault(r.rep, []).append((r.h, r.id))
-    cross = lambda v: sum(w * v[a] * v[b] for (a, b), w in near.items())
-    seen = abs(cross(z))
-    above = sum(abs(cross({place: z[i] for place, (_, i) in zip(ids, sorted(own))})) >= seen for own in hashes.values())
+    near: dict[int, list] = {}
+    for r in spatial.distance_band(spark.createDataFrame([p[:3] for p in points], "id long, lat double, lon double"), 30).orderBy("a", "b").collect():
+        near.setdefault(r.a, []).append((r.b, r.weight))
+    orders = permuted(spark, ids)
+    shuffled = {rep: {place: z[i] for place, i in zip(ids, own)} for rep, own in orders.items()}
+    # Global I, about its expectation.
+    s0, ss = sum(w for own in near.values() for _, w in own), sum(v * v for v in z.values())
+    far = lambda v: abs(n / s0 * sum(w * v[a] * v[b] for a, own in near.items() for b, w in own) / ss + 1 / (n - 1))
+    above = sum(far(v) >= far(z) for v in shuffled.values())
     assert engine.queries()["moran_pseudo_p"](spark, DATA).first().p == pytest.approx((above + 1) / 100)
+    # Gi*.
+    found = {r.id: r for r in engine.queries()["getis_ord_simulated"](spark, DATA).collect()}
+    for i in ids:
+        if i not in near:
+            assert (found[i].kind, found[i].gi_star, found[i].z, found[i].p) == ("isolated", None, None, None)
+            continue
+        total = lambda v, i=i: v[i] + sum(w * v[b] for b, w in near[i])
+        sims = [total(v) for v in shuffled.values()]
+        middle = sum(sims) / 99
+        spread = math.sqrt(sum((x - middle) ** 2 for x in sims) / 99)
+        assert found[i].z == pytest.approx((total(z) - middle) / spread, abs=1e-6)
+        assert found[i].p == pytest.approx((sum(abs(x) >= abs(total(z)) for x in sims) + 1) / 100)
+        assert found[i].kind == ("hot" if found[i].z >= 1.96 else "cold" if found[i].z <= -1.96 else "neutral")
+    # Local I: others' values that follow one another in the permutation, from a place of its own on, itself left out.
+    starts = {(r.rep, r.a): r.s for r in spark.createDataFrame([(i,) for i in ids], "a long").join(spark.range(1, 100).withColumnRenamed("id", "rep")).select("rep", "a", F.pmod(F.xxhash64(F.lit(1), F.lit("start"), "rep", "a"), F.lit(n)).alias("s")).collect()}
+    local = {r.id: r for r in engine.queries()["moran_local_simulated"](spark, DATA).collect()}
+    for i in ids:
+        if i not in near:
+            assert local[i].p is None and local[i].quadrant == "isolated"
+            continue
+        lag = sum(w * z[b] for b, w in near[i])
+        hits = 0
+        for rep, own in orders.items():
+            ring = [own[(starts[rep, i] + 1 + k) % n] for k in range(n)]
+            others = [x for x in ring if x != i][: len(near[i])]
+            assert len(set(others)) == len(near[i])
+            hits += abs(z[i] * sum(w * z[x] for (_, w), x in zip(near[i], others))) >= abs(z[i] * lag)
+        assert local[i].p == pytest.approx((hits + 1) / 100)
 
 
 @needs_data
