@@ -103,7 +103,7 @@ def cell_counts(spark, sf_dir):
 
 @query(QUERIES, f"""
   with z as (select n_nationkey as zone, 40 + n_nationkey // 5 * 2 as south, 5 + n_nationkey % 5 * 2 as west from nation)
-  select zone, count(*) as count, round(sum(value), 2) as sum, round(avg(value), 3) as mean, min(value) as min, max(value) as max from {POINTS} p join z
+  select zone, count(*) as count, round(sum(value), 2) as sum, round(avg(value), 9) as mean, min(value) as min, max(value) as max from {POINTS} p join z
     on p.lat >= south and p.lat < south + 2 and p.lon >= west and p.lon < west + 2 and not (p.lat > south + 0.505 and p.lat < south + 1.005 and p.lon > west + 0.505 and p.lon < west + 1.005) group by 1""")
 def zonal_statistics(spark, sf_dir):
     """Square zones with a square hole, one for each nation; a zone has its left and lower edges."""
@@ -112,7 +112,7 @@ def zonal_statistics(spark, sf_dir):
     ring = lambda x, y, d: F.array(*[F.array((x + i).cast("double"), (y + j).cast("double")) for i, j in ((0, 0), (d, 0), (d, d), (0, d))])
     zones = nation.select(F.col("n_nationkey").alias("zone"), F.array(ring(west, south, 2), ring(west + 0.505, south + 0.505, 0.5)).alias("rings"))
     cells = _points(spark, sf_dir).select(F.col("lon").alias("x"), F.col("lat").alias("y"), "value")
-    return s.zonal(cells, zones).withColumns({"sum": F.round("sum", 2), "mean": F.round("mean", 3)})
+    return s.zonal(cells, zones).withColumns({"sum": F.round("sum", 2), "mean": F.round("mean", 9)})
 
 
 @query(QUERIES, f"select floor(lat * 1 + 0.5) as lat, floor(lon * 1 + 0.5) as lon, count(*) as cases from {POINTS} group by 1, 2 having count(*) >= 10")
