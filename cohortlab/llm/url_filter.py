@@ -5,8 +5,9 @@ fitting rule wins (of equal lengths the alphabetically first). The trees are tra
 ``judge`` those are the URLs that a rule decides, at most ``max_examples`` of them (smallest xxhash64 of the key).
 They see lexical features only: lengths, depth, digit ratio, character entropy of the host, parameter counts, hyphens,
 labels, and two statistics of the host's suffix, kept for every suffix: its share of all URLs, and its smoothed block
-rate among the labelled ones, without the URL's own label, so that no example sees its answer. The table of suffixes is
-broadcast up to ``broadcast_rows`` rows and joined by a shuffle beyond that.
+rate among the labelled ones. A labelled URL gets the rate of the other folds (of ``folds``, by crc32 of the key), so that
+no example sees its answer, and none can be told by what its own label would change. The table of suffixes is broadcast up
+to ``broadcast_rows`` rows and joined by a shuffle beyond that.
 
 Training is histogram boosting: features are cut into at most ``bins`` ranges at quantiles of the examples, each level
 of a tree is one aggregation of gradients by node, feature and range (at most 2^depth x features x bins rows reach the
@@ -39,6 +40,7 @@ class Boosting:
     ridge: float = 1.0
     min_weight: float = 1.0
     max_examples: int = 20_000
+    folds: int = 5
     broadcast_rows: int = 100_000
 
 
@@ -102,26 +104,34 @@ def lexical(pages: DataFrame, key: str) -> DataFrame:
     )
 
 
-def suffix_statistics(rows: DataFrame) -> DataFrame:
-    """One row for each suffix: its share of all URLs, how many are blocked and how many labelled, and the prior rate."""
-    stats = rows.groupBy("suffix").agg(F.count("*").alias("n"), F.sum("label").alias("blocked"), F.count("label").alias("known"))
-    total = stats.agg(F.sum("n").alias("all_n"), F.sum("blocked").alias("all_blocked"), F.sum("known").alias("all_known"))
+def fold_of(key: Column, options: Boosting) -> Column:
+    return (F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")) % options.folds).cast("int")
+
+
+def suffix_statistics(rows: DataFrame, key: str, options: Boosting) -> DataFrame:
+    """One row for each suffix: its share of all URLs, how many are blocked and how many labelled in each fold, and the prior
+    rate."""
+    fold = fold_of(F.col(key), options)
+    each = lambda f: F.array(*[f(F.when(fold == i, F.col("label"))) for i in range(options.folds)])
+    stats = rows.groupBy("suffix").agg(F.count("*").alias("n"), each(lambda c: F.coalesce(F.sum(c), F.lit(0))).alias("blocked"), each(F.count).alias("known"))
+    whole = lambda c: F.aggregate(c, F.lit(0).cast("long"), lambda a, v: a + v)
+    total = stats.agg(F.sum("n").alias("all_n"), F.sum(whole("blocked")).alias("all_blocked"), F.sum(whole("known")).alias("all_known"))
     return stats.crossJoin(F.broadcast(total)).select(  # the right side is one row
         F.col("suffix").alias("known_suffix"),
         F.round(F.col("n") / F.col("all_n"), 6).alias("suffix_share"),
-        F.coalesce("blocked", F.lit(0)).alias("blocked"),
-        "known",
-        ((F.coalesce("all_blocked", F.lit(0)) + 1) / (F.col("all_known") + 2)).alias("prior"),
-    )
+        "blocked", "known", whole("blocked").alias("blocked_in_all"), whole("known").alias("known_in_all"),
+        ((F.coalesce("all_blocked", F.lit(0)) + 1) / (F.coalesce("all_known", F.lit(0)) + 2)).alias("prior"),
+    )
 
 
-def with_suffix_statistics(rows: DataFrame, known: DataFrame, options: Boosting) -> DataFrame:
+def with_suffix_statistics(rows: DataFrame, known: DataFrame, key: str, options: Boosting) -> DataFrame:
     if known.count() <= options.broadcast_rows:
         known = F.broadcast(known)
     rows = rows.join(known, F.col("suffix") == F.col("known_suffix"), "left")
-    own = F.coalesce("label", F.lit(0))
-    others = F.col("known") - F.when(F.col("label").isNull(), 0).otherwise(1)
-    return rows.withColumn("suffix_block_rate", F.round((F.col("blocked") - own + 10 * F.col("prior")) / (others + 10), 6))
+    fold = fold_of(F.col(key), options)
+    own = lambda c: F.when(F.col("label").isNull(), 0).otherwise(F.get(c, fold))
+    rate = (F.col("blocked_in_all") - own("blocked") + 10 * F.col("prior")) / (F.col("known_in_all") - own("known") + 10)
+    return rows.withColumn("suffix_block_rate", F.round(rate, 6))
 
 
 class Trees:
@@ -259,7 +269,7 @@ def judge(pages: DataFrame, rules: dict[str, str], key: str = "page_id", options
     rows = rows.withColumn("decided", decided)
     rows = rows.withColumn("label", F.when(F.col("decided") == "block", 1).when(F.col("decided") == "allow", 0))
     rows = scratch.cut(rows, "lexical")
-    rows = with_suffix_statistics(rows, scratch.cut(suffix_statistics(rows), "suffixes"), options)
+    rows = with_suffix_statistics(rows, scratch.cut(suffix_statistics(rows, key, options), "suffixes"), key, options)
     examples = rows.where("label is not null").orderBy(F.xxhash64(key), key).limit(options.max_examples)
     model = train(scratch.cut(examples.select("label", *FEATURES), "examples"), options)
     margin = model.column()
