@@ -61,10 +61,10 @@ class JaccardJoin:
     width: int = 5
     percent: int = 80
     rare: int = 24
-    hot: int = 48  # lists of one batch that hold a token
+    hot: int = 16  # lists of one batch that hold a token
     small: int = 8  # documents of a group that proposes all its pairs
     size_ratio: float = 1.3  # of size classes; above 100 / percent
-    batch_bytes: int = 4 << 20
+    batch_bytes: int = 1 << 20
     broadcast_ids: int = 1_000_000  # a list of ids is broadcast up to this size, and joined by a shuffle beyond it
 
     def least_shared(self, n):
@@ -460,27 +460,34 @@ def least_common(d, n, m, options: JaccardJoin):
 
 
 def _difference_entries(differences: DataFrame, options: JaccardJoin) -> DataFrame:
-    """lead, rep, label, loose, near, token, deep: entries of the third filter. A deep one is needed only against
-    documents that are linked with the leader."""
+    """lead, rep, label, loose, near, n, d, left, token, deep: entries of the third filter. ``left``: how many tokens that other
+    differences hold too the document has from this one on. A deep entry is needed only against documents that are linked
+    with the leader."""
     rows = differences.select("lead", "rep", F.explode("d").alias("token"))
     often = rows.groupBy("lead", "token").agg(F.count("*").alias("c")).where("c > 1")
     matched = rows.join(often, ["lead", "token"]).groupBy("lead", "rep").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("t"))
     size = F.size("d")
     strict, loose = least_common(size, F.col("n"), F.col("m"), options)
     low, high = 100 - options.percent, 100 + options.percent
-    about = differences.select("lead", "rep", "label", "loose", size.alias("d"), (high * size <= low * (F.col("n") + F.col("m"))).alias("near"), strict.alias("o"), loose.alias("p"))
+    about = differences.select("lead", "rep", "label", "loose", "n", size.alias("d"), (high * size <= low * (F.col("n") + F.col("m"))).alias("near"), strict.alias("o"), loose.alias("p"))
     both = about.join(matched, ["lead", "rep"])
     alone = F.col("d") - F.size("t")
-    cut = both.select("lead", "rep", "label", "loose", "near", (F.col("d") - F.col("o") + 1 - alone).alias("q"), F.posexplode(F.expr(f"slice(t, 1, cast(greatest(0, size(t) - p + 1) as int))")).alias("i", "t"))
-    return cut.select("lead", "rep", "label", "loose", "near", "t.token", (F.col("i") >= F.col("q")).alias("deep"))
+    q = F.col("d") - F.col("o") + 1 - alone
+    cut = both.select("lead", "rep", "label", "loose", "near", "n", "d", F.size("t").alias("held"), q.alias("q"), F.posexplode(F.expr("slice(t, 1, cast(greatest(0, size(t) - p + 1) as int))")).alias("i", "t"))
+    return cut.select("lead", "rep", "label", "loose", "near", "n", "d", (F.col("held") - F.col("i")).alias("left"), "t.token", (F.col("i") >= F.col("q")).alias("deep"))
 
 
-def _second_pairs(entries: DataFrame) -> DataFrame:
-    """(a, b): one is loose, their labels differ, and the prefixes of their differences share a token."""
-    x = entries.where("loose").select("lead", "token", F.col("rep").alias("a"), F.col("label").alias("la"), F.col("deep").alias("da"))
-    y = entries.select("lead", "token", F.col("rep").alias("b"), F.col("label").alias("lb"), F.col("loose").alias("kb"), F.col("near").alias("nb"), F.col("deep").alias("db"))
-    met = x.join(y, ["lead", "token"]).where("la <> lb and (nb or not (da or db)) and not (kb and a > b)")
-    return met.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+def _second_pairs(entries: DataFrame, options: JaccardJoin) -> DataFrame:
+    """(a, b): one is loose, their labels differ, the prefixes of their differences share a token, and what either still
+    has from that token on suffices for a link. (At the first token of all that two linked documents share it does.)"""
+    names = ["rep", "label", "loose", "near", "n", "d", "left", "deep"]
+    x, y = (entries.select("lead", "token", *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "xy")
+    low, high = 100 - options.percent, 100 + options.percent
+    enough = 2 * high * F.least("left_x", "left_y") >= high * (F.col("d_x") + F.col("d_y")) - low * (F.col("n_x") + F.col("n_y"))
+    sizes = (100 * F.col("n_x") >= options.percent * F.col("n_y")) & (100 * F.col("n_y") >= options.percent * F.col("n_x"))
+    once = (F.col("label_x") != F.col("label_y")) & (F.col("near_y") | ~(F.col("deep_x") | F.col("deep_y"))) & ~(F.col("loose_y") & (F.col("rep_x") > F.col("rep_y")))
+    met = x.where("loose_x").join(y, ["lead", "token"]).where(enough & sizes & once)
+    return met.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
 
 
 def link(docs: DataFrame, options: JaccardJoin = JaccardJoin()) -> DataFrame:
@@ -530,7 +537,7 @@ def link(docs: DataFrame, options: JaccardJoin = JaccardJoin()) -> DataFrame:
     if not told.isEmpty():
         sets = scratch.cut(_sets(docs, told.select("rep").union(told.select("lead")), options), "sets")
         differences = scratch.cut(_differences(told, sets), "differences")
-        again_pairs = scratch.cut(_second_pairs(scratch.cut(_difference_entries(differences, options), "second-entries")), "second-pairs")
+        again_pairs = scratch.cut(_second_pairs(scratch.cut(_difference_entries(differences, options), "second-entries"), options), "second-pairs")
         scratch.drop("differences", "second-entries")
         add(again_pairs, "second", sets)
         scratch.drop("sets", "second-pairs")
