@@ -49,6 +49,7 @@ class Memo(dict):
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    small_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -75,11 +76,20 @@ def shared_dir(spark: SparkSession) -> str:
     return configured
 
 
+def small_batches(spark: SparkSession) -> None:
+    """Rows are whole texts, so Spark's usual 10,000 to an Arrow batch would be far more than a task works on at once; a
+    session that sets the number itself keeps it."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if spark.conf.get(name) == "10000":
+        spark.conf.set(name, "2000")
+
+
 class Scratch:
     """Intermediate Parquet tables in the shared folder: written once, so that their lineage ends there."""
 
     def __init__(self, spark: SparkSession, name: str):
         self.spark = spark
+        small_batches(spark)
         self.root = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
 
     def cut(self, df: DataFrame, name: str, partition_by: str | None = None) -> DataFrame:

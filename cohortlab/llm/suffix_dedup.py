@@ -46,7 +46,7 @@ class SuffixDedup:
     length: int = 50
     anchor: int = 20
     batch_bytes: int = 1 << 20
-    chunk_bytes: int = 1 << 20
+    chunk_bytes: int = 1 << 19
     broadcast_ids: int = 1_000_000  # a list of ids is broadcast up to this size, and joined by a shuffle beyond it
 
 

@@ -70,10 +70,10 @@ class Model:
     log_k: float = 0.0
     curve: tuple[float, ...] = (-40.0, 0.0, 0.0)
     max_expected: float = 1.0
-    memo: Scores = field(default_factory=lambda: Scores(64 << 20))
+    memo: Scores = field(default_factory=lambda: Scores(48 << 20))
 
     def __getstate__(self) -> dict:
-        return self.__dict__ | {"memo": Scores(64 << 20)}
+        return self.__dict__ | {"memo": Scores(48 << 20)}
 
     def token(self, word: str) -> float:
         word = word.strip(MARKS)
@@ -167,7 +167,7 @@ def learn(docs: DataFrame, labels: DataFrame, options: Toxicity = Toxicity()) ->
     prefixes = options.prefixes
 
     def count(batches):
-        for rows in batches_of(batches, ["text", "toxic"]):
+        for rows in batches_of(batches, ["text", "toxic"], 1 << 20):
             found: dict[str, list[int]] = {}
             for text, toxic in rows:
                 seen = set()

@@ -33,7 +33,8 @@ def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"))
+    # Its workers have served the other stages before, so they are given less for words that they know.
+    return packing.pack(docs, tokenizer_path("word_bpe_49k.json"), packing.Packing(memo_bytes=32 << 20))
 
 
 STAGES = [
