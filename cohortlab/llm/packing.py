@@ -18,6 +18,7 @@ text are read.
 
 from __future__ import annotations
 
+import unicodedata
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
@@ -42,6 +43,7 @@ class Packing:
     capacity: int = 2048
     end_id: int = 1
     min_documents: int = 8000  # of a partition, on average
+    memo_bytes: int = 256 << 20  # of ids of words, in each worker
 
 
 class WordTokenizer:
@@ -69,13 +71,13 @@ class WordTokenizer:
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
             for word, found in zip(some, self._encode_words(some)):
-                if not memo.keep(word, found, 33 + len(found)):
-                    long[word] = found
+                (memo if len(word) <= 64 else long)[word] = found
+                memo.held += 250
         for word, own in parts.items():
             if len(own) == 2 or own[0] != word:
                 found = b"".join([memo[p] if len(p) <= 64 else long[p] for p in own])
-                if not memo.keep(word, found, 33 + len(found)):
-                    long[word] = found
+                (memo if len(word) <= 64 else long)[word] = found
+                memo.held += 250
         if not long:
             return [b"".join(map(memo.__getitem__, words)) for words in split]
         return [b"".join([memo[w] if w in memo else long[w] for w in words]) for words in split]
@@ -96,14 +98,18 @@ class WordTokenizer:
 
     @staticmethod
     def _parts(word: str) -> tuple[str, ...]:
-        """What the word may be encoded as, one after the other: ASCII letters, in lower case, and the marks after them. The
-        tokenizer splits there and lower-cases by itself; this saves most distinct words. Other letters may become a letter
-        and a mark of their own when they are lower-cased, so words with them stay whole."""
+        """What the word may be encoded as, one after the other: letters, in lower case if they are ASCII, and the marks after
+        them. The tokenizer composes, lower-cases and splits there by itself; this saves most distinct words. Where composing
+        or lower-casing makes anything but letters of the letters, the split would lie elsewhere, so such words stay whole."""
         letters = word.rstrip(TRAILING)
-        if not letters.isascii() or not letters.isalpha():
+        if not letters.isalpha():
             return (word,)
         marks = word[len(letters) :]
-        return (letters.lower(), marks) if marks else (letters.lower(),)
+        if letters.isascii():
+            letters = letters.lower()
+        elif not (unicodedata.is_normalized("NFC", letters) and letters.lower().isalpha() and unicodedata.is_normalized("NFC", letters.lower())):
+            return (word,)
+        return (letters, marks) if marks else (letters,)
 
 
 @lru_cache(maxsize=2)
@@ -165,6 +171,7 @@ def pack(docs: DataFrame, path: str, options: Packing = Packing(), carry_ids: bo
 
     def run(batches):
         model, state = tokenizer(path), SumOfSquares(capacity)
+        model.memo.limit = options.memo_bytes
         first = (TaskContext.get().partitionId() if TaskContext.get() else 0) << 36
         made = 0
         inside: dict[int, list[tuple]] = {}  # pieces of open windows; windows are forgotten once full
