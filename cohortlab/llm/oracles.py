@@ -20,19 +20,3 @@ e as (select x, y from l union all select y, x from l),
 r as (select doc_id, doc_id as root from documents union select e.y, r.root from r join e on e.x = r.doc_id)
 select doc_id, n as n_shingles, (select min(root) from r where r.doc_id = n.doc_id) as component_id from n
 """.replace("(select min(root) from r where r.doc_id = n.doc_id) as component_id from n", "component_id from n join (select doc_id, min(root) as component_id from r group by 1) using (doc_id)")
-
-#: Every 50-byte string (as 100 hexadecimal digits) with its smallest document, and the bytes that are left.
-SUFFIX = """
-with h as (select doc_id, hex(encode(coalesce(text, ''))) as h from documents),
-p as (select doc_id, h, unnest(range(0, greatest(0, length(h) // 2 - 49))) as i from h),
-g as (select doc_id, i, hash(substring(h, 2 * i + 1, 100)) as g, md5_number(substring(h, 2 * i + 1, 100)) as k from p),
-f as (select g, k, min(doc_id) as first from g group by 1, 2),
-m as (select doc_id, i from g join f using (g, k) where first < doc_id),
-z as (select doc_id, i, i > coalesce(lag(i) over (partition by doc_id order by i) + 50, -1) as fresh, lead(i) over (partition by doc_id order by i) as following from m),
-d as (select doc_id, sum(least(50, coalesce(following - i, 50))) as n_removed, count(*) filter (fresh) as n_spans from z group by 1),
-b as (select doc_id, unnest(range(0, length(h) // 2)) as j, h from h where doc_id in (select doc_id from d)),
-k as (select b.doc_id, b.j, substring(b.h, 2 * b.j + 1, 2) as byte, m.i from b asof left join m on m.doc_id = b.doc_id and m.i <= b.j),
-r as (select doc_id, coalesce(string_agg(byte, '' order by j) filter (i is null or j - i >= 50), '') as kept from k group by 1)
-select h.doc_id, length(h) // 2 as n_bytes, coalesce(n_removed, 0) :: bigint as n_removed, coalesce(n_spans, 0) as n_spans, sha256(unhex(coalesce(kept, h))) as kept_sha256
-from h left join d using (doc_id) left join r using (doc_id)
-"""

@@ -18,7 +18,7 @@ text are read.
 
 from __future__ import annotations
 
-import unicodedata
+import re
 import zlib
 from dataclasses import dataclass
 from functools import lru_cache
@@ -34,6 +34,8 @@ from cohortlab.llm.common import Memo, batches_of
 
 #: ASCII marks that end a word; an apostrophe or a special token's bars would not be safe to cut off.
 TRAILING = ".,;:!?%*$&#"
+#: Letters that stay one letter each when they are composed and lower-cased.
+LATIN = re.compile("[A-Za-zÀ-ÖØ-öø-ÿ]+").fullmatch
 #: Stands between words that are encoded together. It is no white space for the tokenizer.
 MARK = "\x1f"
 
@@ -62,11 +64,11 @@ class WordTokenizer:
         split = [(t or "").replace("\n", " ").split(" ") for t in texts]
         memo = self.memo
         memo.trim()
-        missing = set().union(*split).difference(memo)
+        missing = [w for w in set().union(*split) if w not in memo]
         if not missing:
             return [b"".join(map(memo.__getitem__, words)) for words in split]
         parts = {w: self._parts(w) for w in missing}
-        new = list({p for own in parts.values() for p in own} - memo.keys())
+        new = [p for p in {p for own in parts.values() for p in own} if p not in memo]
         long: dict[str, bytes] = {}
         for at in range(0, len(new), 20_000):
             some = new[at : at + 20_000]
@@ -98,17 +100,14 @@ class WordTokenizer:
 
     @staticmethod
     def _parts(word: str) -> tuple[str, ...]:
-        """What the word may be encoded as, one after the other: letters, in lower case if they are ASCII, and the marks after
-        them. The tokenizer composes, lower-cases and splits there by itself; this saves most distinct words. Where composing
-        or lower-casing makes anything but letters of the letters, the split would lie elsewhere, so such words stay whole."""
+        """What the word may be encoded as, one after the other: Latin letters, in lower case if they are ASCII, and the marks
+        after them. The tokenizer lower-cases and splits there by itself; this saves most distinct words. Other letters may
+        become letters and marks when they are composed or lower-cased, so words with them stay whole."""
         letters = word.rstrip(TRAILING)
-        if not letters.isalpha():
+        if not LATIN(letters):
             return (word,)
         marks = word[len(letters) :]
-        if letters.isascii():
-            letters = letters.lower()
-        elif not (unicodedata.is_normalized("NFC", letters) and letters.lower().isalpha() and unicodedata.is_normalized("NFC", letters.lower())):
-            return (word,)
+        letters = letters.lower() if letters.isascii() else letters
         return (letters, marks) if marks else (letters,)
 
 
