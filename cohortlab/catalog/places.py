@@ -46,7 +46,7 @@ Z = f"(select id, value - avg(value) over () as z, count(*) over () as n from {P
   select round(n / s0 * c / ss, 6) as moran_i, round(-1.0 / (n - 1), 6) as expected, n from t, q""")
 def moran_global(spark, sf_dir):
     p = _points(spark, sf_dir)
-    return rounded(s.moran(p.select("id", "value"), s.distance_band(p, 30)))
+    return rounded(s.moran(p.select("id", "value"), s.Band(p, 30)))
 
 
 @query(QUERIES, f"""

@@ -55,3 +55,22 @@ def test_k_nearest_far(spark):
     rows = spatial.k_nearest(spark.createDataFrame(points, "id long, lat double, lon double"), 3).collect()
     assert {(r.a, r.b) for r in rows} == expected and len(rows) == len(expected)
     assert all(r.weight == pytest.approx(1 / 3) for r in rows)
+
+
+def shared_places(n=240):
+    """Points of which many share a place, some are alone, one has no place and one no value."""
+    rows = [(i, 40 + i % 30 * 0.09, 5 + i % 30 * 0.07, float(i * i % 101)) for i in range(n)] + [(900, -30.0, 100.0, 5.0), (901, None, 5.0, 7.0), (902, 40.0, 5.0, None), (903, -20.0, 10.0, 1.0), (904, -20.0, 10.0, 90.0)]
+    return rows, "id long, lat double, lon double, value double"
+
+
+def same_rows(one, other):
+    show = lambda df: sorted(([round(v, 9) if isinstance(v, float) else v for v in r] for r in df.select(sorted(df.columns)).collect()), key=str)
+    assert show(one) == show(other)
+
+
+@pytest.mark.parametrize("method", ["moran", "local_moran", "getis_ord"])
+def test_band_by_place(spark, method):
+    """Sums by place are those over all pairs, which are not made."""
+    points = spark.createDataFrame(*shared_places()).coalesce(2)
+    values, f = points.select("id", "value"), getattr(spatial, method)
+    same_rows(f(values, spatial.Band(points, 30)), f(values, spatial.distance_band(points, 30)))
