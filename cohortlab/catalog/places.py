@@ -54,7 +54,7 @@ def moran_global(spark, sf_dir):
   select id, round(z * lag / m2, 5) as local_i, case when lag is null then 'isolated' else case when z >= 0 then 'high' else 'low' end || '-' || case when lag >= 0 then 'high' else 'low' end end as quadrant from {Z} left join l on id = a, m""")
 def moran_local(spark, sf_dir):
     p = _points(spark, sf_dir)
-    return rounded(s.local_moran(p.select("id", "value"), s.distance_band(p, 30)), 5)
+    return rounded(s.local_moran(p.select("id", "value"), s.Band(p, 30)), 5)
 
 
 @query(QUERIES)
