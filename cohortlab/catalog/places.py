@@ -70,7 +70,7 @@ def moran_pseudo_p(spark, sf_dir):
   select p.id, round((sv - mean * k) / (sd * sqrt((n * kk - k * k) / (n - 1))), 5) as gi_star, g.id is null as isolated from {POINTS} p left join g on g.id = p.id, o""")
 def getis_ord_star(spark, sf_dir):
     p = _points(spark, sf_dir)
-    return rounded(s.getis_ord(p.select("id", "value"), s.distance_band(p, 30)), 5)
+    return rounded(s.getis_ord(p.select("id", "value"), s.Band(p, 30)), 5)
 
 
 @query(QUERIES)
