@@ -61,7 +61,7 @@ def moran_local(spark, sf_dir):
 def moran_pseudo_p(spark, sf_dir):
     """Permutations by hash order; rows only."""
     p = _points(spark, sf_dir)
-    return s.moran_permutations(p.select("id", "value"), s.distance_band(p, 30), 99)
+    return s.moran_permutations(p.select("id", "value"), s.Band(p, 30), 99)
 
 
 @query(QUERIES, f"""

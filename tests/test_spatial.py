@@ -74,3 +74,14 @@ def test_band_by_place(spark, method):
     points = spark.createDataFrame(*shared_places()).coalesce(2)
     values, f = points.select("id", "value"), getattr(spatial, method)
     same_rows(f(values, spatial.Band(points, 30)), f(values, spatial.distance_band(points, 30)))
+
+
+@pytest.mark.parametrize("method", ["moran_permutations", "local_moran_permutations", "getis_ord_permutations"])
+def test_permutations_by_place(spark, monkeypatch, method):
+    """The same p whether pairs are made or not, and whether a task has all values or the cluster does."""
+    points = spark.createDataFrame(*shared_places(80)).coalesce(2).na.drop(subset=["value"])
+    values, f = points.select("id", "value"), getattr(spatial, method)
+    by_place = f(values, spatial.Band(points, 30), 19).cache()
+    same_rows(by_place, f(values, spatial.distance_band(points, 30), 19))
+    monkeypatch.setattr(spatial, "ONE_TASK", 5)
+    same_rows(by_place, f(values, spatial.Band(points, 30), 19))
