@@ -84,7 +84,7 @@ def getis_ord_simulated(spark, sf_dir):
 def moran_local_simulated(spark, sf_dir):
     """99 conditional permutations by hash order; held against plain Python by a test."""
     p = _points(spark, sf_dir)
-    return s.local_moran_permutations(p.select("id", "value"), s.distance_band(p, 30), 99)
+    return s.local_moran_permutations(p.select("id", "value"), s.Band(p, 30), 99)
 
 
 @query(QUERIES, f"""
