@@ -77,7 +77,7 @@ def getis_ord_star(spark, sf_dir):
 def getis_ord_simulated(spark, sf_dir):
     """99 permutations by hash order; held against plain Python by a test."""
     p = _points(spark, sf_dir)
-    return s.getis_ord_permutations(p.select("id", "value"), s.distance_band(p, 30), 99)
+    return s.getis_ord_permutations(p.select("id", "value"), s.Band(p, 30), 99)
 
 
 @query(QUERIES)
