@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from cohortlab.functions.missing import blank, number, trimmed
-from cohortlab.operators.spatial import distance_join
+from cohortlab.operators.spatial import place_links, places_of
 from cohortlab.sources.scratch import Cuts
 
 
@@ -89,8 +89,11 @@ def time_stops(points: DataFrame, when: str) -> DataFrame:
 def circles(points: DataFrame, km: float, least: int) -> DataFrame:
     """center, member_count, lowest: every point with at least so many (itself included) within the distance, the largest
     first. Circles overlap; ``lowest`` is the smallest id inside."""
-    near = distance_join(points, points, km).groupBy(F.col("a").alias("center")).agg(F.count("*").alias("member_count"), F.min("b").alias("lowest"))
-    return near.where(F.col("member_count") >= least).orderBy(F.desc("member_count"), "center")
+    members = places_of(points).select("id", "place")
+    places = Cuts(points.sparkSession, "circles").cut(members.groupBy("place").agg(F.count("*").alias("k"), F.min("id").alias("first")))
+    near = place_links(places, km).join(places.withColumnRenamed("place", "b"), "b").groupBy(F.col("a").alias("place")).agg(F.sum("k").alias("member_count"), F.min("first").alias("lowest"))
+    own = members.join(near.where(F.col("member_count") >= least), "place")
+    return own.select(F.col("id").alias("center"), "member_count", "lowest").orderBy(F.desc("member_count"), "center")
 
 
 #: Fixed value: where web maps cut the Mercator projection.
