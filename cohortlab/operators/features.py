@@ -107,6 +107,9 @@ def screen_clusters(points: DataFrame, zoom: float, radius: float = 15) -> DataF
     scale = 256 * 2.0**zoom
     lat = F.radians(F.greatest(F.lit(-MERCATOR_EDGE), F.least(F.lit(MERCATOR_EDGE), F.col("lat"))))
     cuts = Cuts(points.sparkSession, "screen")
+    # Points of one place go to the same seed as the first of them, so that one is decided.
+    members = places_of(points).select("id", "place")
+    points, whole = cuts.cut(members.groupBy("place").agg(F.min("id").alias("id")).select("id", "place", "place.lat", "place.lon"), "places"), points
     placed = points.select("id", ((F.col("lon") + 180) / 360 * scale).alias("x"), ((1 - F.ln(F.tan(lat) + 1 / F.cos(lat)) / math.pi) / 2 * scale).alias("y"))
     placed = placed.withColumns({"r": F.floor(F.col("x") / radius), "c": F.floor(F.col("y") / radius)})
     around = F.array(*[F.lit(i) for i in (-1, 0, 1)])
@@ -124,10 +127,12 @@ def screen_clusters(points: DataFrame, zoom: float, radius: float = 15) -> DataF
         left = cuts.cut(left.join(gone, "id", "left_anti"), "left")
         edges = cuts.cut(edges.join(gone.select(F.col("id").alias("a")), "a", "left_anti").join(gone.select(F.col("id").alias("b")), "b", "left_anti"), "edges")
     if seeds is None:
-        return points.select("id", F.col("id").alias("seed")).limit(0)
+        return whole.select("id", F.col("id").alias("seed"))
     first = near.join(seeds.select(F.col("id").alias("a")), "a", "left_semi").groupBy(F.col("b").alias("id")).agg(F.min("a").alias("first"))
     own = seeds.select("id", F.col("id").alias("own"))
-    return points.select("id").join(own, "id", "left").join(first, "id", "left").select("id", F.coalesce("own", "first").alias("seed"))
+    decided = points.select("id", "place").join(own, "id", "left").join(first, "id", "left").select("place", F.coalesce("own", "first").alias("seed"))
+    alone = whole.join(members.select("id"), "id", "left_anti").select("id", F.col("id").alias("seed"))  # no place
+    return members.join(decided, "place").select("id", "seed").unionByName(alone)
 
 
 def with_row_context(df: DataFrame, unique: dict[str, list[str]] = {}, count: str | None = None) -> DataFrame:
