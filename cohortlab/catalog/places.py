@@ -21,8 +21,7 @@ def _points(spark, sf_dir):
 
 @query(QUERIES, f"select a, b, round(km, 6) as km from {NEAR}")
 def distance_pairs(spark, sf_dir):
-    p = _points(spark, sf_dir)
-    return rounded(s.distance_join(p, p, 30))
+    return s.distance_pairs(_points(spark, sf_dir), 30, 6)
 
 
 @query(QUERIES, f"""select a, b, 1.0 / count(*) over (partition by a) as weight from (select *, row_number() over (partition by a order by round(km, 9), b) as k from {NEAR} where a <> b) where k <= 3""")

@@ -7,7 +7,7 @@ from collections import Counter
 import pytest
 
 from cohortlab import queries as engine
-from cohortlab.operators import spatial
+from cohortlab.operators import features, spatial
 
 #: The smallest tables have 15 users only.
 DATA = "/root/testdata/sf0.01"
@@ -85,3 +85,50 @@ def test_permutations_by_place(spark, monkeypatch, method):
     same_rows(by_place, f(values, spatial.distance_band(points, 30), 19))
     monkeypatch.setattr(spatial, "ONE_TASK", 5)
     same_rows(by_place, f(values, spatial.Band(points, 30), 19))
+
+
+def test_pairs_by_place(spark):
+    """Pairs, circles and clusters of points that share places are those of the points one by one."""
+    points = spark.createDataFrame(*shared_places(120)).coalesce(2)
+    rows = [r for r in points.collect() if r.lat is not None]
+    near = {(p.id, q.id): km((p.lat, p.lon), (q.lat, q.lon)) for p in rows for q in rows}
+    within = lambda d: {pair for pair, far in near.items() if far <= d}
+    found = spatial.distance_pairs(points, 30, listed=2).collect()
+    assert {(r.a, r.b) for r in found} == within(30) and len(found) == len(within(30))
+    assert all(r.km == pytest.approx(near[r.a, r.b], abs=1e-6) for r in found)
+    around = {p.id: sorted(b for a, b in within(30) if a == p.id) for p in rows}
+    assert {(r.center, r.member_count, r.lowest) for r in features.circles(points, 30, 3).collect()} == {(i, len(own), own[0]) for i, own in around.items() if len(own) >= 3}
+    # DBSCAN: core points that reach one another, and all points that a core point of a cluster reaches.
+    around = {p.id: [b for a, b in within(8) if a == p.id] for p in rows}
+    core, label = {i for i, own in around.items() if len(own) >= 5}, {}
+    for i in sorted(core):
+        todo = [] if i in label else [i]
+        while todo:
+            j = todo.pop()
+            if j not in label:
+                label[j] = i
+                todo += [b for b in around[j] if b in core]
+    out = [tuple(r) for r in spatial.dbscan(points, 8, 5).select("id", "cluster", "core").collect()]
+    assert set(out) == {(b, label[a], b in core) for a in core for b in around[a]} and len(out) == len(set(out))
+
+
+@pytest.mark.parametrize("within", [None, 30])
+def test_k_nearest_shared(spark, within):
+    points = spark.createDataFrame(*shared_places(120)).coalesce(2)
+    rows = [r for r in points.collect() if r.lat is not None]
+    expected = set()
+    for p in rows:
+        own = sorted((round(km((p.lat, p.lon), (q.lat, q.lon)), 6), q.id) for q in rows if q.id != p.id)
+        own = [j for far, j in own if within is None or far <= within][:3]
+        expected |= {(p.id, j, round(1 / len(own), 9)) for j in own}
+    found = [(r.a, r.b, round(r.weight, 9)) for r in spatial.k_nearest(points, 3, within=within).collect()]
+    assert set(found) == expected and len(found) == len(expected)
+
+
+def test_screen_clusters_shared(spark):
+    """Points of one place have one seed; points without a place stay as they are."""
+    points = spark.createDataFrame(*shared_places(90)).coalesce(2)
+    alone = points.dropDuplicates(["lat", "lon"]).where("lat is not null").count()
+    found = {r.id: r.seed for r in features.screen_clusters(points, 6, 15).collect()}
+    assert len(found) == 95 and found[901] == 901 and found[903] == found[904] == 903 and found[902] == found[0] == 0
+    assert all(found[i] == found[i % 30] for i in range(90)) and len(set(found.values())) < alone
