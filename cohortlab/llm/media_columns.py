@@ -28,6 +28,8 @@ from pyspark.sql import functions as F
 from cohortlab.llm.common import batches_of
 
 WIDTH = 576
+#: Media files are exchanged and stored, so their size is what the disk holds.
+LEVEL = 6
 PNG = b"\x89PNG\r\n\x1a\n"
 DIGEST = re.compile(r"(?:^|[/:])([0-9a-f]{64})(?:\.\w+)?$")
 SEGMENT = "position int, kind string, text string, src string, digest string, caption string"
@@ -152,7 +154,7 @@ def write_png(samples: bytes, width: int = WIDTH) -> bytes:
     lines[:, 1:] = np.frombuffer(samples, np.uint8).reshape(height, width)
     chunk = lambda kind, data: struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(kind + data))
     header = struct.pack(">IIBBBBB", width, height, 8, 0, 0, 0, 0)
-    return PNG + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines.tobytes(), 1)) + chunk(b"IEND", b"")
+    return PNG + chunk(b"IHDR", header) + chunk(b"IDAT", zlib.compress(lines.tobytes(), LEVEL)) + chunk(b"IEND", b"")
 
 
 def read_png(media: bytes) -> tuple[bytes, int, int]:

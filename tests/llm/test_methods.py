@@ -465,3 +465,11 @@ def plain_score_long(model, text):
     """As plain_score, with the operator's own segment search, which is tested by itself, for long texts."""
     scores = model.scores(toxicity.tokens_of(text))
     return model.probability(*model.evidence(scores)) if len(scores) > 400 else plain_score(model, text)
+
+
+def test_media_size():
+    """A picture of plain prose takes little more than its text deflated well."""
+    r = random.Random(6)
+    words = ["".join(r.choice("abcdefghijklmnop") for _ in range(r.randint(2, 9))) for _ in range(400)]
+    payload = media_columns.payload_of(" ".join(r.choice(words) for _ in range(3000)))[0]
+    assert len(media_columns.write_png(payload)) < 1.02 * len(zlib.compress(payload, 6)) + 100
