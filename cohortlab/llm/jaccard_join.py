@@ -28,7 +28,8 @@ group never does:
   (100 + percent), so they share at least (|D(x)| + |D(y)| - T) / 2 tokens of their differences; ``least_common`` turns that
   into a bound for one side alone. So a third prefix filter, over differences, rare tokens of the leader's group
   first, finds every such pair. A token that only one difference holds needs no entry; where texts differ by words of
-  their own, that is half of each difference and leaves next to nothing to index.
+  their own, that is half of each difference and leaves next to nothing to index. The leader's tokens that a document
+  lacks are counted only where the document's own do not fill its prefix.
 
 Candidates are first screened by parity sketches: bit h mod b of a set's sketch tells whether an odd number of its
 tokens falls there, so two sketches never differ in more bits than their sets in tokens. Only pairs that pass are
@@ -438,13 +439,12 @@ def _linked(pairs: DataFrame, sets: DataFrame, options: JaccardJoin) -> DataFram
 
 
 def _differences(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """For (lead, rep) and the columns that come with them: n and m, the sizes of rep's and lead's sets, and d, the tokens
-    that one of both has."""
-    own = sets.select("rep", F.col("items").alias("own"))
+    """For (lead, rep) and the columns that come with them: n and m, the sizes of rep's and lead's sets, and the tokens that
+    one of both has: ``own`` of rep, ``lost`` of lead."""
+    own = sets.select("rep", F.col("items").alias("x"))
     lead = sets.select(F.col("rep").alias("lead"), F.col("items").alias("of_lead"))
     both = pairs.join(own, "rep").join(lead, "lead")
-    differ = F.concat(F.array_except("own", "of_lead"), F.array_except("of_lead", "own"))
-    return both.select(*pairs.columns, F.size("own").alias("n"), F.size("of_lead").alias("m"), differ.alias("d"))
+    return both.select(*pairs.columns, F.size("x").alias("n"), F.size("of_lead").alias("m"), F.array_except("x", "of_lead").alias("own"), F.array_except("of_lead", "x").alias("lost"))
 
 
 def least_common(d, n, m, options: JaccardJoin):
@@ -459,22 +459,37 @@ def least_common(d, n, m, options: JaccardJoin):
     return F.when(linked, half).otherwise(F.greatest(half, far)), F.when(linked, half).otherwise(F.greatest(far, F.lit(1)))
 
 
-def _difference_entries(differences: DataFrame, options: JaccardJoin) -> DataFrame:
-    """lead, rep, label, loose, near, n, d, left, token, deep: entries of the third filter. ``left``: how many tokens that other
-    differences hold too the document has from this one on. A deep entry is needed only against documents that are linked
-    with the leader."""
-    rows = differences.select("lead", "rep", F.explode("d").alias("token"))
+def _held(rows: DataFrame) -> DataFrame:
+    """lead, rep, t: of the rows (lead, rep, token) those whose token several documents of the leader have, with how many."""
     often = rows.groupBy("lead", "token").agg(F.count("*").alias("c")).where("c > 1")
-    matched = rows.join(often, ["lead", "token"]).groupBy("lead", "rep").agg(F.sort_array(F.collect_list(F.struct("c", "token"))).alias("t"))
-    size = F.size("d")
-    strict, loose = least_common(size, F.col("n"), F.col("m"), options)
+    return rows.join(often, ["lead", "token"]).groupBy("lead", "rep").agg(F.collect_list(F.struct("c", "token")).alias("t"))
+
+
+def _difference_entries(differences: DataFrame, own: DataFrame, options: JaccardJoin) -> DataFrame:
+    """lead, rep, label, loose, near, n, d, left, token, deep: entries of the third filter. own: what ``_held`` finds among the
+    documents' own tokens. Those that at most ``rare`` have come first, then all others, rare ones first. So whoever has enough
+    rare ones lists no tokens of the leader's; a document far from it would list all of them. ``left``: how many tokens that other
+    differences may hold too the document has from this one on. A deep entry is needed only against documents that are
+    linked with the leader."""
     low, high = 100 - options.percent, 100 + options.percent
-    about = differences.select("lead", "rep", "label", "loose", "n", size.alias("d"), (high * size <= low * (F.col("n") + F.col("m"))).alias("near"), strict.alias("o"), loose.alias("p"))
-    both = about.join(matched, ["lead", "rep"])
-    alone = F.col("d") - F.size("t")
-    q = F.col("d") - F.col("o") + 1 - alone
-    cut = both.select("lead", "rep", "label", "loose", "near", "n", "d", F.size("t").alias("held"), q.alias("q"), F.posexplode(F.expr("slice(t, 1, cast(greatest(0, size(t) - p + 1) as int))")).alias("i", "t"))
-    return cut.select("lead", "rep", "label", "loose", "near", "n", "d", (F.col("held") - F.col("i")).alias("left"), "t.token", (F.col("i") >= F.col("q")).alias("deep"))
+    size = F.size("own") + F.size("lost")
+    strict, loose = least_common(size, F.col("n"), F.col("m"), options)
+    # The first shared token of a linked pair is among the first d - o + 1 of either, or d - p + 1.
+    about = differences.withColumns({"d": size, "near": high * size <= low * (F.col("n") + F.col("m")), "q": size - strict + 1, "r": size - loose + 1, "w": F.size("own"), "l": F.size("lost")})
+    tokens = lambda name: F.coalesce(name, F.array().cast("array<struct<c:bigint,token:bigint>>"))
+    about = about.drop("own").join(own.withColumnRenamed("t", "mine"), ["lead", "rep"], "left").withColumn("mine", tokens("mine"))
+    late = lambda e: e["c"] > options.rare
+    lost = _held(about.where(F.col("w") - F.size(F.filter("mine", late)) < F.col("r")).select("lead", "rep", F.explode("lost").alias("token")))
+    both = about.drop("lost").join(lost.withColumnRenamed("t", "theirs"), ["lead", "rep"], "left").withColumn("theirs", tokens("theirs"))
+    entry = lambda e, late: F.struct(late.alias("late"), e["c"].alias("c"), e["token"].alias("token"))
+    both = both.withColumn("t", F.sort_array(F.concat(F.transform("mine", lambda e: entry(e, late(e))), F.transform("theirs", lambda e: entry(e, F.lit(True))))))
+    both = both.withColumns({"alone": F.col("w") - F.size("mine"), "alone_late": F.col("l") - F.size("theirs"), "held": F.size("mine"), "size": F.size("t")}).drop("mine", "theirs")
+    cut = both.select("*", F.posexplode(F.expr("slice(t, 1, cast(greatest(0, r - alone) as int))")).alias("i", "e"))
+    place = F.col("i") + F.col("alone") + F.when(F.col("e.late"), F.col("alone_late")).otherwise(0)
+    # Before the late ones any of the leader's may still be shared, with documents that do not list theirs too.
+    left = F.when(F.col("e.late"), F.col("size") - F.col("i")).otherwise(F.col("held") - F.col("i") + F.col("l"))
+    cut = cut.withColumns({"place": place, "left": left}).where("place < r")
+    return cut.select("lead", "rep", "label", "loose", "near", "n", "d", "left", "e.token", (F.col("place") >= F.col("q")).alias("deep"))
 
 
 def _second_pairs(entries: DataFrame, options: JaccardJoin) -> DataFrame:
@@ -537,8 +552,9 @@ def link(docs: DataFrame, options: JaccardJoin = JaccardJoin()) -> DataFrame:
     if not told.isEmpty():
         sets = scratch.cut(_sets(docs, told.select("rep").union(told.select("lead")), options), "sets")
         differences = scratch.cut(_differences(told, sets), "differences")
-        again_pairs = scratch.cut(_second_pairs(scratch.cut(_difference_entries(differences, options), "second-entries"), options), "second-pairs")
-        scratch.drop("differences", "second-entries")
+        own = scratch.cut(_held(differences.select("lead", "rep", F.explode("own").alias("token"))), "own-held")
+        again_pairs = scratch.cut(_second_pairs(scratch.cut(_difference_entries(differences, own, options), "second-entries"), options), "second-pairs")
+        scratch.drop("differences", "own-held", "second-entries")
         add(again_pairs, "second", sets)
         scratch.drop("sets", "second-pairs")
     scratch.drop("stars", "told")

@@ -11,6 +11,7 @@ from collections import Counter
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.classic.dataframe import DataFrame
 
 from cohortlab.llm import jaccard_join, language_id, media_columns, packing, piece_encoding, quality_rules, suffix_dedup, token_counts, toxicity, url_filter
 from cohortlab.llm.common import Scratch, partition_names, tokenizer_path
@@ -233,6 +234,28 @@ def test_jaccard_chains(spark, width, percent):
     assert found == components(dict(rows), width, percent)
 
 
+def test_jaccard_far_documents(spark, monkeypatch):
+    """Documents that share a passage with their leader and little else do not list the leader's tokens; links among them stay."""
+    r = random.Random(4)
+    passage = [f"p{i}" for i in range(45)]
+    rows = [passage + [f"w{r.randrange(10**9)}" for _ in range(90)] for _ in range(80)]
+    rows += [words[:-2] + ["other", "end"] for words in rows[10:14]]
+    rows = dict(enumerate(" ".join(words) for words in rows))
+    made, join = [], DataFrame.join
+
+    def counted(self, other, on=None, how=None):
+        out = join(self, other, on, how)
+        if repr(on) == repr(["lead", "token"]) and "c" in other.columns:
+            made.append(out.count())
+        return out
+
+    monkeypatch.setattr(DataFrame, "join", counted)
+    options = jaccard_join.JaccardJoin(width=5, percent=80, rare=6, hot=8, small=4)
+    found = {x.doc_id: (x.n_shingles, x.component_id) for x in jaccard_join.link(spark.createDataFrame(list(rows.items()), "doc_id long, text string"), options).collect()}
+    assert found == components(rows, 5, 80) and found[80][1] == 10
+    assert made and sum(made) < 10 * len(rows)  # of some 90 tokens of the leader's for each document
+
+
 def test_jaccard_repeated_ids(spark):
     """An id with two texts connects what either is equal to; other columns' names do not matter."""
     a, b = "one two three four five six seven eight nine ten " * 3, "alpha beta gamma delta epsilon zeta eta theta " * 4
