@@ -29,7 +29,8 @@ group never does:
   into a bound for one side alone. So a third prefix filter, over differences, rare tokens of the leader's group
   first, finds every such pair. A token that only one difference holds needs no entry; where texts differ by words of
   their own, that is half of each difference and leaves next to nothing to index. The leader's tokens that a document
-  lacks are counted only where the document's own do not fill its prefix.
+  lacks are counted only where the document's own do not fill its prefix, and of a document far from its leader only the
+  first of its own, by hash, that are sure to hold ``spare`` shared ones.
 
 Candidates are first screened by parity sketches: bit h mod b of a set's sketch tells whether an odd number of its
 tokens falls there, so two sketches never differ in more bits than their sets in tokens. Only pairs that pass are
@@ -66,6 +67,7 @@ class JaccardJoin:
     small: int = 8  # documents of a group that proposes all its pairs
     size_ratio: float = 1.3  # of size classes; above 100 / percent
     batch_bytes: int = 1 << 20
+    spare: int = 12  # shared tokens that the lists of the third filter are sure to hold, where they are not whole
     broadcast_ids: int = 1_000_000  # a list of ids is broadcast up to this size, and joined by a shuffle beyond it
 
     def least_shared(self, n):
@@ -465,43 +467,74 @@ def _held(rows: DataFrame) -> DataFrame:
     return rows.join(often, ["lead", "token"]).groupBy("lead", "rep").agg(F.collect_list(F.struct("c", "token")).alias("t"))
 
 
-def _difference_entries(differences: DataFrame, own: DataFrame, options: JaccardJoin) -> DataFrame:
-    """lead, rep, label, loose, near, n, d, left, token, deep: entries of the third filter. own: what ``_held`` finds among the
-    documents' own tokens. Those that at most ``rare`` have come first, then all others, rare ones first. So whoever has enough
-    rare ones lists no tokens of the leader's; a document far from it would list all of them. ``left``: how many tokens that other
-    differences may hold too the document has from this one on. A deep entry is needed only against documents that are
-    linked with the leader."""
+def _listed(differences: DataFrame, options: JaccardJoin) -> DataFrame:
+    """Instead of rep's own tokens those of them that are counted, as ``own``, and what is known of (lead, rep): d, the size of the
+    difference; w and l, of its parts; near, whether they are linked; prefixes q and r of d, and p; far; ``last``.
+
+    A linked pair's first shared token is among the first r = d - o + 1 of either difference (q if the partner is not linked with
+    the leader), and as both share least_shared of their whole sets, one of their own is among the first n - a + 1 of rep's own if
+    these are as many. p is the smaller bound, and the k-th shared token of their own is among the first p + k - 1 by hash. A far
+    document, not linked with its leader, has p + spare - 1 of its own or more, so it shares at least ``spare`` of its own with
+    any partner: it lists the first p + spare - 1 up to the token ``last``, and no tokens of the leader's. Others list all."""
     low, high = 100 - options.percent, 100 + options.percent
     size = F.size("own") + F.size("lost")
     strict, loose = least_common(size, F.col("n"), F.col("m"), options)
-    # The first shared token of a linked pair is among the first d - o + 1 of either, or d - p + 1.
     about = differences.withColumns({"d": size, "near": high * size <= low * (F.col("n") + F.col("m")), "q": size - strict + 1, "r": size - loose + 1, "w": F.size("own"), "l": F.size("lost")})
+    about = about.withColumn("p", F.greatest(F.lit(1), F.least("r", F.floor(low * F.col("n") / 100) + 1)))
+    about = about.withColumn("far", ~F.col("near") & (F.col("w") >= F.col("p") + options.spare - 1))
+    first = F.slice(F.sort_array("own"), F.lit(1), (F.col("p") + options.spare - 1).cast("int"))
+    about = about.withColumn("own", F.when(F.col("far"), first).otherwise(F.col("own")))
+    about = about.withColumn("lost", F.when(F.col("far"), F.slice("lost", 1, 0)).otherwise(F.col("lost")))
+    return about.withColumn("last", F.when(F.col("far"), F.element_at("own", -1)).otherwise(F.lit((1 << 63) - 1)))
+
+
+def _difference_entries(listed: DataFrame, own: DataFrame, options: JaccardJoin) -> DataFrame:
+    """lead, rep, label, loose, near, far, n, d, last, left, token, early, full, deep: entries of the third filter. own: what ``_held``
+    finds among the documents' own tokens. Those that at most ``rare`` have come first, then all others, rare ones first. So
+    whoever has enough rare ones lists no tokens of the leader's. ``left``: how many tokens that other differences may hold too the
+    document has from this one on. ``early`` entries meet those of far documents, as ``spare`` shared ones are left from there;
+    ``full`` ones meet the others', a deep one only if that document is linked with the leader."""
     tokens = lambda name: F.coalesce(name, F.array().cast("array<struct<c:bigint,token:bigint>>"))
-    about = about.drop("own").join(own.withColumnRenamed("t", "mine"), ["lead", "rep"], "left").withColumn("mine", tokens("mine"))
+    about = listed.join(own.withColumnRenamed("t", "mine"), ["lead", "rep"], "left").withColumn("mine", F.sort_array(tokens("mine")))
+    about = about.withColumn("listed", F.size("own")).drop("own")
     late = lambda e: e["c"] > options.rare
-    lost = _held(about.where(F.col("w") - F.size(F.filter("mine", late)) < F.col("r")).select("lead", "rep", F.explode("lost").alias("token")))
-    both = about.drop("lost").join(lost.withColumnRenamed("t", "theirs"), ["lead", "rep"], "left").withColumn("theirs", tokens("theirs"))
-    entry = lambda e, late: F.struct(late.alias("late"), e["c"].alias("c"), e["token"].alias("token"))
-    both = both.withColumn("t", F.sort_array(F.concat(F.transform("mine", lambda e: entry(e, late(e))), F.transform("theirs", lambda e: entry(e, F.lit(True))))))
-    both = both.withColumns({"alone": F.col("w") - F.size("mine"), "alone_late": F.col("l") - F.size("theirs"), "held": F.size("mine"), "size": F.size("t")}).drop("mine", "theirs")
-    cut = both.select("*", F.posexplode(F.expr("slice(t, 1, cast(greatest(0, r - alone) as int))")).alias("i", "e"))
-    place = F.col("i") + F.col("alone") + F.when(F.col("e.late"), F.col("alone_late")).otherwise(0)
-    # Before the late ones any of the leader's may still be shared, with documents that do not list theirs too.
-    left = F.when(F.col("e.late"), F.col("size") - F.col("i")).otherwise(F.col("held") - F.col("i") + F.col("l"))
-    cut = cut.withColumns({"place": place, "left": left}).where("place < r")
-    return cut.select("lead", "rep", "label", "loose", "near", "n", "d", "left", "e.token", (F.col("place") >= F.col("q")).alias("deep"))
+    short = ~F.col("far") & (F.col("w") - F.size(F.filter("mine", late)) < F.col("r"))
+    lost = _held(about.where(short).select("lead", "rep", F.explode("lost").alias("token")))
+    both = about.join(lost.withColumnRenamed("t", "theirs"), ["lead", "rep"], "left").withColumn("theirs", tokens("theirs"))
+    both = both.withColumns({"alone": F.col("listed") - F.size("mine"), "alone_late": F.size("lost") - F.size("theirs"), "held": F.size("mine")}).drop("lost")
+    entry = lambda e, late, rank: F.struct(late.alias("late"), e["c"].alias("c"), e["token"].alias("token"), rank.alias("rank"))
+    mine = F.transform("mine", lambda e, i: entry(e, late(e), i))
+    theirs = F.transform("theirs", lambda e: entry(e, F.lit(True), F.lit(None).cast("int")))
+    both = both.withColumn("t", F.sort_array(F.concat(mine, theirs))).withColumn("size", F.size("t")).drop("mine", "theirs")
+
+    def placed(e, i):
+        place = i + F.col("alone") + F.when(e["late"], F.col("alone_late")).otherwise(0)
+        # Before the late ones any of the leader's may still be shared, with documents that do not list theirs too; those that a
+        # far one does not list may be shared wherever it is.
+        left = F.when(F.col("far"), F.col("held") - i + F.col("w") - F.col("listed") + F.col("l"))
+        left = left.when(e["late"], F.col("size") - i).otherwise(F.col("held") - i + F.col("l"))
+        early = F.coalesce(e["rank"] + F.col("alone") <= F.col("listed") - options.spare, F.lit(False))
+        full = F.when(F.col("far"), early).otherwise(place < F.col("r"))
+        return F.struct(e["token"].alias("token"), left.alias("left"), early.alias("early"), full.alias("full"), (place >= F.col("q")).alias("deep"))
+
+    kept = F.filter(F.transform("t", placed), lambda e: e["early"] | e["full"])
+    return both.select("lead", "rep", "label", "loose", "near", "far", "n", "d", "last", F.explode(kept).alias("e")).select("*", "e.*").drop("e")
 
 
 def _second_pairs(entries: DataFrame, options: JaccardJoin) -> DataFrame:
     """(a, b): one is loose, their labels differ, the prefixes of their differences share a token, and what either still
-    has from that token on suffices for a link. (At the first token of all that two linked documents share it does.)"""
-    names = ["rep", "label", "loose", "near", "n", "d", "left", "deep"]
+    has from that token on suffices for a link. (At the first token of all that two linked documents list and share it does. Of
+    two that do not list all, this holds for the one whose list ends first: the other lists all that both have up to there.)"""
+    names = ["rep", "label", "loose", "near", "far", "n", "d", "last", "left", "early", "full", "deep"]
     x, y = (entries.select("lead", "token", *[F.col(c).alias(f"{c}_{k}") for c in names]) for k in "xy")
     low, high = 100 - options.percent, 100 + options.percent
-    enough = 2 * high * F.least("left_x", "left_y") >= high * (F.col("d_x") + F.col("d_y")) - low * (F.col("n_x") + F.col("n_y"))
+    left = F.when(F.col("last_x") < F.col("last_y"), F.col("left_x")).when(F.col("last_y") < F.col("last_x"), F.col("left_y")).otherwise(F.least("left_x", "left_y"))
+    enough = 2 * high * left >= high * (F.col("d_x") + F.col("d_y")) - low * (F.col("n_x") + F.col("n_y"))
     sizes = (100 * F.col("n_x") >= options.percent * F.col("n_y")) & (100 * F.col("n_y") >= options.percent * F.col("n_x"))
-    once = (F.col("label_x") != F.col("label_y")) & (F.col("near_y") | ~(F.col("deep_x") | F.col("deep_y"))) & ~(F.col("loose_y") & (F.col("rep_x") > F.col("rep_y")))
-    met = x.where("loose_x").join(y, ["lead", "token"]).where(enough & sizes & once)
+    others = F.col("full_x") & F.col("full_y") & (F.col("near_y") | ~(F.col("deep_x") | F.col("deep_y")))
+    able = F.when(F.col("far_x") | F.col("far_y"), F.col("early_x") & F.col("early_y")).otherwise(others)
+    once = (F.col("label_x") != F.col("label_y")) & ~(F.col("loose_y") & (F.col("rep_x") > F.col("rep_y")))
+    met = x.where("loose_x").join(y, ["lead", "token"]).where(enough & sizes & able & once)
     return met.select(F.least("rep_x", "rep_y").alias("a"), F.greatest("rep_x", "rep_y").alias("b")).distinct()
 
 
@@ -551,7 +584,7 @@ def link(docs: DataFrame, options: JaccardJoin = JaccardJoin()) -> DataFrame:
     told = told.join(spans.where("any and k > 1 and low <> high").select("lead"), "lead", "left_semi")
     if not told.isEmpty():
         sets = scratch.cut(_sets(docs, told.select("rep").union(told.select("lead")), options), "sets")
-        differences = scratch.cut(_differences(told, sets), "differences")
+        differences = scratch.cut(_listed(_differences(told, sets), options), "differences")
         own = scratch.cut(_held(differences.select("lead", "rep", F.explode("own").alias("token"))), "own-held")
         again_pairs = scratch.cut(_second_pairs(scratch.cut(_difference_entries(differences, own, options), "second-entries"), options), "second-pairs")
         scratch.drop("differences", "own-held", "second-entries")

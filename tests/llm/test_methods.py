@@ -256,6 +256,43 @@ def test_jaccard_far_documents(spark, monkeypatch):
     assert made and sum(made) < 10 * len(rows)  # of some 90 tokens of the leader's for each document
 
 
+@pytest.mark.parametrize("percent, spare", [(80, 2), (80, 12), (90, 5)])
+def test_jaccard_far_lists(spark, percent, spare):
+    """Documents far from their leader list a part of their own tokens, and no link with or among them is lost."""
+    r = random.Random(percent + spare)
+    draw = lambda k: {r.getrandbits(64) - (1 << 63) for _ in range(k)}
+    some = lambda s, k: set(r.sample(sorted(s), min(len(s), k)))
+    sets, told = {}, []
+    for lead in range(0, 3000, 1000):
+        center, passage = draw(150), draw(30)
+        sets[lead] = center
+        docs = []
+        for cluster in range(12):
+            # From far away, with a passage that many of them have, to about as far from the leader as a link allows.
+            base = some(center, 12 * cluster + 10) | draw(140 - 12 * cluster) | (set() if cluster % 2 else passage)
+            docs += [some(base, len(base) - r.randrange(7 * (100 - percent) // 5)) | draw(r.randrange(100 - percent)) for _ in range(10)]
+        for i, own in enumerate(docs, lead + 1):
+            sets[i] = own
+            near = (100 + percent) * len(own ^ center) <= (100 - percent) * (len(own) + 150)
+            told.append((lead, i, lead if near else i, not near))
+    linked = set()
+    for lead, a, x, p in told:
+        for other, b, y, q in told:
+            if a < b and lead == other and x != y and (p or q) and 100 * len(sets[a] & sets[b]) >= percent * len(sets[a] | sets[b]):
+                linked.add((a, b))
+    options = jaccard_join.JaccardJoin(percent=percent, rare=6, spare=spare)
+    items = [(i, sorted(s, key=lambda x: x % (1 << 64))) for i, s in sets.items()]
+    differences = jaccard_join._differences(spark.createDataFrame(told, "lead long, rep long, label long, loose boolean"), spark.createDataFrame(items, "rep long, items array<long>"))
+    listed = jaccard_join._listed(differences, options).cache()
+    far = listed.where("far").agg(F.count("*"), F.sum(F.size("own")), F.sum("w"), F.sum(F.size("lost"))).first()
+    assert far[0] > 100 and far[1] < 0.6 * far[2] and far[3] == 0
+    own = jaccard_join._held(listed.select("lead", "rep", F.explode("own").alias("token")))
+    found = {tuple(x) for x in jaccard_join._second_pairs(jaccard_join._difference_entries(listed, own, options), options).collect()}
+    assert len(linked) > 300 and linked <= found
+    kinds = {x.rep: x.far for x in listed.collect()}
+    assert {kinds[a] + kinds[b] for a, b in linked} >= ({1, 2} if percent == 80 else {2})
+
+
 def test_jaccard_repeated_ids(spark):
     """An id with two texts connects what either is equal to; other columns' names do not matter."""
     a, b = "one two three four five six seven eight nine ten " * 3, "alpha beta gamma delta epsilon zeta eta theta " * 4
