@@ -67,7 +67,7 @@ class JaccardJoin:
     small: int = 8  # documents of a group that proposes all its pairs
     size_ratio: float = 1.3  # of size classes; above 100 / percent
     batch_bytes: int = 1 << 20
-    spare: int = 12  # shared tokens that the lists of the third filter are sure to hold, where they are not whole
+    spare: int = 8  # shared tokens that the lists of the third filter are sure to hold, where they are not whole
     broadcast_ids: int = 1_000_000  # a list of ids is broadcast up to this size, and joined by a shuffle beyond it
 
     def least_shared(self, n):
